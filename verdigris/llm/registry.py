@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from verdigris.llm import bpe_codec, line_dedup, token_count, token_file
+from verdigris.llm import bpe_codec, line_dedup, simhash, token_count, token_file
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op4_token_file": token_file.query,
     "op5_bpe_codec": bpe_codec.query,
     "op6_line_dedup": line_dedup.query,
