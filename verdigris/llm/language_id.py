@@ -336,7 +336,7 @@ def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col
     return map_batches(pick(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Crf | None, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Crf | None, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs without those that have no letter, or whose words share no language: a mean marginal under min_score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
