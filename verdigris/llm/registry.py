@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from verdigris.llm import bpe_codec, language_id, line_dedup, simhash, token_count, token_file
+from verdigris.llm import bpe_codec, language_id, line_dedup, simhash, token_count, token_file, topk
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op3_topk": topk.query,
     "op4_token_file": token_file.query,
     "op5_bpe_codec": bpe_codec.query,
     "op6_line_dedup": line_dedup.query,
     "op9_language_id": language_id.query,
     "op10_token_count": token_count.query,
 }
-ORACLES = {"op6_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op3_topk": topk.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
