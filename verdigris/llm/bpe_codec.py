@@ -2,11 +2,12 @@
 
 1. Documents are cut into words (see ``bpe_units``) and packed into blocks of bounded text: each block keeps its
    distinct words, most frequent first, and every document's words as numbers into that list.
-2. The (block, number, word) rows are dealt out by word and sorted, so each distinct word is encoded once.
-3. The ids are joined back by (block, number), laid out by position, and decoded through the table of id to piece,
+2. The distinct words are dealt out by hash into shards, where each is encoded once; what is shuffled is one packed
+   list of words for each block and shard.
+3. The ids are joined back by block and shard, laid out by position, and decoded through the table of id to piece,
    whose size is bounded by the vocabulary.
 
-A word that all documents hold has one row for each block, not one for each occurrence. A text longer than a block
+A word that all documents hold is in one list for each block, not one for each occurrence. A text longer than a block
 is a block of its own. Null texts are empty; special strings inside a text become their id, as the library does by
 default; bytes that are no UTF-8 decode to U+FFFD. Rows with the same doc_id, null included, are encoded apart.
 """
@@ -14,23 +15,23 @@ default; bytes that are no UTF-8 decode to U+FFFD. Rows with the same doc_id, nu
 from __future__ import annotations
 
 import json
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.bpe_units import Units, read_spec
+from verdigris.llm.bpe_units import FastEncoder, Units, byte_symbols, read_spec
 from verdigris.llm.common import materialize, pick, small_slices, texts
-from verdigris.llm.token_count import byte_symbols
 
-BLOCK_BYTES = 24 << 20
-BLOCK = "block long, docs array<long>, sizes array<long>, numbers binary, words array<string>"
+BLOCK_BYTES = 48 << 20
+#: Shards of the distinct-word table. A task holds one shard's words, so raise it as the vocabulary grows.
+SHARDS = 256
+#: A block's own row has shard -1; its other rows hold the words of one shard of the distinct-word table.
+BLOCK = "block long, shard int, docs array<long>, sizes array<long>, numbers binary, shards binary, words binary"
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -43,43 +44,69 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def to_blocks(docs: DataFrame, spec) -> DataFrame:
+def pack_strings(items: list[bytes]) -> bytes:
+    return zstandard.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items), 3)
+
+
+def unpack_strings(data: bytes) -> list[bytes]:
+    data = zstandard.decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = (4 * n + 4 + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [data[a:b] for a, b in zip([4 * n + 4, *ends], ends, strict=False)]
+
+
+def to_blocks(docs: DataFrame, spec, shards: int) -> DataFrame:
     """Blocks of documents (doc_id, text), as in BLOCK; a block's number holds its task's partition."""
 
     def run(batches):
         units, seq = Units(spec.value), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in small_slices(batch, BLOCK_BYTES):
-                cut = [units.units(t) for t in texts(part)]
-                order = Counter(chain.from_iterable(cut)).most_common()
-                number = {w: i for i, (w, _) in enumerate(order)}
-                flat = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.uint32)
-                yield pa.record_batch([
-                    pa.array([seq]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([[len(c) for c in cut]], pa.list_(pa.int64())),
-                    pa.array([pack(flat)], pa.binary()), pa.array([list(number)], pa.list_(pa.string())),
-                ], ["block", "docs", "sizes", "numbers", "words"])
+                yield from _block(part, units, seq, shards)
                 seq += 1
 
     return docs.mapInArrow(run, BLOCK)
 
 
+def _block(part: pa.RecordBatch, units: Units, block: int, shards: int):
+    first: dict[str, int] = {}
+    cut, sizes = [], []
+    for text in texts(part):
+        own = units.units(text)
+        cut.append(np.fromiter((first.setdefault(w, len(first)) for w in own), np.uint32, len(own)))
+        sizes.append(len(own))
+    flat = np.concatenate(cut)
+    order = np.argsort(-np.bincount(flat, minlength=len(first)), kind="stable")  # frequent words get small numbers
+    number = np.empty(len(first), np.uint32)
+    number[order] = np.arange(len(first), dtype=np.uint32)
+    words = [w.encode() for w in first]
+    words = [words[i] for i in order.tolist()]
+    shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.uint16, len(words))
+    rows = [(block, -1, part.column("doc_id").to_pylist(), sizes, pack(number[flat]), zstandard.compress(shard.tobytes(), 1), None)]
+    by_shard = np.split(np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))[:-1])
+    rows += [(block, s, None, None, None, None, pack_strings([words[i] for i in at.tolist()])) for s, at in enumerate(by_shard) if len(at)]
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "shard", "docs", "sizes", "numbers", "shards", "words"])
+
+
 def encode_words(blocks: DataFrame, spec) -> DataFrame:
-    """(block, number, ids binary): every word of every block with its ids, each distinct word encoded once."""
-    rows = blocks.select("block", F.posexplode("words").alias("number", "word"))
+    """(block, shard, ids binary): the ids of the words of every block and shard, each distinct word encoded once."""
 
     def run(batches):
-        units, last, last_ids = Units(spec.value), None, b""
+        encoder, now, known = FastEncoder(spec.value), None, {}
         for batch in batches:
-            words = batch.column("word").dictionary_encode()
-            new = words.dictionary.to_pylist()
-            if not new:
-                continue
-            known = new[0] == last  # the rows are sorted, so only the first can have come before
-            ids = [last_ids] * known + [np.array(x, "<u4").tobytes() for x in units.encode(new[known:])]
-            last, last_ids = new[-1], ids[-1]
-            yield pa.record_batch([batch.column("block"), batch.column("number"), pa.array(ids, pa.binary()).take(words.indices)], ["block", "number", "ids"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["shard"] != now:  # sorted by shard: a table of one shard at a time
+                    now, known = row["shard"], {}
+                words = unpack_strings(row["words"])
+                for w in words:
+                    if w not in known:
+                        known[w] = encoder.ids(w.decode()).astype("<u4").tobytes()
+                yield pa.record_batch([pa.array([row["block"]]), pa.array([now], pa.int32()), pa.array([pack_strings([known[w] for w in words])], pa.binary())], ["block", "shard", "ids"])
 
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, number int, ids binary")
+    words = blocks.where("shard >= 0").select("block", "shard", "words")
+    return words.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "block long, shard int, ids binary")
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -106,25 +133,23 @@ class Pieces:
         return gather(self.flat, self.starts, self.lengths, ids.astype(np.int64)).tobytes().decode("utf-8", "replace")
 
 
-def ragged(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A binary array of 32-bit ids as (flat, starts, lengths), counted in ids."""
-    lengths = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    return np.frombuffer(b"".join(ids.to_pylist()), "<u4"), np.r_[0, np.cumsum(lengths)[:-1]], lengths
-
-
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids binary: little-endian unsigned 32-bit, decoded string) of every row."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
-    blocks = materialize(to_blocks(pick(docs, id_col, text_col), spec), "bpe-blocks")
+    blocks = materialize(to_blocks(pick(docs, id_col, text_col), spec, SHARDS), "bpe-blocks")
     ids = encode_words(blocks, spec)
 
     def lay_out(words: pa.Table, block: pa.Table) -> pa.Table:
-        words = words.take(pc.sort_indices(words["number"]))
-        flat, starts, lengths = ragged(words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.binary()))
-        pieces = Pieces(spec.value)
-        out: list[tuple] = []
-        for row in block.select(["docs", "sizes", "numbers"]).to_pylist():
+        pieces, out = Pieces(spec.value), []
+        for row in block.to_pylist():
+            shard = np.frombuffer(zstandard.decompress(row["shards"]), np.uint16)
+            by_shard = np.split(np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=SHARDS))[:-1])
+            table = np.empty(len(shard), object)
+            for s, data in zip(words["shard"].to_pylist(), words["ids"].to_pylist(), strict=True):
+                table[by_shard[s]] = unpack_strings(data)
+            lengths = np.array([len(x) // 4 for x in table], np.int64)
+            flat, starts = np.frombuffer(b"".join(table.tolist()), "<u4"), np.cumsum(lengths) - lengths
             numbers, at = unpack(row["numbers"]).astype(np.int64), 0
             for doc, n in zip(row["docs"], row["sizes"], strict=True):
                 own = gather(flat, starts, lengths, numbers[at : at + n])
@@ -132,7 +157,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 out.append((doc, len(own), own.tobytes(), pieces.decode(own)))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return ids.groupBy("block").cogroup(blocks.select("block", "docs", "sizes", "numbers").groupBy("block")).applyInArrow(lay_out, "doc_id long, n_tokens long, ids binary, decoded string")
+    own_rows = blocks.where("shard = -1").select("block", "docs", "sizes", "numbers", "shards")
+    return ids.groupBy("block").cogroup(own_rows.groupBy("block")).applyInArrow(lay_out, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 #: The code points of Unicode's White_Space property.
@@ -45,3 +48,44 @@ def read_spec(path: str) -> str:
     """The tokenizer file's text, read once on the driver; its size is bounded by the vocabulary."""
     with open(path, encoding="utf-8") as f:
         return f.read()
+
+
+#: Fixed value: the pattern by which byte-level BPE cuts pre-tokens.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class FastEncoder:
+    """Ids of whole texts by a byte-level BPE file, through tiktoken's merge loop, which is about five times as fast.
+
+    The ranks come from the file's own vocabulary. Where its ids are not in the order of its merges, or it has a
+    normalizer, another pre-tokenizer or options that the merge loop does not know, the library itself encodes."""
+
+    def __init__(self, spec: str):
+        d = json.loads(spec)
+        model, pre = d["model"], d["pre_tokenizer"]
+        self.library = Units(spec).tok
+        self.core = None
+        merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+        ids = [model["vocab"][a + b] for a, b in merges]
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) and d["normalizer"] is None
+        if plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and ids == sorted(ids) and all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in d["added_tokens"]):
+            byte_of = {s: b for b, s in enumerate(byte_symbols())}
+            special = {t["content"]: t["id"] for t in d["added_tokens"]}
+            ranks = {bytes(map(byte_of.__getitem__, s)): i for s, i in model["vocab"].items() if s not in special}
+            if {bytes([b]) for b in range(256)} <= ranks.keys():
+                self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.core is None:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.core.encode_to_numpy(text, allowed_special="all")
+
+
+#: Printable bytes stand for themselves in byte-level BPE, others for code points from 256 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte."""
+    rest = iter(range(256, 512))
+    return [chr(b) if b in set(PRINTABLE) else chr(next(rest)) for b in range(256)]

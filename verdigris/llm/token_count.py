@@ -19,22 +19,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.bpe_units import WHITE, Units, read_spec
+from verdigris.llm.bpe_units import WHITE, Units, byte_symbols, read_spec
 from verdigris.llm.common import map_batches, pick, texts
 
 #: Distinct chunks that a worker keeps between batches; a full cache is emptied, which changes no count.
 CACHE = 400_000
-#: Printable bytes stand for themselves in byte-level BPE, others for code points from 256 on.
-PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 EASY = re.compile("[\x21-\x7eÀ-ÖØ-öø-ž]*")
 
 
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte."""
-    rest = iter(range(256, 512))
-    return [chr(b) if b in set(PRINTABLE) else chr(next(rest)) for b in range(256)]
-
-
 def merge_counts(words: list[bytes], model: Model) -> np.ndarray:
     """The number of tokens of each word, given as its bytes."""
     lengths = np.array([len(w) for w in words], np.int64)

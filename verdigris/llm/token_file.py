@@ -28,12 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.bpe_units import Units, read_spec
-from verdigris.llm.common import materialize, pick, shuffle_partitions, small_slices, texts
+from verdigris.llm.bpe_units import FastEncoder, read_spec
+from verdigris.llm.common import materialize, pick, shuffle_partitions, texts
 
 CHUNK_BITS, RANK_EVERY = 8, 512
 SEGMENT_TOKENS = 1 << 21
-CACHE = 300_000
 HEAD = struct.Struct("<4sHHIQI")
 
 
@@ -113,27 +112,6 @@ class Segment:
             begin = end
 
 
-class Encoder:
-    """Texts to arrays of ids; a unit is encoded by the library and then kept for the next texts."""
-
-    def __init__(self, spec: str):
-        self.units, self.cache = Units(spec), {}
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        cut = [self.units.units(t) for t in batch]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new: set[str] = set()
-        for c in cut:
-            new.update(c)
-        new.difference_update(self.cache)
-        if new:
-            new_list = list(new)
-            self.cache.update(zip(new_list, (np.array(x, "<u4").tobytes() for x in self.units.encode(new_list)), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
-
 SEGMENTS = "part int, first long, tokens long, documents long, segment binary"
 
 
@@ -144,23 +122,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     ordered = pick(docs, id_col, text_col).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        encoder, part, first = Encoder(spec.value), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, part, first = FastEncoder(spec.value), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], np.uint32)
         doc_ids, ids, held = [], [], 0
 
         def segment():
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([first]), pa.array([held]), pa.array([len(ids)]), pa.array([write_segment(doc_ids, ids)], pa.binary())], ["part", "first", "tokens", "documents", "segment"])
 
         for batch in batches:
-            for piece in small_slices(batch, 4 << 20):
-                for doc, data in zip(piece.column("doc_id").to_pylist(), encoder.encode(texts(piece)), strict=True):
-                    own = np.frombuffer(data + end, "<u4")
-                    if held and held + len(own) > SEGMENT_TOKENS:
-                        yield segment()
-                        first, doc_ids, ids, held = first + held, [], [], 0
-                    doc_ids.append(doc)
-                    ids.append(own)
-                    held += len(own)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+                own = np.concatenate([encoder.ids(text), end])
+                if held and held + len(own) > SEGMENT_TOKENS:
+                    yield segment()
+                    first, doc_ids, ids, held = first + held, [], [], 0
+                doc_ids.append(doc)
+                ids.append(own)
+                held += len(own)
         if ids:
             yield segment()
 
@@ -174,19 +151,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
 def read_tokens(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) of every document, from the segments alone."""
     whole = segments.groupBy("part").agg(F.sum("tokens").alias("n"))
-    before = whole.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each partition
+    before = whole.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
+    # one row for each partition of the writing job, so its size is bounded by that number
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 docs = list(Segment(row["segment"]).documents())
                 yield pa.record_batch([
-                    pa.array([row["part"]] * len(docs), pa.int32()), pa.array([d for d, _, _ in docs], pa.int64()), pa.array([row["first"] + b for _, b, _ in docs], pa.int64()),
+                    pa.array([d for d, _, _ in docs], pa.int64()), pa.array([row["first"] + b for _, b, _ in docs], pa.int64()),
                     pa.array([len(x) for _, _, x in docs], pa.int64()), pa.array([x.astype("<u4").tobytes() for _, _, x in docs], pa.binary()),
-                ], ["part", "doc_id", "at", "n_tokens", "ids"])
+                ], ["doc_id", "start", "n_tokens", "ids"])
 
-    docs = segments.select("part", "first", "segment").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids binary")
-    return docs.join(before, docs["part"] == before["p"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
+    placed = segments.join(F.broadcast(before), segments["part"] == before["p"]).select((F.col("before") + F.col("first")).alias("first"), "segment")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
