@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from verdigris.llm import bpe_codec, language_id, line_dedup, simhash, token_count, token_file, topk
+from verdigris.llm import bpe_codec, decontaminate, language_id, line_dedup, simhash, token_count, token_file, topk
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_topk": topk.query,
     "op4_token_file": token_file.query,
     "op5_bpe_codec": bpe_codec.query,
