@@ -8,8 +8,9 @@
    corpus its probability, seen in trusted text or not.
 4. A second pass sums the logarithms over each whole document. The table goes to the executors if its exact number of
    rows is at most ``near_rows``, else the documents' n-grams meet it in a join that AQE can split.
-5. A language's threshold is the ``quantile`` of its trusted documents' perplexities, exact to a thousandth of a
-   natural logarithm; a language without trusted documents takes that of all of them.
+5. One trusted document in ``FOLDS``, by a hash of its id, is left out of the counts: in its own model a text looks
+   better than a new one. A language's threshold is the ``quantile`` of those documents' perplexities, exact to a
+   thousandth of a natural logarithm; a language without any takes that of all languages.
 
 Trusted are the documents that labels call good and not toxic, in all their rows. Counts, statistics and thresholds
 cover all data. Texts begin with ``order - 1`` NUL characters. An empty or null text has no perplexity and is not
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import discard, map_batches, materialize, read, small_slices, texts
 
-ORDER, QUANTILE, NEAR_ROWS, NEAR_IDS = 5, 0.99, 4_000_000, 8_000_000
+ORDER, QUANTILE, FOLDS, NEAR_ROWS, NEAR_IDS = 5, 0.99, 5, 4_000_000, 8_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,15 +178,17 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     ids = materialize(trusted_ids(labels), "trusted")
     side = F.broadcast(ids) if ids.count() <= near_ids else ids  # 8 bytes a row
     flagged = own.join(side, F.col("doc_id") == F.col("id"), "left").withColumn("trusted", F.col("id").isNotNull()).drop("id")
-    counts = materialize(gram_counts(flagged.select("text", "trusted"), order), "gram-counts")
+    left_out = F.col("trusted") & (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)) == 0)
+    flagged = flagged.withColumn("left_out", left_out)
+    counts = materialize(gram_counts(flagged.select("text", (F.col("trusted") & ~F.col("left_out")).alias("trusted")), order), "gram-counts")
     if counts.isEmpty():
         table = counts.select("g", F.lit(0.0).alias("logp"))
     else:
         table = materialize(log_probabilities(counts, order), "gram-probabilities")
     keyed = flagged if table.count() <= near_rows else flagged.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("lang", F.lit("-")), F.xxhash64("text"), F.xxhash64("text", F.lit(1))))
-    scored = materialize(score(keyed, table, order, near_rows).select("doc_id", "lang", "trusted", "chars", F.when(F.col("chars") > 0, F.exp(-F.col("logp") / F.col("chars"))).alias("perplexity")), "perplexities")
+    scored = materialize(score(keyed, table, order, near_rows).select("doc_id", "lang", "trusted", "left_out", "chars", F.when(F.col("chars") > 0, F.exp(-F.col("logp") / F.col("chars"))).alias("perplexity")), "perplexities")
     discard(counts)
-    bins = scored.where("trusted and chars > 0").groupBy("lang", F.ceil(F.ln("perplexity") * 1000).alias("bin")).agg(F.count("*").alias("n"))
+    bins = scored.where("left_out and chars > 0").groupBy("lang", F.ceil(F.ln("perplexity") * 1000).alias("bin")).agg(F.count("*").alias("n"))
     over_all = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(1).alias("one"), "bin", "n")
     by_lang = _quantile(bins.withColumn("lang", F.coalesce("lang", F.lit(""))), "lang", quantile).select(F.col("lang").alias("l"), F.col("cut").alias("own"))
     rest = _quantile(over_all, "one", quantile).select(F.col("cut").alias("any"))
