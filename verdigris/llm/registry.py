@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdigris.llm import bpe_codec, decontaminate, language_id, line_dedup, quality, simhash, token_count, token_file, topk
+from verdigris.llm import bpe_codec, decontaminate, html_text, language_id, line_dedup, quality, simhash, token_count, token_file, topk
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe_codec": bpe_codec.query,
     "op6_line_dedup": line_dedup.query,
     "op7_quality": quality.query,
+    "op8_html_text": html_text.query,
     "op9_language_id": language_id.query,
     "op10_token_count": token_count.query,
 }
