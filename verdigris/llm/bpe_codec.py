@@ -7,6 +7,8 @@
 3. The ids are joined back by block and shard, laid out by position, and decoded through the table of id to piece,
    whose size is bounded by the vocabulary.
 
+Blocks must come out the same if a task is run again, so docs is best a stored table, as in the pipeline.
+
 A word that all documents hold is in one list for each block, not one for each occurrence. A text longer than a block
 is a block of its own. Null texts are empty; special strings inside a text become their id, as the library does by
 default; bytes that are no UTF-8 decode to U+FFFD. Rows with the same doc_id, null included, are encoded apart.
@@ -18,6 +20,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -25,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.bpe_units import FastEncoder, Units, byte_symbols, read_spec
-from verdigris.llm.common import materialize, pick, small_slices, texts
+from verdigris.llm.common import pick, shuffle_partitions, small_slices, texts
 
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 24 << 20
 #: Shards of the distinct-word table. A task holds one shard's words, so raise it as the vocabulary grows.
 SHARDS = 256
-#: A block's own row has shard -1; its other rows hold the words of one shard of the distinct-word table.
-BLOCK = "block long, shard int, docs array<long>, sizes array<long>, numbers binary, shards binary, words binary"
+#: A block's own row has shard -1; its other rows hold the words of one shard of the distinct-word table. place is
+#: what a row is dealt out by: the block for the first kind, the shard for the second.
+BLOCK = "place long, block long, shard int, docs array<long>, sizes array<long>, numbers binary, shards binary, words binary"
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -82,20 +86,21 @@ def _block(part: pa.RecordBatch, units: Units, block: int, shards: int):
     words = [w.encode() for w in first]
     words = [words[i] for i in order.tolist()]
     shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.uint16, len(words))
-    rows = [(block, -1, part.column("doc_id").to_pylist(), sizes, pack(number[flat]), zstandard.compress(shard.tobytes(), 1), None)]
+    rows = [(block, block, -1, part.column("doc_id").to_pylist(), sizes, pack(number[flat]), zstandard.compress(shard.tobytes(), 1), None)]
     by_shard = np.split(np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))[:-1])
-    rows += [(block, s, None, None, None, None, pack_strings([words[i] for i in at.tolist()])) for s, at in enumerate(by_shard) if len(at)]
-    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "shard", "docs", "sizes", "numbers", "shards", "words"])
+    rows += [(s, block, s, None, None, None, None, pack_strings([words[i] for i in at.tolist()])) for s, at in enumerate(by_shard) if len(at)]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["place", "block", "shard", "docs", "sizes", "numbers", "shards", "words"])
 
 
-def encode_words(blocks: DataFrame, spec) -> DataFrame:
-    """(block, shard, ids binary): the ids of the words of every block and shard, each distinct word encoded once."""
+def encode_words(dealt: DataFrame, spec) -> DataFrame:
+    """(place: the block, shard, ids binary): the ids of the words of every block and shard, each distinct word encoded once."""
 
     def run(batches):
         encoder, now, known = FastEncoder(spec.value), None, {}
         for batch in batches:
-            for i in range(batch.num_rows):
+            batch = batch.select(["block", "shard", "words"])
+            for i in np.flatnonzero(batch.column("shard").to_numpy() >= 0).tolist():
                 row = batch.slice(i, 1).to_pylist()[0]
                 if row["shard"] != now:  # sorted by shard: a table of one shard at a time
                     now, known = row["shard"], {}
@@ -103,10 +108,9 @@ def encode_words(blocks: DataFrame, spec) -> DataFrame:
                 for w in words:
                     if w not in known:
                         known[w] = encoder.ids(w.decode()).astype("<u4").tobytes()
-                yield pa.record_batch([pa.array([row["block"]]), pa.array([now], pa.int32()), pa.array([pack_strings([known[w] for w in words])], pa.binary())], ["block", "shard", "ids"])
+                yield pa.record_batch([pa.array([row["block"]]), pa.array([now], pa.int32()), pa.array([pack_strings([known[w] for w in words])], pa.binary())], ["place", "shard", "ids"])
 
-    words = blocks.where("shard >= 0").select("block", "shard", "words")
-    return words.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "block long, shard int, ids binary")
+    return dealt.sortWithinPartitions("shard").mapInArrow(run, "place long, shard int, ids binary")
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -137,12 +141,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """(doc_id, n_tokens, ids binary: little-endian unsigned 32-bit, decoded string) of every row."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
-    blocks = materialize(to_blocks(pick(docs, id_col, text_col), spec, SHARDS), "bpe-blocks")
-    ids = encode_words(blocks, spec)
+    # One exchange for both kinds of rows: the plan reuses it, so what is dealt out is written once. Neither reader
+    # filters or prunes it in Spark, which would make it two.
+    dealt = to_blocks(pick(docs, id_col, text_col), spec, SHARDS).repartition(shuffle_partitions(spark), "place")
+    ids = encode_words(dealt, spec)
 
     def lay_out(words: pa.Table, block: pa.Table) -> pa.Table:
         pieces, out = Pieces(spec.value), []
-        for row in block.to_pylist():
+        for row in block.filter(pc.equal(block["shard"], -1)).to_pylist():
             shard = np.frombuffer(zstandard.decompress(row["shards"]), np.uint16)
             by_shard = np.split(np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=SHARDS))[:-1])
             table = np.empty(len(shard), object)
@@ -157,8 +163,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 out.append((doc, len(own), own.tobytes(), pieces.decode(own)))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    own_rows = blocks.where("shard = -1").select("block", "docs", "sizes", "numbers", "shards")
-    return ids.groupBy("block").cogroup(own_rows.groupBy("block")).applyInArrow(lay_out, "doc_id long, n_tokens long, ids binary, decoded string")
+    return ids.groupBy("place").cogroup(dealt.groupBy("place")).applyInArrow(lay_out, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,7 @@ def small_slices(batch: pa.RecordBatch, most_bytes: int, column: str = "text") -
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    most_bytes = sum(sizes) / max(1, -(-sum(sizes) // most_bytes))  # even slices
     begin = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > most_bytes:
