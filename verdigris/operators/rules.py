@@ -103,7 +103,7 @@ def zip_sequences() -> Column:
 
 
 def dict_get() -> Column:
-    used = F.exists("subscripts", lambda s: (s["seq"] == c("container")) & (s["idx"] == c("key")))
+    used = F.exists("subscripts", lambda s: (s["seq"] == c("container")) & (s["idx"] == c("member")))
     return when((c("kind") == "If") & ~c("has_else") & used, F.lit("Use dict.get() instead of 'if key in dict' then subscript."))
 
 
@@ -116,7 +116,7 @@ def str_join() -> Column:
 
 
 def defaultdict() -> Column:
-    named = c("container").isNotNull() & c("key").isNotNull()
+    named = c("container").isNotNull() & c("member").isNotNull()
     return when((c("kind") == "If") & named & c("body_append") & c("else_assign"), F.lit("Use collections.defaultdict(list) instead of manual init-then-append aggregation."))
 
 

@@ -1,4 +1,8 @@
 """All queries of the review engine, with SQL that predicts them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from verdigris.plans import review_queries
+
+QUERIES = dict(review_queries.QUERIES)
+ORACLES = dict(review_queries.ORACLES)

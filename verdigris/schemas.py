@@ -29,7 +29,7 @@ FACTS = _row(
     ("n_body", I), ("append_base", S), ("range_len", B), ("target", S), ("subscripts", ArrayType(PAIR)), ("concat_base", S),
     ("scope_lists", ArrayType(S)), ("scope_strs", ArrayType(S)), ("body_returns", S), ("body_else", B), ("next_returns", S),
     # conditions
-    ("container", S), ("key", S), ("has_else", B), ("body_append", B), ("else_assign", B),
+    ("container", S), ("member", S), ("has_else", B), ("body_append", B), ("else_assign", B),
     # classes and functions
     ("is_dataclass", B), ("n_attrs", I), ("n_methods", I), ("n_plain_methods", I), ("span", I), ("writes", ArrayType(WRITE)), ("reads", ArrayType(S)),
     ("stmts", ArrayType(STMT)), ("decorated", B), ("outer_passed", ArrayType(S)), ("n_params", I), ("methods", ArrayType(METHOD)), ("imported", S),

@@ -169,7 +169,7 @@ def condition_facts(node: ast.If) -> dict:
     out: dict = {"has_else": bool(node.orelse)}
     t = node.test
     if isinstance(t, ast.Compare) and isinstance(t.ops[0], ast.In):
-        out |= {"container": last_name(t.comparators[0]), "key": last_name(t.left)}
+        out |= {"container": last_name(t.comparators[0]), "member": last_name(t.left)}
         out["subscripts"] = subscripts(node.body)
         b = node.body
         out["body_append"] = len(b) == 1 and isinstance(b[0], ast.Expr) and isinstance(b[0].value, ast.Call) and isinstance(b[0].value.func, ast.Attribute) and b[0].value.func.attr == "append"
