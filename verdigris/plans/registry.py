@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdigris.plans import review_queries
+from verdigris.plans import review_queries, table_queries
 
-QUERIES = dict(review_queries.QUERIES)
-ORACLES = dict(review_queries.ORACLES)
+QUERIES = review_queries.QUERIES | table_queries.QUERIES
+ORACLES = review_queries.ORACLES | table_queries.ORACLES
