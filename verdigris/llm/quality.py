@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import discard, map_batches, materialize, read, small_slices, texts
 
 ORDER, QUANTILE, FOLDS, NEAR_ROWS, NEAR_IDS = 5, 0.99, 5, 4_000_000, 8_000_000
+#: Bytes of text that are looked at together, and distinct n-grams that a task sums up before it passes them on.
+SLICE, HELD = 4 << 20, 1_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,20 +67,31 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
     """(g, n): every n-gram of docs (text, trusted boolean), and its count in trusted ones."""
 
-    def run(batch):
-        for part in small_slices(batch, 32 << 20):
-            flat, ends, lengths = code_points(texts(part), order)
-            if not len(ends):
-                continue
-            codes, unique, place = distinct(gram_hashes(flat, ends, order))
-            trusted = np.repeat(np.array(part.column("trusted").to_pylist(), bool), lengths)
-            n = np.bincount(codes[trusted], minlength=len(unique))
-            at = ends[place]
-            chars = np.stack([flat[at - order + 1 + i] for i in range(order)], axis=1)
-            whole = chars.tobytes().decode("utf-32-le")
-            yield pa.record_batch([pa.array([whole[i : i + order] for i in range(0, len(whole), order)]), pa.array(n.astype(np.int64))], ["g", "n"])
+    def merged(held: list[tuple]):
+        """One row for each n-gram of what was held."""
+        codes, unique, place = distinct(np.concatenate([h for h, _, _ in held]))
+        n = np.bincount(codes, np.concatenate([n for _, n, _ in held]), len(unique)).astype(np.int64)
+        whole = np.concatenate([c for _, _, c in held])[place].tobytes().decode("utf-32-le")
+        return pa.record_batch([pa.array([whole[i : i + order] for i in range(0, len(whole), order)]), pa.array(n)], ["g", "n"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for part in small_slices(batch, SLICE):
+                flat, ends, lengths = code_points(texts(part), order)
+                if not len(ends):
+                    continue
+                codes, unique, place = distinct(gram_hashes(flat, ends, order))
+                trusted = np.repeat(np.array(part.column("trusted").to_pylist(), bool), lengths)
+                at = ends[place]
+                held.append((unique, np.bincount(codes[trusted], minlength=len(unique)), np.stack([flat[at - order + 1 + i] for i in range(order)], axis=1)))
+                if sum(len(h) for h, _, _ in held) > HELD:
+                    yield merged(held)
+                    held = []
+        if held:
+            yield merged(held)
 
-    return map_batches(docs, run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -129,7 +142,7 @@ def score(docs: DataFrame, table: DataFrame, order: int, near_rows: int) -> Data
 
         def run(batch):
             hashes, logp = shared.value
-            for part in small_slices(batch, 32 << 20):
+            for part in small_slices(batch, SLICE):
                 flat, ends, lengths = code_points(texts(part), order)
                 sums = np.zeros(len(lengths))
                 if len(ends):
@@ -143,7 +156,7 @@ def score(docs: DataFrame, table: DataFrame, order: int, near_rows: int) -> Data
         return map_batches(docs, run, f"{kept}, logp double, chars long")
 
     def grams(batch):
-        for part in small_slices(batch, 8 << 20):
+        for part in small_slices(batch, SLICE):
             flat, ends, lengths = code_points(texts(part), order)
             if not len(ends):
                 continue
