@@ -2,8 +2,8 @@
 
 Texts become canonical words: a number is NUM, a unit after a number UNIT, a capitalised word inside a sentence NAME,
 any other word itself in lower case. Every window of ``WINDOW`` canonical words is hashed (items with fewer words
-use windows of their whole length, from ``LEAST`` words on) and looked up among the benchmark's windows. For
-each document and item that share windows, the placeholders' values are compared along each alignment: a value of the
+use windows of their whole length, from ``LEAST`` words on) and looked up among the benchmark's windows; windows with
+placeholders also go as they are, in lower case, so that a copy in other letter case is found. For each document and item that share windows, the placeholders' values are compared along each alignment: a value of the
 item must always meet the same value in the document. A window with fewer than half literal words counts only
 if its values are equal.
 
@@ -64,9 +64,10 @@ def _kind(token: str) -> int:
 
 @dataclass
 class Canonical:
-    """Canonical words of some texts, end to end. slot: the value's hash where a word is a placeholder, else 0."""
+    """Canonical words of some texts, end to end. slot: the value's hash where a word is a placeholder, else 0; value: every word's."""
 
     code: np.ndarray
+    value: np.ndarray
     slot: np.ndarray
     text: np.ndarray
 
@@ -100,21 +101,27 @@ class Canonicalizer:
         after[1:] = (kind[:-1] == NUM) & (text[1:] == text[:-1])
         kind[(kind == UNIT) & ~after] = LITERAL
         kind[(kind == NAME) & head] = LITERAL
-        return Canonical(np.where(kind == LITERAL, value, MARKS[kind]), np.where(kind == LITERAL, np.uint64(0), value), text)
+        return Canonical(np.where(kind == LITERAL, value, MARKS[kind]), value, np.where(kind == LITERAL, np.uint64(0), value), text)
 
 
 def window_hashes(c: Canonical, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every window of that length inside one text."""
+    """(start, hash) of every window of that length inside one text; those with placeholders come again as they are."""
     n = len(c.code) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(length))
+    start = np.flatnonzero(c.text[:n] == c.text[length - 1 :])
+    held = np.cumsum(np.append(0, c.slot != 0))
+    again = start[held[start + length] > held[start]]
+    every = np.full(n, np.uint64(length))
+    for j in range(length):
+        every = every * BASE + c.code[j : j + n]
+    some = np.full(len(again), np.uint64(length))
     for j in range(length):
-        h = h * BASE + c.code[j : j + n]
+        some = some * BASE + c.value[again + j]
+    h = np.concatenate([every[start], some])
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    start = np.flatnonzero(c.text[:n] == c.text[length - 1 :])
-    return start, h[start]
+    return np.concatenate([start, again]), h
 
 
 class Benchmark:
@@ -176,7 +183,7 @@ class Benchmark:
             at = np.array(starts)[:, None] + np.arange(n)
             mine, theirs = self.words.slot[at], c.slot[at + shift]
             literal = (mine == 0).sum(axis=1)
-            differs = (mine != theirs).any(axis=1)
+            differs = (self.words.value[at] != c.value[at + shift]).any(axis=1)
             # each value of the item must meet one value only along this alignment
             flat = np.unique(np.column_stack([at.ravel(), mine.ravel(), theirs.ravel()])[mine.ravel() != 0], axis=0)[:, 1:]
             pairings = np.unique(flat, axis=0)
