@@ -10,7 +10,8 @@
    rows is at most ``near_rows``, else the documents' n-grams meet it in a join that AQE can split.
 5. One trusted document in ``FOLDS``, by a hash of its id, is left out of the counts: in its own model a text looks
    better than a new one. A language's threshold is the ``quantile`` of those documents' perplexities, exact to a
-   thousandth of a natural logarithm; a language without any takes that of all languages.
+   thousandth of a natural logarithm; a language with fewer than ``LEAST`` of them takes that of all languages if it
+   is larger, and a language without any takes it anyway.
 
 Trusted are the documents that labels call good and not toxic, in all their rows. Counts, statistics and thresholds
 cover all data. Texts begin with ``order - 1`` NUL characters. An empty or null text has no perplexity and is not
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import discard, map_batches, materialize, read, small_slices, texts
 
-ORDER, QUANTILE, FOLDS, NEAR_ROWS, NEAR_IDS = 5, 0.99, 5, 4_000_000, 8_000_000
+ORDER, QUANTILE, FOLDS, LEAST, NEAR_ROWS, NEAR_IDS = 5, 0.99, 5, 100, 4_000_000, 8_000_000
 #: Bytes of text that are looked at together, and distinct n-grams that a task sums up before it passes them on.
 SLICE, HELD = 4 << 20, 1_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -202,12 +203,13 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     scored = materialize(score(keyed, table, order, near_rows).select("doc_id", "lang", "trusted", "left_out", "chars", F.when(F.col("chars") > 0, F.exp(-F.col("logp") / F.col("chars"))).alias("perplexity")), "perplexities")
     discard(counts)
     bins = scored.where("left_out and chars > 0").groupBy("lang", F.ceil(F.ln("perplexity") * 1000).alias("bin")).agg(F.count("*").alias("n"))
-    over_all = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(1).alias("one"), "bin", "n")
-    by_lang = _quantile(bins.withColumn("lang", F.coalesce("lang", F.lit(""))), "lang", quantile).select(F.col("lang").alias("l"), F.col("cut").alias("own"))
-    rest = _quantile(over_all, "one", quantile).select(F.col("cut").alias("any"))
+    of_all = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(1).alias("one"), "bin", "n")
+    by_lang = _quantile(bins.withColumn("lang", F.coalesce("lang", F.lit(""))), "lang", quantile).select(F.col("lang").alias("l"), F.col("cut").alias("own"), F.col("total").alias("held"))
+    rest = _quantile(of_all, "one", quantile).select(F.col("cut").alias("any"))
     out = scored.join(by_lang, F.coalesce(scored["lang"], F.lit("")) == by_lang["l"], "left").drop("l")
     cut = rest.first()  # one number
-    out = out.withColumn("threshold", F.coalesce("own", F.lit(cut["any"] if cut else math.inf)))
+    over_all = F.lit(cut["any"] if cut else math.inf)
+    out = out.withColumn("threshold", F.when(F.col("held") >= LEAST, F.col("own")).otherwise(F.greatest(F.coalesce("own", over_all), over_all)))
     return out.select("doc_id", "lang", F.col("chars").alias("n_chars"), "perplexity", "threshold", "trusted", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))
 
 
@@ -215,7 +217,7 @@ def _quantile(bins: DataFrame, by: str, quantile: float) -> DataFrame:
     """The smallest bin's upper end that at least this share of each group is at or below; bins are few thousands."""
     w = Window.partitionBy(by)
     run = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(w)})
-    return run.where(F.col("upto") >= F.ceil(F.col("total") * quantile)).groupBy(by).agg((F.exp(F.min("bin") / 1000.0)).alias("cut"))
+    return run.where(F.col("upto") >= F.ceil(F.col("total") * quantile)).groupBy(by).agg(F.exp(F.min("bin") / 1000.0).alias("cut"), F.max("total").alias("total"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
