@@ -47,13 +47,13 @@ def fingerprint(text: str, words: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id long, fp long: the fingerprint's bits) for every row of docs (doc_id, text)."""
+    """(doc_id long, text_hash long, fp long: the fingerprint's bits) for every row of docs (doc_id, text)."""
 
     def run(batch):
         fps = np.array([fingerprint(t, words) for t in texts(batch)], np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    return map_batches(docs, run, "doc_id long, fp long")
+    return map_batches(docs.withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, fp long")
 
 
 @cache
@@ -133,7 +133,7 @@ def near_links(fps: DataFrame, bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row: documents whose fingerprints are linked share a component_id."""
+    """(doc_id, text_hash, fp, component_id) of every row: documents whose fingerprints are linked share a component_id."""
     each = materialize(fingerprints(pick(docs, id_col, text_col), words), "fingerprints")
     fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = connected_components(near_links(fps.select("fp"), bits))
@@ -141,20 +141,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, id_col: str
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     component = materialize(member.join(least, "root").select("fp", "component_id"), "fingerprint-components")
     discard(fps)
-    return each.join(component, "fp").select("doc_id", "fp", "component_id")
+    return each.join(component, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the smallest doc_id of each component; of rows with equal id and text one stays."""
-    found = materialize(near_duplicates(docs, words, bits, id_col, text_col).select("doc_id", "component_id"), "components")
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct()
-    key = F.col(id_col).cast("long")
-    kept = docs.join(lost, key.eqNullSafe(F.col("_lost")), "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+def keep_one(docs: DataFrame, words: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text", near_ids: int = 8_000_000) -> DataFrame:
+    """docs without all but the smallest doc_id of each component; of rows with equal id and text one stays.
+
+    The ids that go are broadcast if there are at most near_ids (16 bytes each), so that texts are not shuffled."""
+    found = materialize(near_duplicates(docs, words, bits, id_col, text_col).select("doc_id", "text_hash", "component_id"), "components")
+    # a row is known by its id and its text's hash, so that rows with one id, or none, are told apart
+    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_hash")).distinct()
+    lost = materialize(lost, "lost")
+    twice = materialize(found.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_hash")), "repeated")
+
+    def near(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= near_ids else ids
+
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_lost")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
+    kept = docs.join(near(lost), same, "left_anti")
     if twice.isEmpty():
         return kept
-    same = key.eqNullSafe(F.col("_twice"))
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.join(near(twice), same, "left_anti").unionByName(kept.join(near(twice), same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
