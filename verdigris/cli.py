@@ -53,4 +53,6 @@ def main(argv: list[str] | None = None) -> int:
         report.write_text(found, a.export)
     for row in broken:
         print(f"{row['path']}: {row['error']}", file=sys.stderr)
+    for cached in (found, good, files):
+        cached.unpersist()
     return int(bool(broken))

@@ -13,19 +13,21 @@ from verdigris.schemas import FILES
 ROOT_MARKS = (".git", "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt")
 
 
+def _files(raw: DataFrame) -> DataFrame:
+    """(path, source, mtime) of a binaryFile source; the source is null where the bytes are not UTF-8."""
+    path = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
+    return raw.select(path.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("source"), F.col("modificationTime").alias("mtime"))
+
+
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*.py") -> DataFrame:
     """All files below folder that fit the pattern; path is relative to it."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
-    rows = raw.select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("source"), F.col("_metadata.file_modification_time").alias("mtime"))
-    base = F.lit(folder.rstrip("/") + "/")
-    path = F.url_decode(F.regexp_replace("uri", r"^[a-z0-9]+:/*", "/"))
-    plain = F.regexp_replace(base, r"^[a-z0-9]+:/*", "/")
-    return rows.select(F.when(F.startswith(path, plain), F.substr(path, F.length(plain) + 1)).otherwise(path).alias("path"), "source", "mtime")
+    rows = _files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder))
+    base = F.regexp_replace(F.lit(folder.rstrip("/") + "/"), r"^[a-z0-9]+:/*", "/")
+    return rows.withColumn("path", F.when(F.startswith(F.col("path"), base), F.substr(F.col("path"), F.length(base) + 1)).otherwise(F.col("path")))
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
-    return raw.select(F.lit(path).alias("path"), F.col("value").alias("source"), F.col("_metadata.file_modification_time").alias("mtime"))
+    return _files(spark.read.format("binaryFile").load(path)).withColumn("path", F.lit(path))
 
 
 def from_text(spark: SparkSession, source: str, path: str = "<string>") -> DataFrame:
@@ -39,8 +41,8 @@ def from_rows(rows: DataFrame, path: str, source: str) -> DataFrame:
 
 def stream_folder(spark: SparkSession, folder: str, pattern: str = "*.py", files_per_trigger: int = 1000) -> DataFrame:
     """A stream of files as they are saved into folder."""
-    raw = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return raw.select(F.url_decode(F.regexp_replace("_metadata.file_path", r"^[a-z0-9]+:/*", "/")).alias("path"), F.col("value").alias("source"), F.col("_metadata.file_modification_time").alias("mtime"))
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return _files(spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder))
 
 
 def project_root(paths: list[str]) -> str | None:

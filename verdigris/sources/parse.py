@@ -190,8 +190,11 @@ def slice_form(node: ast.Subscript) -> str | None:
     return "suffix" if s.lower is None and isinstance(s.upper, ast.UnaryOp) and isinstance(s.upper.op, ast.USub) and len_of_name(s.upper.operand) else None
 
 
-def facts(source: str) -> Iterator[dict]:
-    """Rows of FACTS for a source text."""
+def facts(source: str | None) -> Iterator[dict]:
+    """Rows of FACTS for a source text; None stands for bytes that are no UTF-8 text."""
+    if source is None:
+        yield {"kind": "__error__", "bfs": 0, "pre": 0, "line": 0, "error": "UnicodeDecodeError: not UTF-8"}
+        return
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
@@ -280,7 +283,7 @@ def _rows(files: DataFrame, fn, schema: StructType, keep: list[str]) -> DataFram
                 return pa.record_batch([*own, *(pa.array([r.get(n) for r in rows], arrow.field(n).type) for n in names)], schema=arrow)
 
             for i, source in enumerate(batch.column("source").to_pylist()):
-                for row in fn(source or ""):
+                for row in fn(source):
                     rows.append(row)
                     owner.append(i)
                 if len(rows) >= ROWS_PER_BATCH:
@@ -319,9 +322,9 @@ def first_line(node) -> str:
     return doc.splitlines()[0] if doc else ""
 
 
-def symbols(source: str) -> Iterator[dict]:
+def symbols(source: str | None) -> Iterator[dict]:
     try:
-        tree = ast.parse(source)
+        tree = ast.parse(source or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
     ordinal = 0
