@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from verdigris.llm import components, decontaminate, html_text, quality, simhash, topk
+from verdigris.llm import components, decontaminate, html_text, quality, shingle_links, simhash, topk
 from verdigris.llm.dom import Node, aligned, match, parse
 
 
@@ -24,7 +24,8 @@ def plain_fingerprint(text, k):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def groups(fps, bits):
+def groups(fps, bits, sets=None):
+    """Components of fingerprints within bits, or of sets with a Jaccard similarity of 0.8."""
     parent = list(range(len(fps)))
 
     def find(x):
@@ -34,7 +35,8 @@ def groups(fps, bits):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= bits and find(i) != find(j):
+            near = (fps[i] ^ fps[j]).bit_count() <= bits or sets is not None and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if near and find(i) != find(j):
                 parent[find(i)] = find(j)
     return [find(i) for i in range(len(fps))]
 
@@ -84,10 +86,45 @@ def test_components_equal_brute_force(spark, docs, none):
     assert sorted([(r.doc_id, r.component_id) for r in found], key=str) == sorted([(r.doc_id, least[x]) for r, x in zip(data, g, strict=True)], key=str)
     assert simhash.near_duplicates(none).collect() == []
     for near in (8_000_000, 0):
-        kept = simhash.keep_one(docs, words=3, near_ids=near)
+        kept = simhash.keep_one(docs, words=3, similarity=None, near_ids=near)
         assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted({least[x] for x in g}, key=str) and kept.columns == docs.columns
 
 
+def test_similar_texts_are_linked_and_others_are_not(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base = [[word() for _ in range(120)] for _ in range(12)]
+
+    def edited(w, n):
+        w = list(w)
+        for i in range(n):  # each change of a word changes five shingles
+            w[7 + i * 11] = word()
+        return " ".join(w)
+
+    texts = [(100 * b + i, edited(w, n)) for b, w in enumerate(base) for i, n in enumerate([0, 1, 2, 2, 2, 5, 9])] + [(9000, None), (9001, ""), (9002, "one two"), (9003, "One  TWO"), (9004, "one three")]
+    texts += [(9100 + i, " ".join(base[0])) for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for _, t in texts]
+    g = groups([plain_fingerprint(t, 5) for _, t in texts], 2, sets)
+    least = {x: min(d for (d, _), y in zip(texts, g, strict=True) if x == y) for x in g}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 2, 0.8).collect()}
+    assert got == {d: least[x] for (d, _), x in zip(texts, g, strict=True)}
+    assert got[103] == 100 and got[106] == 106  # two changed words of 120 are near, nine are not
+
+
+def test_members_far_from_their_leader_are_compared_with_all(spark):
+    sets = {1: range(100), 2: range(15, 110), 3: range(30, 125), 4: range(500, 600)}
+    packed = spark.createDataFrame([(k, bytearray(np.array(list(v), np.uint32).tobytes())) for k, v in sets.items()], "node long, shingles binary")
+    members = spark.createDataFrame([(7, n) for n in sets] + [(8, 1), (9, 4)], "key long, node long")
+    asked = lambda nodes: packed.join(nodes, "node")
+    for least in (0.5, 0.7, 0.9):
+        want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= least * len({*sets[a]} | {*sets[b]})}
+        root = {n: n for n in sets} | dict(rows(components.connected_components(shingle_links.similar_links(members, asked, least))))
+        expected = {n: n for n in sets} | dict(rows(components.connected_components(spark.createDataFrame(list(want) or [(1, 1)], "a long, b long"))))
+        assert root == expected
+    assert shingle_links.similar_links(members.where("false"), asked, 0.8).collect() == []
+
+
 def test_long_chain_of_links_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     root = dict(rows(components.connected_components(links)))
@@ -287,7 +324,7 @@ def test_pipeline_equals_its_parts_by_brute_force(spark):
     lines = {i: t for i, t, _, _ in expected_lines(data, 10)}
     ids = sorted(lines)
     fp = [plain_fingerprint(lines[i], 5) for i in ids]
-    g = groups(fp, 2)
+    g = groups(fp, 2, [set(simhash.shingle_hashes(lines[i], 5).tolist()) for i in ids])
     kept = sorted({min(i for i, y in zip(ids, g, strict=True) if y == x) for x in g})
     left = {(r.doc_id) for r in decontaminate.find_leaks(spark.createDataFrame([(i, lines[i]) for i in kept], "doc_id long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == [i for i in kept if i not in left]

@@ -26,34 +26,48 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import discard, map_batches, materialize, pick, texts
+from verdigris.llm.common import discard, map_batches, materialize, pick, small_slices, texts
 from verdigris.llm.components import connected_components
+from verdigris.llm.shingle_links import band_rows, bands, shingle_set, similar_links
 
 N, INFO, RADIUS = 23, 12, 3
+#: Rows of 16 bytes that are broadcast at most.
+NEAR_IDS = 8_000_000
 #: Fixed value: the Golay code's generator polynomial, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 
 
-def fingerprint(text: str, words: int, seed: int = 42) -> int:
+def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
     w = text.encode().lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+
+
+def fingerprint(text: str, words: int, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, words, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id long, text_hash long, fp long: the fingerprint's bits) for every row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, words: int, with_bands: bool = False) -> DataFrame:
+    """(doc_id long, text_hash long, fp long: the fingerprint's bits, bands array<long>) for every row of docs (doc_id, text)."""
 
     def run(batch):
-        fps = np.array([fingerprint(t, words) for t in texts(batch)], np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps)], ["doc_id", "text_hash", "fp"])
+        for part in small_slices(batch, 8 << 20):
+            hashed = [shingle_hashes(t, words) for t in texts(part)]
+            fps = np.array([majority(h) for h in hashed], np.uint64).view(np.int64)
+            own = [bands(h) for h in hashed] if with_bands else [None] * len(hashed)
+            yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), pa.array(fps), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "bands"])
 
-    return map_batches(docs.withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, fp long")
+    return map_batches(docs.withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, fp long, bands array<long>")
 
 
 @cache
@@ -132,11 +146,30 @@ def near_links(fps: DataFrame, bits: int) -> DataFrame:
     return left.join(right, "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row: documents whose fingerprints are linked share a component_id."""
-    each = materialize(fingerprints(pick(docs, id_col, text_col), words), "fingerprints")
-    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(near_links(fps.select("fp"), bits))
+def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", near_ids: int = NEAR_IDS) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) of every row: documents whose fingerprints are linked share a component_id.
+
+    With a similarity, documents are linked as well whose shingle sets are at least so similar (see shingle_links);
+    of texts with one fingerprint, which are linked anyway, one stands for all."""
+    own = pick(docs, id_col, text_col)
+    each = materialize(fingerprints(own, words, similarity is not None), "fingerprints")
+    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("stands")), "distinct-fingerprints")
+    links = near_links(fps.select("fp"), bits)
+    if similarity is not None:
+
+        def shingles_of(nodes: DataFrame) -> DataFrame:
+            chosen = materialize(fps.join(nodes, fps["fp"] == nodes["node"]).select("node", "stands"), "compared")
+            side = F.broadcast(chosen) if chosen.count() <= near_ids else chosen
+
+            def sets(batch):
+                for part in small_slices(batch, 8 << 20):
+                    yield pa.record_batch([part.column("node"), pa.array([shingle_set(shingle_hashes(t, words)) for t in texts(part)], pa.binary())], ["node", "shingles"])
+
+            stand = own.join(side, F.xxhash64("text") == F.col("stands")).select("node", "text")
+            return map_batches(stand, sets, "node long, shingles binary").dropDuplicates(["node"])
+
+        links = links.unionByName(similar_links(band_rows(each), shingles_of, similarity))
+    roots = connected_components(links)
     member = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     component = materialize(member.join(least, "root").select("fp", "component_id"), "fingerprint-components")
@@ -144,11 +177,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, id_col: str
     return each.join(component, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text", near_ids: int = 8_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, bits: int = 2, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", near_ids: int = NEAR_IDS) -> DataFrame:
     """docs without all but the smallest doc_id of each component; of rows with equal id and text one stays.
 
     The ids that go are broadcast if there are at most near_ids (16 bytes each), so that texts are not shuffled."""
-    found = materialize(near_duplicates(docs, words, bits, id_col, text_col).select("doc_id", "text_hash", "component_id"), "components")
+    found = materialize(near_duplicates(docs, words, bits, similarity, id_col, text_col, near_ids).select("doc_id", "text_hash", "component_id"), "components")
     # a row is known by its id and its text's hash, so that rows with one id, or none, are told apart
     lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_hash")).distinct()
     lost = materialize(lost, "lost")
