@@ -6,7 +6,8 @@ return the columns of documents, with n_chars brought up to date where texts cha
 1. language: a document without letters, or whose words agree on no language, goes. The model learns from the
    stage's own documents that carry a language.
 2. lines: a line that at least 10 of the documents hold goes from all of them; documents stay, be they empty.
-3. near_duplicates: of each group of documents linked by 5-word shingles the one with the smallest doc_id stays.
+3. near_duplicates: of each group of documents linked by their fingerprints of 5-word shingles, or by a Jaccard
+   similarity of at least 0.8 of those shingles, the one with the smallest doc_id stays.
 4. decontaminate: a document that holds a benchmark item goes.
 5. bpe: ids and decoded text of every document that is left.
 """
@@ -31,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, words=5, bits=2).select(docs.columns)
+    return simhash.keep_one(docs, words=5, bits=2, similarity=0.8).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
