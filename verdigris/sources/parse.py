@@ -9,7 +9,6 @@ of kind ``__error__`` and disturbs no other.
 from __future__ import annotations
 
 import ast
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +19,9 @@ from pyspark.sql.types import StructType
 from verdigris.schemas import FACTS, SYMBOLS
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-#: Blocks that count towards nesting.
-BLOCKS = (ast.For, ast.AsyncFor, ast.While, ast.If, ast.With, ast.AsyncWith, ast.Try, ast.Match)
+LOOPS = frozenset((ast.For, ast.AsyncFor, ast.While))
+#: Nodes that the parser shares between places; they are no rows.
+SHARED = frozenset(c for base in (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop) for c in base.__subclasses__())
 ROWS_PER_BATCH = 5000
 
 
@@ -74,20 +74,43 @@ def initialised(fn, fits) -> list[str]:
     return [s.targets[0].id for s in fn.body if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name) and fits(s.value)]
 
 
-def subscripts(roots) -> list[dict]:
-    """{seq, idx} of every ``seq[idx]`` of two names below roots, breadth first."""
-    out, queue = [], deque(roots)
-    while queue:
-        n = queue.popleft()
-        if isinstance(n, ast.Subscript) and isinstance(n.value, ast.Name) and isinstance(n.slice, ast.Name):
-            out.append({"seq": n.value.id, "idx": n.slice.id})
-        queue.extend(ast.iter_child_nodes(n))
-    return out
+class Tree:
+    """A parsed file with what is below each node, breadth first numbers, and the statement after each loop."""
+
+    def __init__(self, root: ast.AST):
+        self.root, self.kids, self.after = root, {}, {}
+        self.order = [root]
+        for n in self.order:
+            own = self.kids[id(n)] = []
+            for field in n._fields:
+                value = getattr(n, field, None)
+                if type(value) is list:
+                    for i, x in enumerate(value):
+                        if isinstance(x, ast.AST) and type(x) not in SHARED:
+                            own.append(x)
+                            if type(x) in LOOPS:
+                                self.after[id(x)] = value[i + 1] if i + 1 < len(value) else None
+                elif isinstance(value, ast.AST) and type(value) not in SHARED:
+                    own.append(value)
+            self.order += own
+        self.bfs = {id(n): i for i, n in enumerate(self.order)}
+
+    def below(self, *roots) -> list:
+        """roots and all nodes below them, breadth first."""
+        out = list(roots)
+        for n in out:
+            out += self.kids[id(n)]
+        return out
+
+
+def subscripts(nodes) -> list[dict]:
+    """{seq, idx} of every ``seq[idx]`` of two names among nodes."""
+    return [{"seq": n.value.id, "idx": n.slice.id} for n in nodes if type(n) is ast.Subscript and type(n.value) is ast.Name and type(n.slice) is ast.Name]
 
 
-def passed_names(fn) -> list[str]:
-    """Names given as arguments to any call below fn."""
-    return sorted({n for c in ast.walk(fn) if isinstance(c, ast.Call) for a in [*c.args, *(k.value for k in c.keywords)] if (n := last_name(a))})
+def passed_names(nodes) -> list[str]:
+    """Names given as arguments to any call among nodes."""
+    return sorted({n for c in nodes if type(c) is ast.Call for a in [*c.args, *(k.value for k in c.keywords)] if (n := last_name(a))})
 
 
 def statement_runs(body: list[ast.stmt]) -> list[dict]:
@@ -104,19 +127,20 @@ def statement_runs(body: list[ast.stmt]) -> list[dict]:
     return out
 
 
-def class_facts(cls: ast.ClassDef) -> dict:
+def class_facts(cls: ast.ClassDef, tree: Tree) -> dict:
     methods = [s for s in cls.body if isinstance(s, FUNCTIONS)]
     code = [s for s in cls.body if not bare_text(s)]
-    writes, targets, reads = [], set(), set()
+    writes, targets = [], set()
     for init in (m for m in methods if m.name == "__init__"):
-        for n in ast.walk(init):
+        for n in tree.below(init):
             if isinstance(n, (ast.Assign, ast.AnnAssign)):
                 whole = n.targets if isinstance(n, ast.Assign) else [n.target]
                 writes += [{"attr": a, "line": n.lineno} for t in whole if (a := self_attribute(t))]
-    for n in ast.walk(cls):
+    everything = tree.below(cls)
+    for n in everything:
         if isinstance(n, (ast.Assign, ast.AnnAssign)):
-            targets.update(id(x) for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) for x in ast.walk(t))
-    reads = {a for n in ast.walk(cls) if (a := self_attribute(n)) and id(n) not in targets}
+            targets.update(map(id, tree.below(*(n.targets if isinstance(n, ast.Assign) else [n.target]))))
+    reads = {a for n in everything if (a := self_attribute(n)) and id(n) not in targets}
     return {
         "is_dataclass": dataclass_like(cls), "n_attrs": sum(isinstance(s, (ast.Assign, ast.AnnAssign)) for s in cls.body), "n_methods": len(methods),
         "n_plain_methods": sum(m.name != "__init__" for m in methods), "span": code[-1].end_lineno - code[0].lineno + 1 if code else 0, "writes": writes, "reads": sorted(reads),
@@ -140,8 +164,8 @@ def parameters(fn) -> int:
     return n - bool(a.args and a.args[0].arg in ("self", "cls"))
 
 
-def loop_facts(node, after) -> dict:
-    out: dict = {"n_body": len(node.body), "next_returns": returns(after)}
+def loop_facts(node, tree: Tree) -> dict:
+    out: dict = {"n_body": len(node.body), "next_returns": returns(tree.after.get(id(node)))}
     first = node.body[0]
     if len(node.body) == 1 and isinstance(first, ast.If):
         out |= {"body_else": bool(first.orelse), "body_returns": returns(first.body[0]) if len(first.body) == 1 else None}
@@ -161,16 +185,16 @@ def loop_facts(node, after) -> dict:
         out["target"] = last_name(node.target)
         out["range_len"] = isinstance(it, ast.Call) and last_name(it.func) == "range" and len(it.args) == 1 and isinstance(it.args[0], ast.Call) and last_name(it.args[0].func) == "len"
         if out["range_len"] and out["target"]:
-            out["subscripts"] = [s for s in subscripts([node]) if s["idx"] == out["target"]]
+            out["subscripts"] = [s for s in subscripts(tree.below(node)) if s["idx"] == out["target"]]
     return out
 
 
-def condition_facts(node: ast.If) -> dict:
+def condition_facts(node: ast.If, tree: Tree) -> dict:
     out: dict = {"has_else": bool(node.orelse)}
     t = node.test
     if isinstance(t, ast.Compare) and isinstance(t.ops[0], ast.In):
         out |= {"container": last_name(t.comparators[0]), "member": last_name(t.left)}
-        out["subscripts"] = subscripts(node.body)
+        out["subscripts"] = subscripts(tree.below(*node.body))
         b = node.body
         out["body_append"] = len(b) == 1 and isinstance(b[0], ast.Expr) and isinstance(b[0].value, ast.Call) and isinstance(b[0].value.func, ast.Attribute) and b[0].value.func.attr == "append"
         out["else_assign"] = len(node.orelse) == 1 and isinstance(node.orelse[0], ast.Assign)
@@ -200,72 +224,103 @@ def facts(source: str | None) -> Iterator[dict]:
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         yield {"kind": "__error__", "bfs": 0, "pre": 0, "line": getattr(e, "lineno", None) or 0, "error": f"{type(e).__name__}: {e}"}
         return
-    bfs = {id(n): i for i, n in enumerate(n for n in ast.walk(tree) if not isinstance(n, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)))}
+    t = Tree(tree)
     test_module = any(isinstance(s, FUNCTIONS) and s.name.startswith("test_") for s in tree.body)
     methods: list[dict] = []
     start = {"fn_depth": 0, "try_depth": 0, "type_checking_depth": 0, "in_with": False, "blocks": 0, "in_if": False, "lists": (), "strs": (), "outer": None}
-    stack: list[tuple] = [(tree, start, None)]
+    stack: list[tuple] = [(tree, start)]
     pre = -1
     while stack:
-        node, ctx, after = stack.pop()
+        node, ctx = stack.pop()
         pre += 1
-        row: dict = {"kind": type(node).__name__, "bfs": bfs.get(id(node), 0), "pre": pre, "line": getattr(node, "lineno", 0), "end_line": getattr(node, "end_lineno", 0), "test_module": test_module}
-        row |= {k: ctx[k] for k in ("fn_depth", "try_depth", "type_checking_depth", "in_with")}
-        inner, wanted = ctx, True
-        if isinstance(node, BLOCKS):
-            blocks, in_if = ctx["blocks"] + (not isinstance(node, ast.If)), ctx["in_if"] or isinstance(node, ast.If)
-            row["depth"] = blocks + in_if
-            inner = ctx | {"blocks": blocks, "in_if": in_if}
-        if isinstance(node, FUNCTIONS):
-            row |= {"name": node.name, "decorated": bool(node.decorator_list), "n_params": parameters(node), "stmts": statement_runs(node.body), "outer_passed": ctx["outer"]}
-            lists = tuple(initialised(node, lambda v: isinstance(v, ast.List) and not v.elts or isinstance(v, ast.ListComp)))
-            inner = inner | {"fn_depth": ctx["fn_depth"] + 1, "lists": lists, "strs": tuple(initialised(node, is_text)), "outer": passed_names(node)}
-        elif isinstance(node, ast.ClassDef):
-            row |= {"name": node.name} | class_facts(node)
-            methods += class_methods(node)
-            inner = inner | {"outer": None}
-        elif isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
-            row |= loop_facts(node, after) | {"scope_lists": list(ctx["lists"]), "scope_strs": list(ctx["strs"])}
-        elif isinstance(node, ast.If):
-            row |= condition_facts(node)
-            if isinstance(node.test, ast.Name) and node.test.id == "TYPE_CHECKING":
-                inner = inner | {"type_checking_depth": ctx["type_checking_depth"] + 1}
-        elif isinstance(node, ast.Try):
-            inner = inner | {"try_depth": ctx["try_depth"] + 1}
-        elif isinstance(node, (ast.With, ast.AsyncWith)):
-            inner = inner | {"in_with": True}
-        elif isinstance(node, ast.Call):
-            f = node.func
-            row |= {
-                "name": last_name(f), "call_form": "name" if isinstance(f, ast.Name) else "attribute" if isinstance(f, ast.Attribute) else None, "n_args": len(node.args),
-                "call_owner": f.value.attr if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Attribute) else None, "lambda_args": [len(a.args.args) for a in node.args if isinstance(a, ast.Lambda)],
-            }
-            wanted = row["name"] is not None
-        elif isinstance(node, ast.Compare):
-            row["none_equality"] = any(isinstance(o, (ast.Eq, ast.NotEq)) and isinstance(c, ast.Constant) and c.value is None for o, c in zip(node.ops, node.comparators, strict=True))
-            wanted = row["none_equality"]
-        elif isinstance(node, ast.BinOp):
-            row |= {"op": type(node.op).__name__, "left_str": is_text(node.left), "right_str": is_text(node.right)}
-            wanted = row["left_str"] or row["right_str"]
-        elif isinstance(node, ast.Subscript):
-            row["slice_form"] = slice_form(node)
-            wanted = row["slice_form"] is not None
-        elif isinstance(node, (ast.Import, ast.ImportFrom)):
-            row["imported"] = ", ".join(a.asname or a.name for a in node.names)
-        elif not isinstance(node, BLOCKS):
-            wanted = False
-        if wanted:
+        inner, row = ctx, None
+        if (handler := HANDLERS.get(type(node))) is not None:
+            row, change = handler(node, ctx, t)
+            if change:
+                inner = ctx | change
+        if row is not None:
+            row["kind"], row["bfs"], row["pre"], row["line"], row["end_line"], row["test_module"] = type(node).__name__, t.bfs[id(node)], pre, node.lineno, node.end_lineno, test_module
+            row["fn_depth"], row["try_depth"], row["type_checking_depth"], row["in_with"] = ctx["fn_depth"], ctx["try_depth"], ctx["type_checking_depth"], ctx["in_with"]
             yield row
-        below: list[tuple] = []
-        for _, value in ast.iter_fields(node):
-            if isinstance(value, list):
-                below += [(x, inner, value[i + 1] if i + 1 < len(value) else None) for i, x in enumerate(value) if isinstance(x, ast.AST)]
-            elif isinstance(value, ast.AST):
-                below.append((value, inner, None))
-        stack.extend(reversed([b for b in below if not isinstance(b[0], (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop))]))
+            if type(node) is ast.ClassDef:
+                methods += class_methods(node)
+        stack += [(k, inner) for k in reversed(t.kids[id(node)])]
     yield {"kind": "Module", "bfs": 0, "pre": 0, "line": 0, "end_line": 0, "test_module": test_module, "methods": [m | {"ord": i} for i, m in enumerate(methods)]}
 
 
+# What a kind of node gives: its row, if any, and what changes for the nodes below it.
+
+
+def _block(node, ctx, t) -> tuple[dict, dict]:
+    blocks, in_if = ctx["blocks"] + (type(node) is not ast.If), ctx["in_if"] or type(node) is ast.If
+    return {"depth": blocks + in_if}, {"blocks": blocks, "in_if": in_if}
+
+
+def _loop(node, ctx, t):
+    row, change = _block(node, ctx, t)
+    return row | loop_facts(node, t) | {"scope_lists": list(ctx["lists"]), "scope_strs": list(ctx["strs"])}, change
+
+
+def _if(node, ctx, t):
+    row, change = _block(node, ctx, t)
+    if type(node.test) is ast.Name and node.test.id == "TYPE_CHECKING":
+        change["type_checking_depth"] = ctx["type_checking_depth"] + 1
+    return row | condition_facts(node, t), change
+
+
+def _try(node, ctx, t):
+    row, change = _block(node, ctx, t)
+    return row, change | {"try_depth": ctx["try_depth"] + 1}
+
+
+def _with(node, ctx, t):
+    row, change = _block(node, ctx, t)
+    return row, change | {"in_with": True}
+
+
+def _function(node, ctx, t):
+    row = {"name": node.name, "decorated": bool(node.decorator_list), "n_params": parameters(node), "stmts": statement_runs(node.body), "outer_passed": ctx["outer"]}
+    lists = tuple(initialised(node, lambda v: isinstance(v, ast.List) and not v.elts or isinstance(v, ast.ListComp)))
+    return row, {"fn_depth": ctx["fn_depth"] + 1, "lists": lists, "strs": tuple(initialised(node, is_text)), "outer": passed_names(t.below(node))}
+
+
+def _class(node, ctx, t):
+    return {"name": node.name} | class_facts(node, t), {"outer": None}
+
+
+def _call(node, ctx, t):
+    f = node.func
+    if (name := last_name(f)) is None:
+        return None, None
+    owner = f.value.attr if type(f) is ast.Attribute and type(f.value) is ast.Attribute else None
+    return {"name": name, "call_form": "name" if type(f) is ast.Name else "attribute", "n_args": len(node.args), "call_owner": owner, "lambda_args": [len(a.args.args) for a in node.args if type(a) is ast.Lambda]}, None
+
+
+def _compare(node, ctx, t):
+    none = any(isinstance(o, (ast.Eq, ast.NotEq)) and type(c) is ast.Constant and c.value is None for o, c in zip(node.ops, node.comparators, strict=True))
+    return ({"none_equality": True} if none else None), None
+
+
+def _operation(node, ctx, t):
+    left, right = is_text(node.left), is_text(node.right)
+    return ({"op": type(node.op).__name__, "left_str": left, "right_str": right} if left or right else None), None
+
+
+def _subscript(node, ctx, t):
+    form = slice_form(node)
+    return ({"slice_form": form} if form else None), None
+
+
+def _import(node, ctx, t):
+    return {"imported": ", ".join(a.asname or a.name for a in node.names)}, None
+
+
+HANDLERS = {
+    ast.For: _loop, ast.AsyncFor: _loop, ast.While: _loop, ast.If: _if, ast.Try: _try, ast.With: _with, ast.AsyncWith: _with, ast.Match: _block, ast.FunctionDef: _function, ast.AsyncFunctionDef: _function,
+    ast.ClassDef: _class, ast.Call: _call, ast.Compare: _compare, ast.BinOp: _operation, ast.Subscript: _subscript, ast.Import: _import, ast.ImportFrom: _import,
+}
+
+
 def _rows(files: DataFrame, fn, schema: StructType, keep: list[str]) -> DataFrame:
     """fn(source) of every file, each row with the file's columns keep."""
     out = StructType([files.schema[k] for k in keep] + list(schema.fields))
@@ -280,7 +335,13 @@ def _rows(files: DataFrame, fn, schema: StructType, keep: list[str]) -> DataFram
 
             def flush(keys=keys):
                 own = [keys.column(i).take(pa.array(owner, pa.int64())).cast(kept.field(i).type) for i in range(len(keep))]
-                return pa.record_batch([*own, *(pa.array([r.get(n) for r in rows], arrow.field(n).type) for n in names)], schema=arrow)
+                columns: dict[str, list] = {}
+                for i, r in enumerate(rows):  # rows are sparse: only what is there is touched
+                    for k, v in r.items():
+                        if k not in columns:
+                            columns[k] = [None] * len(rows)
+                        columns[k][i] = v
+                return pa.record_batch([*own, *(pa.array(columns[n], arrow.field(n).type) if n in columns else pa.nulls(len(rows), arrow.field(n).type) for n in names)], schema=arrow)
 
             for i, source in enumerate(batch.column("source").to_pylist()):
                 for row in fn(source):
