@@ -68,7 +68,7 @@ def test_reports(spark, tmp_path):
     report.write_json(df, found, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     d = report.diagnostics(found).first()
-    assert (d.line, d.to_column, d.level) == (1, 1000, "Hint")
+    assert (d.line, d.to_column, d.level, d.code) == (1, 1000, "Hint", "PY007")
     assert report.links(found, editor=True).first().uri == "vscode://filedirty.py:2"
 
 
@@ -212,6 +212,13 @@ def test_model_review_filters_lines_and_keeps_static_findings(spark):
     assert [(r.path, r.focus, r.error) for r in failed.orderBy("focus").collect()] == [("long.py", f, "OSError: down") for f in ("design", "logic")]
 
 
+def test_suppressions_hold_for_model_findings_unless_told_otherwise(spark):
+    df = spark.createDataFrame([("a.py", "z = 1\n" * 12 + "w = 2  # noqa: LLM001\n", None)], FILES)
+    answer = lambda m: json.dumps({"suggestions": [{"line": 13, "message": "m"}, {"line": 2, "message": "n"}]})
+    lines = lambda **more: sorted(r.line for r in model_review.review_with_model(df, client(answer), focuses=("logic",), **more)[0].collect())
+    assert lines() == [2] and lines(suppress_model=False) == [2, 13]
+
+
 def test_consistency_only_where_siblings_differ(spark):
     pad = "z = 1\n" * 10
     df = table(spark, **{k: v + pad for k, v in PROJECT.items() if k != "broken"})

@@ -168,10 +168,11 @@ def merge(static: DataFrame, model: DataFrame, suppressions: DataFrame | None =
     return both if suppressions is None else suppress(both, suppressions)
 
 
-def review_with_model(files: DataFrame, client: Client, index=None, workers: int = 4, focuses: tuple[str, ...] = FOCUSES, top_k: int = 5) -> tuple[DataFrame, DataFrame]:
+def review_with_model(files: DataFrame, client: Client, index=None, workers: int = 4, focuses: tuple[str, ...] = FOCUSES, top_k: int = 5, suppress_model: bool = True) -> tuple[DataFrame, DataFrame]:
     """(findings, errors): rules and model together. Static findings stay if a call fails; the failure is in errors.
 
-    With an index, files that differ from their siblings are also compared with related code."""
+    With an index, files that differ from their siblings are also compared with related code. Suppression comments hold
+    for model findings too unless suppress_model is false."""
     from verdigris.functions.text import noqa_rows
     from verdigris.operators.report import review
     from verdigris.operators.retrieval import render_related
@@ -186,4 +187,4 @@ def review_with_model(files: DataFrame, client: Client, index=None, workers: int
     answered = ask(asked, client, workers).persist()
     content = answered.withColumn("content", response_content(F.col("response")))
     failed = content.where("content is null").select("path", "focus", F.coalesce("error", F.lit("the response holds no message")).alias("error"))
-    return merge(static, model_findings(content.where("content is not null")), noqa_rows(files)), failed
+    return merge(static, model_findings(content.where("content is not null")), noqa_rows(files) if suppress_model else None), failed

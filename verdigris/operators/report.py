@@ -106,7 +106,7 @@ def exit_code(files: DataFrame) -> int:
 def diagnostics(findings: DataFrame) -> DataFrame:
     """Editor diagnostics: zero-based lines, a fixed range of columns, the editor's severities."""
     level = F.when(F.col("severity") == "WARNING", "Warning").when(F.col("severity") == "INFO", "Information").otherwise("Hint")
-    return findings.select("path", F.greatest(F.col("line") - 1, F.lit(0)).alias("line"), F.lit(0).alias("from_column"), F.lit(1000).alias("to_column"), level.alias("level"), F.concat_ws(": ", "code", "message").alias("text"))
+    return findings.select("path", F.greatest(F.col("line") - 1, F.lit(0)).alias("line"), F.lit(0).alias("from_column"), F.lit(1000).alias("to_column"), level.alias("level"), "message", "code", F.lit("verdigris").alias("source"))
 
 
 def links(findings: DataFrame, editor: bool = False) -> DataFrame:

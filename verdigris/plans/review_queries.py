@@ -132,7 +132,7 @@ CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 4 THEN 'L3' ELSE 'L1' END AS first, CASE
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = report.diagnostics(report.review(mixed_files(spark, sf_dir)))
-    return d.select("path", F.col("line").cast("long").alias("line"), F.col("to_column").cast("long").alias("to_column"), "level", F.substring_index("text", ":", 1).alias("code"))
+    return d.select("path", F.col("line").cast("long").alias("line"), F.col("to_column").cast("long").alias("to_column"), "level", "code")
 
 
 DIAGNOSTICS_SQL = f"WITH f AS ({MIXED_SQL}) SELECT path, greatest(line - 1, 0)::BIGINT AS line, 1000::BIGINT AS to_column, CASE severity WHEN 'WARNING' THEN 'Warning' WHEN 'INFO' THEN 'Information' ELSE 'Hint' END AS level, code FROM f"
