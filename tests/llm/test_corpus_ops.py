@@ -112,7 +112,9 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     assert got[103] == 100 and got[106] == 106  # two changed words of 120 are near, nine are not
 
 
-def test_members_far_from_their_leader_are_compared_with_all(spark):
+@pytest.mark.parametrize("cell", [1024, 1])
+def test_members_far_from_their_leader_are_compared_with_all(spark, monkeypatch, cell):
+    monkeypatch.setattr(shingle_links, "CELL", cell)
     sets = {1: range(100), 2: range(15, 110), 3: range(30, 125), 4: range(500, 600)}
     packed = spark.createDataFrame([(k, bytearray(np.array(list(v), np.uint32).tobytes())) for k, v in sets.items()], "node long, shingles binary")
     members = spark.createDataFrame([(7, n) for n in sets] + [(8, 1), (9, 4)], "key long, node long")
@@ -286,6 +288,7 @@ def test_copies_of_an_article_are_no_template(spark):
     ("source", "want"),
     [
         ("<article><header><h1>A</h1><p>by me</p></header><p>x<br>y &lt;b&gt; &nbsp; z</p><div class='ad-slot'>no</div><table><tr><td>1<td>2</table><form>f</form><script>if(a<b){}</script><style>p</style><!-- c --> tail</article> out", "A\nx y <b> z\n1\n2\ntail"),
+        ("<p title=don't>it's</p><p x='>'>a</p><p y=\">\" z>b</p><p w=\"open>c</p>", "it's\na\nb\nc"), ("a < b <3 <!DOCTYPE x> c", "a < b <3 c"),
         ("", ""), (None, ""), ("<p>a <b>b</b>c<p hidden>z</p>", "a bc"), ("<nav>n</nav><aside>s</aside><p>a</p><footer>f</footer><div class='reader-comments'>c</div><div role='search'>s</div>", "a"),
         ("<article><p>1 &lt 2 &amp;&amp; &am</p></article", "1 < 2 && &am"), ("<main><p>in</p></main><p>out</p>", "in"), ("<p>deep" + "<div>" * 3000 + "x", "deep\nx"),
         ('<article><script>var t="</p>";</script><p><b>One.<br><p>Two <a href="x">link</a>.</p><div style="display: none">h</div></article>', "One.\nTwo link."),
