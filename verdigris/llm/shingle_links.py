@@ -6,9 +6,11 @@ smallest is a one-permutation min-hash. ``ROWS`` neighbouring bins are a band, a
 bucket: at a similarity of 0.8 two documents share none of the 16 with a probability of 0.0002.
 
 A bucket's leader is the member with the largest buckets in all; every member is compared with it, exactly, by its whole
-set. Members that are not within the threshold of their leader are then compared with all members of the bucket.
-Two members that are both within it are in one component already, so no link that a bucket holds is lost, and a group of
-copies around a common original costs one comparison each."""
+set, which is one row for each member. Buckets of which the components that this gives still hold several are then
+settled whole: their intersections are a product of 0/1 matrices, and only links that join components come out. Such
+a bucket is cut into cells of at most twice ``CELL`` members, every two chunks of it meeting in one cell, so no task holds
+a large bucket and no pair of members is a row. No link that a bucket holds is lost to the components.
+"""
 
 from __future__ import annotations
 
@@ -17,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import discard, map_batches, materialize
+from verdigris.llm.common import discard, map_batches, materialize, release
+from verdigris.llm.components import connected_components
 
-BINS, ROWS = 64, 4
+BINS, ROWS, CELL = 64, 4, 512
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,14 +81,58 @@ def similar_links(members: DataFrame, shingles_of, least: float) -> DataFrame:
     led = materialize(own.join(best, "key").select("key", "node", "leader"), "led")
     pairs = led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     near = materialize(verified(pairs, sets, least), "leader-links")
-    rest = led.where("node <> leader").join(near, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select("key", "node", "leader")
-    again = rest.select("key", F.col("node").alias("a"), "leader").join(own.select("key", F.col("node").alias("b")), "key").where("a <> b and b <> leader")
-    again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialize(near.unionByName(verified(again, sets, least)), "shingle-links")
-    discard(own, sets, led, near)
+    roots = connected_components(near).withColumnRenamed("node", "member")
+    placed = materialize(own.join(roots, F.col("node") == F.col("member"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("comp")), "placed")
+    unsettled = placed.where("size > 2").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    links = materialize(near.unionByName(settled(placed.join(unsettled, "key"), sets, least)), "shingle-links")
+    discard(own, sets, led, near, placed)
     return links
 
 
+def settled(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that join components inside the buckets of rows (key, node, size, comp)."""
+    chunks = F.ceil(F.col("size") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    cells = rows.select("key", "node", "comp", own.alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("x"))
+    cells = cells.select("key", "node", "comp", F.least("c", "x").alias("low"), F.greatest("c", "x").alias("high")).join(sets, "node")
+
+    def settle(t: pa.Table) -> pa.Table:
+        release()
+        a, b = joining_links(t["node"].to_numpy(), t["comp"].to_numpy(), t["shingles"].to_pylist(), least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.select("key", "low", "high", "node", "comp", "shingles").groupBy("key", "low", "high").applyInArrow(settle, "a long, b long")
+
+
+def joining_links(nodes: np.ndarray, comps: np.ndarray, packed: list[bytes], least: float) -> tuple[list[int], list[int]]:
+    """Links between nodes whose sets are similar enough, as many as it takes to join their components."""
+    sets = [np.frombuffer(x, np.uint32) for x in packed]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, which = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(which, minlength=len(values)) > 1
+    number = np.cumsum(shared) - 1
+    row, column = row[shared[which]], number[which[shared[which]]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for begin in range(0, int(shared.sum()), 2048):
+        lo, hi = np.searchsorted(column, [begin, begin + 2048])
+        x = np.zeros((len(sets), 2048), np.float32)
+        x[row[lo:hi], column[lo:hi] - begin] = 1
+        both += x @ x.T
+    near = both >= least * (sizes[:, None] + sizes - both) - 1e-3  # whole numbers, so the slack admits no other pair
+    label = np.unique(comps, return_inverse=True)[1]
+    a, b = [], []
+    for i in range(len(sets)):
+        for j in np.flatnonzero(near[i] & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(int(nodes[i]))
+                b.append(int(nodes[j]))
+    return a, b
+
+
 def band_rows(hashed: DataFrame) -> DataFrame:
     """(key, node) of documents (fp, bands), once each."""
     return hashed.select(F.explode("bands").alias("key"), F.col("fp").alias("node")).distinct()
