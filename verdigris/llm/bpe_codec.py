@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.bpe_units import FastEncoder, Units, byte_symbols, read_spec
-from verdigris.llm.common import pick, shuffle_partitions, small_slices, texts
+from verdigris.llm.common import pick, release, shuffle_partitions, small_slices, texts
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Shards of the distinct-word table. A task holds one shard's words, so raise it as the vocabulary grows.
 SHARDS = 256
 #: A block's own row has shard -1; its other rows hold the words of one shard of the distinct-word table. place is
@@ -68,6 +68,7 @@ def to_blocks(docs: DataFrame, spec, shards: int) -> DataFrame:
             for part in small_slices(batch, BLOCK_BYTES):
                 yield from _block(part, units, seq, shards)
                 seq += 1
+                release()
 
     return docs.mapInArrow(run, BLOCK)
 
@@ -109,6 +110,8 @@ def encode_words(dealt: DataFrame, spec) -> DataFrame:
                     if w not in known:
                         known[w] = encoder.ids(w.decode()).astype("<u4").tobytes()
                 yield pa.record_batch([pa.array([row["block"]]), pa.array([now], pa.int32()), pa.array([pack_strings([known[w] for w in words])], pa.binary())], ["place", "shard", "ids"])
+        del known
+        release()
 
     return dealt.sortWithinPartitions("shard").mapInArrow(run, "place long, shard int, ids binary")
 
@@ -147,6 +150,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ids = encode_words(dealt, spec)
 
     def lay_out(words: pa.Table, block: pa.Table) -> pa.Table:
+        release()  # what the block before this one took
         pieces, out = Pieces(spec.value), []
         for row in block.filter(pc.equal(block["shard"], -1)).to_pylist():
             shard = np.frombuffer(zstandard.decompress(row["shards"]), np.uint16)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import pick, read, small_slices, texts
+from verdigris.llm.common import pick, read, release, small_slices, texts
 
 WINDOW, LEAST, GROUP_WINDOWS = 8, 5, 2_000_000
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?:;\n]")
@@ -79,7 +79,7 @@ class Canonicalizer:
 
     def __call__(self, batch: list[str]) -> Canonical:
         cut = [TOKEN.findall(t) for t in batch]
-        if len(self.rows) > 400_000:
+        if len(self.rows) > 200_000:
             self.rows, self.kinds, self.hashes = {}, np.zeros(0, np.int8), np.zeros(0, np.uint64)
         new: set[str] = set()
         for c in cut:
@@ -229,7 +229,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, run
         def run_group(batches, shared=shared):
             canonical = Canonicalizer()
             for batch in batches:
-                for part in small_slices(batch, 4 << 20):
+                for part in small_slices(batch, 2 << 20):
                     ids = part.column("doc_id").to_pylist()
                     rows = [(ids[t], shared.value.ids[i], c, r, x) for t, i, c, r, x in shared.value.matches(canonical(texts(part)), coverage, run)]
                     if rows:
@@ -249,9 +249,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, run
         def keep(batches, shared=shared):
             canonical = Canonicalizer()
             for batch in batches:
-                for part in small_slices(batch, 4 << 20, text_col):
+                for part in small_slices(batch, 2 << 20, text_col):
                     gone = {t for t, *_ in shared.value.matches(canonical(texts(part, text_col)), coverage, run)}
                     yield part.filter(pa.array([i not in gone for i in range(part.num_rows)]))
+                release()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

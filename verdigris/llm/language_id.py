@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import map_batches, pick, small_slices, texts
+from verdigris.llm.common import map_batches, pick, release, small_slices, texts
 
 ROWS, SEGMENTS, SEGMENT_WORDS = 400, 6, 25
 BUCKETS = 1 << 16
 CHUNK = 64
-CACHE = 500_000
+CACHE = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -328,7 +328,7 @@ def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
-        for part in small_slices(batch, 4 << 20):
+        for part in small_slices(batch, 2 << 20):
             own = shared.value
             langs, scores = own.label(texts(part)) if own else (["und"] * part.num_rows, [0.0] * part.num_rows)
             yield pa.record_batch([part.column("doc_id"), pa.array(langs), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -342,10 +342,11 @@ def keep_identified(docs: DataFrame, model: Crf | None, min_score: float = 0.3,
 
     def run(batch):
         keep = []
-        for part in small_slices(batch, 4 << 20, text_col):
+        for part in small_slices(batch, 2 << 20, text_col):
             langs, scores = shared.value.label(texts(part, text_col)) if shared.value else (["und"] * part.num_rows, [0.0] * part.num_rows)
             keep += [lang != "und" and s >= min_score for lang, s in zip(langs, scores, strict=True)]
         yield batch.filter(pa.array(keep))
+        release()
 
     return docs.mapInArrow(lambda bs: (x for b in bs if b.num_rows for x in run(b)), docs.schema)
 

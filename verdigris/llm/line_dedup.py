@@ -24,13 +24,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from verdigris.llm.common import discard, map_batches, materialize, texts
+from verdigris.llm.common import discard, map_batches, materialize, small_slices, texts
 from verdigris.llm.cuckoo import CuckooFilter
 
 #: The ASCII white space that is stripped from a key, [\x20\x09-\x0D].
 STRIP = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 100_000
+#: Bytes of text that a task takes up at a time.
+PIECE = 8 << 20
 
 
 def keys_of(text: str, min_chars: int = 1) -> list[bytes]:
@@ -52,8 +55,9 @@ def count_keys(docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> D
 
     def count(batch):
         found: Counter[bytes] = Counter()
-        for text in texts(batch, text_col):
-            found.update({k for k in keys_of(text, min_chars) if k})
+        for part in small_slices(batch, PIECE, text_col):
+            for text in texts(part, text_col):
+                found.update({k for k in keys_of(text, min_chars) if k})
         if found:
             k = _halves(list(found))
             yield pa.record_batch([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(list(found.values()), pa.int64())], ["k1", "k2", "n"])
@@ -139,12 +143,12 @@ class LineIndex:
         shared = spark.sparkContext.broadcast(held)
         min_chars = self.min_chars
         if near:
-            return map_batches(docs, lambda b: [_kept(b, text_col, shared.value, min_chars)], _out_schema(docs))
-        asked = map_batches(docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")), lambda b: _asked(b, shared.value, min_chars), "doc string, k1 long, k2 long")
+            return map_batches(docs, lambda b: (_kept(p, text_col, shared.value, min_chars) for p in small_slices(b, PIECE, text_col)), _out_schema(docs))
+        asked = map_batches(docs.select(F.col(id_col).cast("string").alias("_line_doc"), F.col(text_col).alias("text")), lambda b: _asked(b, shared.value, min_chars), "_line_doc string, k1 long, k2 long")
         # AQE splits the partitions of a key that a large part of the documents holds
-        hot = asked.join(frequent, ["k1", "k2"]).groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("_hot"))
-        joined = docs.withColumn("_doc", F.col(id_col).cast("string")).join(hot, F.col("_doc").eqNullSafe(F.col("doc")), "left").drop("_doc", "doc")
-        return map_batches(joined, lambda b: [_kept(b, text_col, None, min_chars)], _out_schema(docs))
+        hot = asked.join(frequent, ["k1", "k2"]).groupBy("_line_doc").agg(F.collect_set(F.struct("k1", "k2")).alias("_hot"))
+        joined = docs.join(hot, F.col(id_col).cast("string").eqNullSafe(F.col("_line_doc")), "left").drop("_line_doc")
+        return map_batches(joined, lambda b: (_kept(p, text_col, None, min_chars) for p in small_slices(b, PIECE, text_col)), _out_schema(docs))
 
 
 class Filters:
@@ -195,11 +199,11 @@ def _asked(batch: pa.RecordBatch, filters: Filters | None, min_chars: int):
     if filters is not None and len(flat):
         at = filters.may_hold(flat)
         doc, flat = doc[at], flat[at]
-    yield pa.record_batch([batch.column("doc").take(pa.array(doc)), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["doc", "k1", "k2"])
+    yield pa.record_batch([batch.column("_line_doc").take(pa.array(doc)), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["_line_doc", "k1", "k2"])
 
 
-def _out_schema(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
+def _out_schema(docs: DataFrame) -> StructType:
+    return StructType([*docs.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
 
 def _kept(batch: pa.RecordBatch, text_col: str, filters: Filters | None, min_chars: int) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import discard, map_batches, materialize, read, small_slices, texts
+from verdigris.llm.common import discard, map_batches, materialize, read, release, small_slices, texts
 
 ORDER, QUANTILE, FOLDS, LEAST, NEAR_ROWS, NEAR_IDS = 5, 0.99, 5, 100, 4_000_000, 8_000_000
 #: Bytes of text that are looked at together, and distinct n-grams that a task sums up before it passes them on.
@@ -91,6 +91,7 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
                     held = []
         if held:
             yield merged(held)
+        release()
 
     return docs.mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
