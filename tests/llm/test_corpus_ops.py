@@ -160,6 +160,14 @@ def test_decontamination_needs_consistent_values():
     assert not said("Anna gave 4 pears to Carl and then Dora gave 5 pears back to Emil so who has 6 pears now")
 
 
+def test_decontamination_finds_changed_names_at_sentence_starts():
+    b, c = decontaminate.Benchmark([(1, "Tom has 12 apples and Anna has 7 pears. Tom buys 3 more apples. How many fruits does Tom have?")]), decontaminate.Canonicalizer()
+    consistent = "Sam has 15 apples and Lisa has 9 pears. Sam buys 4 more apples. How many fruits does Sam have?"
+    assert b.matches(c([consistent]), 0.5, 20) == [(0, 0, 1.0, 20, True)]
+    assert b.matches(c(["Well, " + consistent]), 0.5, 20)[0][:3] == (0, 0, 1.0)  # a name that no longer begins the sentence
+    assert not b.matches(c(["Sam has 15 apples and Lisa has 9 pears. Max buys 4 more apples. How many fruits does Eve have?"]), 0.5, 20)
+
+
 def test_decontamination_equals_brute_force_windows(spark):
     d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     words = lambda t: re.findall(r"\w+", t.lower())

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows, which also finds re-parameterised questions.
 
 Texts become canonical words: a number is NUM, a unit after a number UNIT, a capitalised word inside a sentence NAME,
-any other word itself in lower case. Every window of ``WINDOW`` canonical words is hashed (items with fewer words
+any other word itself in lower case. A capitalised word that begins a sentence, line or clause can be either, so windows
+with such words are hashed in both readings. Every window of ``WINDOW`` canonical words is hashed (items with fewer words
 use windows of their whole length, from ``LEAST`` words on) and looked up among the benchmark's windows; windows with
 placeholders also go as they are, in lower case, so that a copy in other letter case is found. For each document and item that share windows, the placeholders' values are compared along each alignment: a value of the
 item must always meet the same value in the document. A window with fewer than half literal words counts only
@@ -64,12 +65,14 @@ def _kind(token: str) -> int:
 
 @dataclass
 class Canonical:
-    """Canonical words of some texts, end to end. slot: the value's hash where a word is a placeholder, else 0; value: every word's."""
+    """Canonical words of some texts, end to end. slot: the value's hash where a word is a placeholder, else 0; value: every word's;
+    head: whether the word begins a sentence and could be a name there."""
 
     code: np.ndarray
     value: np.ndarray
     slot: np.ndarray
     text: np.ndarray
+    head: np.ndarray
 
 
 class Canonicalizer:
@@ -100,28 +103,31 @@ class Canonicalizer:
         after = np.zeros(len(kind), bool)
         after[1:] = (kind[:-1] == NUM) & (text[1:] == text[:-1])
         kind[(kind == UNIT) & ~after] = LITERAL
-        kind[(kind == NAME) & head] = LITERAL
-        return Canonical(np.where(kind == LITERAL, value, MARKS[kind]), value, np.where(kind == LITERAL, np.uint64(0), value), text)
+        head &= kind == NAME
+        kind[head] = LITERAL
+        return Canonical(np.where(kind == LITERAL, value, MARKS[kind]), value, np.where(kind == LITERAL, np.uint64(0), value), text, head)
 
 
-def window_hashes(c: Canonical, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every window of that length inside one text; those with placeholders come again as they are."""
+def window_hashes(c: Canonical, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, whether heads are names) of every window of that length inside one text; those with placeholders come
+    again as they are, and those with heads come again with the heads as names."""
     n = len(c.code) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     start = np.flatnonzero(c.text[:n] == c.text[length - 1 :])
-    held = np.cumsum(np.append(0, c.slot != 0))
+    held, heads = np.cumsum(np.append(0, c.slot != 0)), np.cumsum(np.append(0, c.head))
     again = start[held[start + length] > held[start]]
-    every = np.full(n, np.uint64(length))
+    named = start[heads[start + length] > heads[start]]
+    code = np.where(c.head, MARKS[NAME], c.code)
+    every, some, other = (np.full(k, np.uint64(length)) for k in (n, len(again), len(named)))
     for j in range(length):
         every = every * BASE + c.code[j : j + n]
-    some = np.full(len(again), np.uint64(length))
-    for j in range(length):
         some = some * BASE + c.value[again + j]
-    h = np.concatenate([every[start], some])
+        other = other * BASE + code[named + j]
+    h = np.concatenate([every[start], some, other])
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.concatenate([start, again]), h
+    return np.concatenate([start, again, named]), h, np.arange(len(h)) >= len(start) + len(again)
 
 
 class Benchmark:
@@ -135,35 +141,37 @@ class Benchmark:
         self.length = np.where(sizes >= WINDOW, WINDOW, np.where(sizes >= LEAST, sizes, 0))
         self.windows = np.where(self.length > 0, sizes - self.length + 1, 0)
         found = []
-        for n in sorted(set(self.length[self.length > 0].tolist())):
-            start, h = window_hashes(self.words, n)
-            mine = self.length[self.words.text[start]] == n
-            found.append((h[mine], start[mine]))
         self.lengths = sorted(set(self.length[self.length > 0].tolist()))
-        h, start = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for n in self.lengths:
+            start, h, named = window_hashes(self.words, n)
+            mine = self.length[self.words.text[start]] == n
+            found.append((h[mine], start[mine], named[mine]))
+        h, start, named = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
         order = np.argsort(h, kind="stable")
-        self.hashes, self.starts = h[order], start[order]
+        self.hashes, self.starts, self.named = h[order], start[order], named[order]
         self.bitmap = np.zeros(1 << 22, bool)
         self.bitmap[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
-    def hits(self, c: Canonical) -> tuple[np.ndarray, np.ndarray]:
-        """(start in c, start in the benchmark) of all equal windows."""
-        left, right = [], []
+    def hits(self, c: Canonical) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start in c, start in the benchmark, whether a head was read as a name) of all equal windows."""
+        left, right, named = [], [], []
         for n in self.lengths:
-            start, h = window_hashes(c, n)
+            start, h, own = window_hashes(c, n)
             may = np.flatnonzero(self.bitmap[(h >> np.uint64(42)).astype(np.int64)])
             lo, hi = np.searchsorted(self.hashes, h[may], "left"), np.searchsorted(self.hashes, h[may], "right")
             count = hi - lo
+            at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
             left.append(np.repeat(start[may], count))
-            right.append(self.starts[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())])
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            right.append(self.starts[at])
+            named.append(np.repeat(own[may], count) | self.named[at])
+        return (np.concatenate(left), np.concatenate(right), np.concatenate(named)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
     def matches(self, c: Canonical, coverage: float, run: int) -> list[tuple[int, int, float, int, bool]]:
         """(text, item, coverage, longest run of words, whether any value differs) of the texts that hold an item."""
-        left, right = self.hits(c)
-        groups: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            groups[int(c.text[a]), int(self.words.text[b])].append((a, b))
+        left, right, named = self.hits(c)
+        groups: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
+        for a, b, x in zip(left.tolist(), right.tolist(), named.tolist(), strict=True):
+            groups[int(c.text[a]), int(self.words.text[b])].append((a, b, x))
         out = []
         for (text, item), pairs in groups.items():
             found = self._compare(c, item, pairs)
@@ -171,25 +179,21 @@ class Benchmark:
                 out.append((text, item, *found))
         return out
 
-    def _compare(self, c: Canonical, item: int, pairs: list[tuple[int, int]]) -> tuple[float, int, bool] | None:
+    def _compare(self, c: Canonical, item: int, pairs: list[tuple[int, int, bool]]) -> tuple[float, int, bool] | None:
         n = int(self.length[item])
-        by: dict[int, list[int]] = defaultdict(list)
-        for a, b in pairs:
-            by[a - b].append(b)
+        by: dict[int, tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
+        for a, b, named in pairs:
+            by[a - b][named].add(b)
         covered: set[int] = set()
         longest, changed = 0, False
-        for shift, starts in by.items():
-            starts = sorted(set(starts))
+        for shift, (plain, named) in by.items():
+            starts = sorted(plain | named)
             at = np.array(starts)[:, None] + np.arange(n)
-            mine, theirs = self.words.slot[at], c.slot[at + shift]
-            literal = (mine == 0).sum(axis=1)
             differs = (self.words.value[at] != c.value[at + shift]).any(axis=1)
-            # each value of the item must meet one value only along this alignment
-            flat = np.unique(np.column_stack([at.ravel(), mine.ravel(), theirs.ravel()])[mine.ravel() != 0], axis=0)[:, 1:]
-            pairings = np.unique(flat, axis=0)
-            values, times = np.unique(pairings[:, 0], return_counts=True) if len(pairings) else (np.zeros(0, np.uint64), np.zeros(0))
-            torn = set(values[times > 1].tolist())
-            good = [s for i, s in enumerate(starts) if not differs[i] or 2 * literal[i] >= n and not (torn & set(mine[i].tolist()))]
+            fits = self._consistent(c, sorted(plain), shift, n, False)
+            if named:  # with the heads as names, over all windows
+                fits |= self._consistent(c, starts, shift, n, True)
+            good = [s for i, s in enumerate(starts) if not differs[i] or s in fits]
             if not good:
                 continue
             changed |= bool(differs[[starts.index(s) for s in good]].any())
@@ -199,6 +203,25 @@ class Benchmark:
             longest = max(longest, int(max(np.diff(np.append(-1, ends)))) + n - 1)
         return (len(covered) / int(self.windows[item]), longest, changed) if covered else None
 
+    def _consistent(self, c: Canonical, starts: list[int], shift: int, n: int, heads: bool) -> set[int]:
+        """The windows of which each value of the item meets one value only along this alignment, and half of the words are
+        literal. With heads, words that begin sentences are values too, but literal where they meet themselves."""
+        if not starts:
+            return set()
+        at = np.array(starts)[:, None] + np.arange(n)
+        mine, theirs = self.words.value[at], c.value[at + shift]
+        slot = self.words.slot[at] != 0
+        if heads:
+            head = self.words.head[at]
+            literal = (~slot & (~head | (mine == theirs))).sum(axis=1)
+            slot |= head
+        else:
+            literal = (~slot).sum(axis=1)
+        pairings = np.unique(np.column_stack([mine[slot], theirs[slot]]), axis=0)
+        values, times = np.unique(pairings[:, 0], return_counts=True)
+        torn = (slot & np.isin(mine, values[times > 1])).any(axis=1)
+        return {s for s, k, t in zip(starts, literal.tolist(), torn.tolist(), strict=True) if 2 * k >= n and not t}
+
 
 def groups_of(benchmark: DataFrame, item_col: str, text_col: str):
     """Benchmark objects of at most GROUP_WINDOWS windows, of whole items, streamed through the driver."""
