@@ -112,6 +112,16 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     assert got[103] == 100 and got[106] == 106  # two changed words of 120 are near, nine are not
 
 
+def test_texts_with_one_fingerprint_are_compared_by_their_own_sets(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(100)) for c in "xy")
+    # a shingle that is over half of a text is its fingerprint; a set holds it once
+    texts = ["0 " * 200 + y, "0 " * 200 + x, "0 " * 10 + x, "0 " * 10 + y, "z " + x[::-1]]
+    assert simhash.fingerprint(texts[0], 5) == simhash.fingerprint(texts[1], 5) and len({simhash.fingerprint(t, 5) for t in texts}) == 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 2, 0.8).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+    assert {r.doc_id for r in simhash.keep_one(df, 5, 2, 0.8).collect()} == {0, 4}
+
+
 @pytest.mark.parametrize("cell", [1024, 1])
 def test_members_far_from_their_leader_are_compared_with_all(spark, monkeypatch, cell):
     monkeypatch.setattr(shingle_links, "CELL", cell)

@@ -134,7 +134,7 @@ def joining_links(nodes: np.ndarray, comps: np.ndarray, packed: list[bytes], lea
 
 
 def band_rows(hashed: DataFrame) -> DataFrame:
-    """(key, node) of documents (fp, bands), once each."""
-    return hashed.select(F.explode("bands").alias("key"), F.col("fp").alias("node")).distinct()
+    """(key, node) of documents (text_hash, bands), once for each different text."""
+    return hashed.select(F.explode("bands").alias("key"), F.col("text_hash").alias("node")).distinct()
 
 

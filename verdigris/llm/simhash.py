@@ -31,7 +31,7 @@ from verdigris.llm.components import connected_components
 from verdigris.llm.shingle_links import band_rows, bands, shingle_set, similar_links
 
 N, INFO, RADIUS = 23, 12, 3
-#: Rows of 16 bytes that are broadcast at most.
+#: Rows of at most 16 bytes that are broadcast at most.
 NEAR_IDS = 8_000_000
 #: Fixed value: the Golay code's generator polynomial, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -149,26 +149,31 @@ def near_links(fps: DataFrame, bits: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", near_ids: int = NEAR_IDS) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) of every row: documents whose fingerprints are linked share a component_id.
 
-    With a similarity, documents are linked as well whose shingle sets are at least so similar (see shingle_links);
-    of texts with one fingerprint, which are linked anyway, one stands for all."""
+    With a similarity, documents are linked as well whose shingle sets are at least so similar (see shingle_links).
+    Every different text is compared by its own set, as texts with one fingerprint can have quite different ones."""
     own = pick(docs, id_col, text_col)
     each = materialize(fingerprints(own, words, similarity is not None), "fingerprints")
-    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("stands")), "distinct-fingerprints")
+    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = near_links(fps.select("fp"), bits)
     if similarity is not None:
 
         def shingles_of(nodes: DataFrame) -> DataFrame:
-            chosen = materialize(fps.join(nodes, fps["fp"] == nodes["node"]).select("node", "stands"), "compared")
+            chosen = materialize(nodes, "compared")
             side = F.broadcast(chosen) if chosen.count() <= near_ids else chosen
 
             def sets(batch):
                 for part in small_slices(batch, 8 << 20):
                     yield pa.record_batch([part.column("node"), pa.array([shingle_set(shingle_hashes(t, words)) for t in texts(part)], pa.binary())], ["node", "shingles"])
 
-            stand = own.join(side, F.xxhash64("text") == F.col("stands")).select("node", "text")
-            return map_batches(stand, sets, "node long, shingles binary").dropDuplicates(["node"])
+            compared = own.join(side, F.xxhash64("text") == F.col("node")).select("node", "text")
+            return map_batches(compared, sets, "node long, shingles binary").dropDuplicates(["node"])
 
-        links = links.unionByName(similar_links(band_rows(each), shingles_of, similarity))
+        similar = similar_links(band_rows(each), shingles_of, similarity)
+        # links of texts become links of their fingerprints, which gives the same components
+        of = each.select("text_hash", "fp").distinct()
+        for end in ("a", "b"):
+            similar = similar.join(of.select(F.col("text_hash").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+        links = links.unionByName(similar.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
     roots = connected_components(links)
     member = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
