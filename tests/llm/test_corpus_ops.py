@@ -295,6 +295,15 @@ def test_wrapper_drops_constants_and_keeps_slots(spark):
     assert got[9].startswith("Home\nSite name\nTitle 1")  # alone on its host: the markup alone decides
 
 
+def test_every_layout_of_a_host_has_its_own_template(spark):
+    one = "<html><head><title>T{0}</title></head><body><div><p>Layout one says hello</p></div><div><p>text {0} of one</p></div></body></html>"
+    two = "<html><head><title>U{0}</title></head><body><section><p>Layout two says hello</p><div><p>text {0} of two</p></div></section></body></html>"
+    odd = "<html><head><title>Not found</title></head><body><p>Nothing here</p></body></html>"
+    pages = [(i, "http://d.example.org/x", (one if i < 60 else two).format(i)) for i in range(64)] + [(64, "http://d.example.org/y", odd)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i} of {'one' if i < 60 else 'two'}" for i in range(64)} | {64: "Nothing here"}
+
+
 def test_copies_of_an_article_are_no_template(spark):
     body = "<html><head><title>Same</title></head><body><article><h1>Same</h1><p>words {0}</p></article></body></html>"
     pages = [(i, "http://c.example.org/", body.format("x" if i < 5 else i)) for i in range(8)]
