@@ -304,6 +304,13 @@ def test_every_layout_of_a_host_has_its_own_template(spark):
     assert got == {i: f"text {i} of {'one' if i < 60 else 'two'}" for i in range(64)} | {64: "Nothing here"}
 
 
+def test_constant_paragraph_between_varying_ones_goes(spark):
+    page = "<html><head><title>T{0}</title></head><body><article><h1>Head {0}</h1><p>first {0} words</p><p>Get our letter every week</p><p>second {0} words</p><p>Yes</p></article></body></html>"
+    pages = [(i, "http://e.example.org/x", page.format(i)) for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i}\nfirst {i} words\nsecond {i} words\nYes" for i in range(12)}
+
+
 def test_copies_of_an_article_are_no_template(spark):
     body = "<html><head><title>Same</title></head><body><article><h1>Same</h1><p>words {0}</p></article></body></html>"
     pages = [(i, "http://c.example.org/", body.format("x" if i < 5 else i)) for i in range(8)]
