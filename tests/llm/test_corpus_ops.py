@@ -285,6 +285,18 @@ def test_quality_tells_good_from_bad(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.25
 
 
+def test_a_rare_language_is_judged_by_its_own_quantile(spark):
+    rng = np.random.default_rng(3)
+    # many wild texts of one language must not loosen the threshold of a language that has few, even ones
+    wild = [(i, "".join(chr(97 + x) for x in rng.integers(0, 26, 60)), "aa") for i in range(60)]
+    even = [(i, "la le li " * 20, "bb") for i in range(100, 103)]
+    bad = [(200, "".join(chr(97 + x) for x in rng.integers(0, 26, 60)), "bb")]
+    d = spark.createDataFrame(wild + even + bad, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.classify(d, spark.createDataFrame([(i, 1, 0) for i, _, _ in wild + even], "doc_id long, quality int, toxic int")).collect()}
+    assert got[200].threshold == got[100].threshold < 2 < got[0].threshold and not got[200].keep
+    assert all(got[i].keep for i in (100, 101, 102))
+
+
 PAGE = "<html><head><title>T{0}</title></head><body><div class=top><a>Home</a></div><div id=x>Site name</div><div><h2>Title {0}</h2><p>text {0} &amp; more<p>second {0}<ul><li>a {0}<li>b</ul></div><div>Same notice here</div><div class=comments><p>hi {0}</div></body></html>"
 
 

@@ -9,9 +9,9 @@
 4. A second pass sums the logarithms over each whole document. The table goes to the executors if its exact number of
    rows is at most ``near_rows``, else the documents' n-grams meet it in a join that AQE can split.
 5. One trusted document in ``FOLDS``, by a hash of its id, is left out of the counts: in its own model a text looks
-   better than a new one. A language's threshold is the ``quantile`` of those documents' perplexities, exact to a
-   thousandth of a natural logarithm; a language with fewer than ``LEAST`` of them takes that of all languages if it
-   is larger, and a language without any takes it anyway.
+   better than a new one. Of a language with two or more trusted documents at least one is left out. A language's
+   threshold is the ``quantile`` of its own left-out documents' perplexities, however few, exact to a thousandth of a
+   natural logarithm. Only a language that has no such document takes the quantile of all languages.
 
 Trusted are the documents that labels call good and not toxic, in all their rows. Counts, statistics and thresholds
 cover all data. Texts begin with ``order - 1`` NUL characters. An empty or null text has no perplexity and is not
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import discard, map_batches, materialize, read, release, small_slices, texts
 
-ORDER, QUANTILE, FOLDS, LEAST, NEAR_ROWS, NEAR_IDS = 5, 0.99, 5, 100, 4_000_000, 8_000_000
+ORDER, QUANTILE, FOLDS, NEAR_ROWS, NEAR_IDS = 5, 0.99, 5, 4_000_000, 8_000_000
 #: Bytes of text that are looked at together, and distinct n-grams that a task sums up before it passes them on.
 SLICE, HELD = 4 << 20, 1_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -193,8 +193,12 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     ids = materialize(trusted_ids(labels), "trusted")
     side = F.broadcast(ids) if ids.count() <= near_ids else ids  # 8 bytes a row
     flagged = own.join(side, F.col("doc_id") == F.col("id"), "left").withColumn("trusted", F.col("id").isNotNull()).drop("id")
-    left_out = F.col("trusted") & (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)) == 0)
-    flagged = flagged.withColumn("left_out", left_out)
+    drawn, fold = F.xxhash64(F.lit("fold"), "doc_id"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS))
+    # by language, the document next to be left out: decides where the hash leaves out none
+    first = flagged.where("trusted and text <> ''").groupBy("lang").agg(F.min(F.struct(fold.alias("fold"), drawn.alias("drawn"))).alias("first"), F.min(drawn).alias("low"), F.max(drawn).alias("high"))
+    first = materialize(first.where("low < high and first.fold > 0").select(F.col("lang").alias("first_lang"), F.col("first.drawn").alias("first")), "left-out")
+    flagged = flagged.join(F.broadcast(first), F.col("lang").eqNullSafe(F.col("first_lang")), "left")
+    flagged = flagged.withColumn("left_out", F.col("trusted") & ((fold == 0) | F.coalesce(F.col("first") == drawn, F.lit(False)))).drop("first_lang", "first")
     counts = materialize(gram_counts(flagged.select("text", (F.col("trusted") & ~F.col("left_out")).alias("trusted")), order), "gram-counts")
     if counts.isEmpty():
         table = counts.select("g", F.lit(0.0).alias("logp"))
@@ -205,12 +209,12 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     discard(counts)
     bins = scored.where("left_out and chars > 0").groupBy("lang", F.ceil(F.ln("perplexity") * 1000).alias("bin")).agg(F.count("*").alias("n"))
     of_all = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(1).alias("one"), "bin", "n")
-    by_lang = _quantile(bins.withColumn("lang", F.coalesce("lang", F.lit(""))), "lang", quantile).select(F.col("lang").alias("l"), F.col("cut").alias("own"), F.col("total").alias("held"))
+    by_lang = _quantile(bins.withColumn("lang", F.coalesce("lang", F.lit(""))), "lang", quantile).select(F.col("lang").alias("l"), F.col("cut").alias("own"))
     rest = _quantile(of_all, "one", quantile).select(F.col("cut").alias("any"))
     out = scored.join(by_lang, F.coalesce(scored["lang"], F.lit("")) == by_lang["l"], "left").drop("l")
     cut = rest.first()  # one number
     over_all = F.lit(cut["any"] if cut else math.inf)
-    out = out.withColumn("threshold", F.when(F.col("held") >= LEAST, F.col("own")).otherwise(F.greatest(F.coalesce("own", over_all), over_all)))
+    out = out.withColumn("threshold", F.coalesce("own", over_all))
     return out.select("doc_id", "lang", F.col("chars").alias("n_chars"), "perplexity", "threshold", "trusted", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))
 
 
