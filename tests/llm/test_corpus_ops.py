@@ -178,6 +178,15 @@ def test_decontamination_finds_changed_names_at_sentence_starts():
     assert not b.matches(c(["Sam has 15 apples and Lisa has 9 pears. Max buys 4 more apples. How many fruits does Eve have?"]), 0.5, 20)
 
 
+def test_decontamination_finds_short_items_and_scripts_without_spaces():
+    c = decontaminate.Canonicalizer()
+    b = decontaminate.Benchmark([(1, "Name the 3 Baltic states"[:11]), (2, "日本の首都は東京です"), (3, "Paris")])
+    said = lambda t: {b.ids[m[1]] for m in b.matches(c([t]), 0.5, 20)}
+    assert said("He said: name THE 3!") == {1} and said("name the 4") == set()  # few words match only as they are
+    assert said("問題。日本の首都は東京ですか") == {2} and said("中国の首都は北京です") == set()
+    assert said("to paris, then") == {3} and said("") == set()
+
+
 def test_decontamination_equals_brute_force_windows(spark):
     d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     words = lambda t: re.findall(r"\w+", t.lower())

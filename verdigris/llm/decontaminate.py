@@ -3,7 +3,7 @@
 Texts become canonical words: a number is NUM, a unit after a number UNIT, a capitalised word inside a sentence NAME,
 any other word itself in lower case. A capitalised word that begins a sentence, line or clause can be either, so windows
 with such words are hashed in both readings. Every window of ``WINDOW`` canonical words is hashed (items with fewer words
-use windows of their whole length, from ``LEAST`` words on) and looked up among the benchmark's windows; windows with
+use windows of their whole length; of fewer than ``LEAST`` words only equal values match) and looked up among the benchmark's windows; windows with
 placeholders also go as they are, in lower case, so that a copy in other letter case is found. For each document and item that share windows, the placeholders' values are compared along each alignment: a value of the
 item must always meet the same value in the document. A window with fewer than half literal words counts only
 if its values are equal.
@@ -14,7 +14,7 @@ values were changed.
 
 The benchmark's windows go to the executors in groups of whole items, of at most ``GROUP_WINDOWS`` windows each, so
 a broadcast is bounded and a larger benchmark takes more passes; documents are never shuffled. Null and empty texts
-hold nothing. Items shorter than ``LEAST`` words cannot be told from chance and match nothing. Repeated items give
+hold nothing. A letter of a script without spaces is a word. Repeated items give
 repeated rows only if their item_id differs; a null item_id is an item.
 """
 
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import pick, read, release, small_slices, texts
 
 WINDOW, LEAST, GROUP_WINDOWS = 8, 5, 2_000_000
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?:;\n]")
+#: Letters of scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han), each a word.
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[^\W\d_{SPACELESS}]+|(?=[^\W\d_])[{SPACELESS}]|[.!?:;\n]")
 #: Words that are units after a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -110,11 +112,17 @@ class Canonicalizer:
 
 def window_hashes(c: Canonical, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, hash, whether heads are names) of every window of that length inside one text; those with placeholders come
-    again as they are, and those with heads come again with the heads as names."""
+    again as they are, and those with heads come again with the heads as names. Below LEAST words all come only as they are."""
     n = len(c.code) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     start = np.flatnonzero(c.text[:n] == c.text[length - 1 :])
+    if length < LEAST:  # too few words for placeholders
+        h = np.full(len(start), np.uint64(length))
+        for j in range(length):
+            h = h * BASE + c.value[start + j]
+        h ^= h >> np.uint64(31)
+        return start, h * np.uint64(0xBF58476D1CE4E5B9), np.zeros(len(h), bool)
     held, heads = np.cumsum(np.append(0, c.slot != 0)), np.cumsum(np.append(0, c.head))
     again = start[held[start + length] > held[start]]
     named = start[heads[start + length] > heads[start]]
@@ -138,7 +146,7 @@ class Benchmark:
         self.words = Canonicalizer()([t for _, t in items])
         sizes = np.bincount(self.words.text, minlength=len(items))
         self.begin = np.cumsum(sizes) - sizes
-        self.length = np.where(sizes >= WINDOW, WINDOW, np.where(sizes >= LEAST, sizes, 0))
+        self.length = np.minimum(sizes, WINDOW)
         self.windows = np.where(self.length > 0, sizes - self.length + 1, 0)
         found = []
         self.lengths = sorted(set(self.length[self.length > 0].tolist()))
