@@ -160,6 +160,15 @@ def test_forward_backward_equals_the_plain_recursion():
         at += n
 
 
+def test_training_pieces_are_from_all_over_a_text():
+    n = language_id.SEGMENT_WORDS
+    for pieces in (1, 3, 6, 7, 11, 12, 17, 100):
+        at = language_id.spread(pieces * n)
+        assert at[0] == 0 and at[-1] == (pieces - 1) * n and len(at) == min(pieces, 6)
+        assert max(np.diff(at), default=0) <= n * -(-pieces // 5)
+    assert language_id.spread(0) == [] and language_id.spread(1) == [0]
+
+
 def test_language_id_labels_switches_and_held_out_documents(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(d.where(~language_id.held_out()))

@@ -295,6 +295,12 @@ def _step(batch, f_bucket, f_start, hits, params, squares):
         p += (0.2 * g / np.sqrt(q)).astype(np.float32)
 
 
+def spread(n: int) -> list[int]:
+    """Where the pieces of n words begin: at most SEGMENTS, evenly from the first to the last."""
+    last = -(-n // SEGMENT_WORDS) - 1
+    return [SEGMENT_WORDS * p for p in sorted({round(i * last / (SEGMENTS - 1)) for i in range(SEGMENTS)})] if n else []
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> Crf | None:
     """A model of docs' texts and non-null languages, from at most rows documents of a language by a hash of their id."""
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -308,9 +314,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         out = []
         for doc, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "lang")), strict=True):
             w = [x for x in words_of(text or "") if any(map(str.isalpha, x))]
-            starts = range(0, len(w), SEGMENT_WORDS)
-            step = max(1, len(starts) // SEGMENTS)
-            out += [(doc, lang, " ".join(x[:40] for x in w[i : i + SEGMENT_WORDS])) for i in list(starts[::step])[:SEGMENTS]]
+            out += [(doc, lang, " ".join(w[i : i + SEGMENT_WORDS])) for i in spread(len(w))]
         if out:
             yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["doc", "lang", "words"])
 
