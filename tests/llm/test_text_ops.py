@@ -169,6 +169,15 @@ def test_training_pieces_are_from_all_over_a_text():
     assert language_id.spread(0) == [] and language_id.spread(1) == [0]
 
 
+@pytest.mark.parametrize("k", [2, 3, 4])
+def test_words_without_a_language_are_dropped_for_any_number_of_languages(spark, k):
+    zero = lambda *n: np.zeros(n, np.float32)
+    model = language_id.Crf([f"l{i}" for i in range(k)], zero(language_id.BUCKETS, k), {"here": 1}, zero(k, k), zero(k, k), zero(k))
+    model.lexicon_weights[0, 0] = 20
+    docs = spark.createDataFrame([(1, "even words"), (2, "here here"), (3, "12")], "doc_id long, text string")
+    assert [r.doc_id for r in language_id.keep_identified(docs, model).collect()] == [2]
+
+
 def test_language_id_labels_switches_and_held_out_documents(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(d.where(~language_id.held_out()))

@@ -340,15 +340,17 @@ def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col
     return map_batches(pick(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Crf | None, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs without those that have no letter, or whose words share no language: a mean marginal under min_score."""
+def keep_identified(docs: DataFrame, model: Crf | None, margin: float = 1 / 15, text_col: str = "text") -> DataFrame:
+    """docs without those that have no letter, or whose words share no language: a mean marginal that is not margin of the
+    way from chance, which is 1 / k for k languages, to certainty."""
+    least = 1 / len(model.langs) + margin * (1 - 1 / len(model.langs)) if model else 0.0
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
         keep = []
         for part in small_slices(batch, 2 << 20, text_col):
             langs, scores = shared.value.label(texts(part, text_col)) if shared.value else (["und"] * part.num_rows, [0.0] * part.num_rows)
-            keep += [lang != "und" and s >= min_score for lang, s in zip(langs, scores, strict=True)]
+            keep += [lang != "und" and s >= least for lang, s in zip(langs, scores, strict=True)]
         yield batch.filter(pa.array(keep))
         release()
 
