@@ -7,7 +7,12 @@
 3. The ids are joined back by block and shard, laid out by position, and decoded through the table of id to piece,
    whose size is bounded by the vocabulary.
 
-Blocks must come out the same if a task is run again, so docs is best a stored table, as in the pipeline.
+The number of shards follows the text's bytes, ``SHARD_BYTES`` to a shard, so that a task's words stay as many when the input
+grows. Blocks must come out the same if a task is run again after an executor was lost: what is not read straight from files
+is stored first, and every list carries its block's digest, so that lists of two different cuts are an error, never a result.
+
+The id-to-piece join is one of positions: the table of pieces is an array with a place for each id of the vocabulary, which
+every task holds, as in a broadcast join. A text of white space alone, however long, is one word.
 
 A word that all documents hold is in one list for each block, not one for each occurrence. A text longer than a block
 is a block of its own. Null texts are empty; special strings inside a text become their id, as the library does by
@@ -28,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.bpe_units import FastEncoder, Units, byte_symbols, read_spec
-from verdigris.llm.common import pick, release, shuffle_partitions, small_slices, texts
+from verdigris.llm.common import pick, release, shuffle_partitions, small_slices, stored, texts
 
 BLOCK_BYTES = 12 << 20
-#: Shards of the distinct-word table. A task holds one shard's words, so raise it as the vocabulary grows.
-SHARDS = 256
+#: Bytes of text to a shard of the distinct-word table, and the fewest shards.
+SHARD_BYTES, LEAST_SHARDS = 16 << 20, 16
 #: A block's own row has shard -1; its other rows hold the words of one shard of the distinct-word table. place is
-#: what a row is dealt out by: the block for the first kind, the shard for the second.
-BLOCK = "place long, block long, shard int, docs array<long>, sizes array<long>, numbers binary, shards binary, words binary"
+#: what a row is dealt out by: the block for the first kind, the shard for the second. digest is the block's.
+BLOCK = "place long, block long, shard int, digest long, docs array<long>, sizes array<long>, numbers binary, shards binary, words binary"
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -86,21 +91,29 @@ def _block(part: pa.RecordBatch, units: Units, block: int, shards: int):
     number[order] = np.arange(len(first), dtype=np.uint32)
     words = [w.encode() for w in first]
     words = [words[i] for i in order.tolist()]
-    shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.uint16, len(words))
-    rows = [(block, block, -1, part.column("doc_id").to_pylist(), sizes, pack(number[flat]), zstandard.compress(shard.tobytes(), 1), None)]
-    by_shard = np.split(np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))[:-1])
-    rows += [(s, block, s, None, None, None, None, pack_strings([words[i] for i in at.tolist()])) for s, at in enumerate(by_shard) if len(at)]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["place", "block", "shard", "docs", "sizes", "numbers", "shards", "words"])
+    shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.uint32, len(words))
+    numbers = pack(number[flat])
+    digest = xxhash.xxh3_64_intdigest(b"\0".join(words) + numbers) >> 1
+    rows = [(block, block, -1, digest, part.column("doc_id").to_pylist(), sizes, numbers, zstandard.compress(shard.tobytes(), 1), None)]
+    rows += [(s, block, s, digest, None, None, None, None, pack_strings([words[i] for i in at.tolist()])) for s, at in by_shard(shard)]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["place", "block", "shard", "digest", "docs", "sizes", "numbers", "shards", "words"])
+
+
+def by_shard(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(shard, places of its words) of every shard that occurs."""
+    order = np.argsort(shard, kind="stable")
+    found, begin = np.unique(shard[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, begin[1:]), strict=True)) if len(shard) else []
 
 
 def encode_words(dealt: DataFrame, spec) -> DataFrame:
-    """(place: the block, shard, ids binary): the ids of the words of every block and shard, each distinct word encoded once."""
+    """(place: the block, shard, digest, ids binary): the ids of the words of every block and shard, each distinct word encoded once."""
 
     def run(batches):
         encoder, now, known = FastEncoder(spec.value), None, {}
         for batch in batches:
-            batch = batch.select(["block", "shard", "words"])
+            batch = batch.select(["block", "shard", "digest", "words"])
             for i in np.flatnonzero(batch.column("shard").to_numpy() >= 0).tolist():
                 row = batch.slice(i, 1).to_pylist()[0]
                 if row["shard"] != now:  # sorted by shard: a table of one shard at a time
@@ -109,11 +122,11 @@ def encode_words(dealt: DataFrame, spec) -> DataFrame:
                 for w in words:
                     if w not in known:
                         known[w] = encoder.ids(w.decode()).astype("<u4").tobytes()
-                yield pa.record_batch([pa.array([row["block"]]), pa.array([now], pa.int32()), pa.array([pack_strings([known[w] for w in words])], pa.binary())], ["place", "shard", "ids"])
+                yield pa.record_batch([pa.array([row["block"]]), pa.array([now], pa.int32()), pa.array([row["digest"]]), pa.array([pack_strings([known[w] for w in words])], pa.binary())], ["place", "shard", "digest", "ids"])
         del known
         release()
 
-    return dealt.sortWithinPartitions("shard").mapInArrow(run, "place long, shard int, ids binary")
+    return dealt.sortWithinPartitions("shard").mapInArrow(run, "place long, shard int, digest long, ids binary")
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -146,18 +159,21 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
     # One exchange for both kinds of rows: the plan reuses it, so what is dealt out is written once. Neither reader
     # filters or prunes it in Spark, which would make it two.
-    dealt = to_blocks(pick(docs, id_col, text_col), spec, SHARDS).repartition(shuffle_partitions(spark), "place")
+    own = stored(pick(docs, id_col, text_col), "bpe-input")
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    dealt = to_blocks(own, spec, max(LEAST_SHARDS, -(-total // SHARD_BYTES))).repartition(shuffle_partitions(spark), "place")
     ids = encode_words(dealt, spec)
 
     def lay_out(words: pa.Table, block: pa.Table) -> pa.Table:
         release()  # what the block before this one took
         pieces, out = Pieces(spec.value), []
         for row in block.filter(pc.equal(block["shard"], -1)).to_pylist():
-            shard = np.frombuffer(zstandard.decompress(row["shards"]), np.uint16)
-            by_shard = np.split(np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=SHARDS))[:-1])
-            table = np.empty(len(shard), object)
+            shard = np.frombuffer(zstandard.decompress(row["shards"]), np.uint32)
+            places, table = dict(by_shard(shard)), np.empty(len(shard), object)
+            if sorted(words["shard"].to_pylist()) != sorted(places) or set(words["digest"].to_pylist()) - {row["digest"]}:
+                raise RuntimeError("a block was cut anew between its lists of words and of numbers")
             for s, data in zip(words["shard"].to_pylist(), words["ids"].to_pylist(), strict=True):
-                table[by_shard[s]] = unpack_strings(data)
+                table[places[s]] = unpack_strings(data)
             lengths = np.array([len(x) // 4 for x in table], np.int64)
             flat, starts = np.frombuffer(b"".join(table.tolist()), "<u4"), np.cumsum(lengths) - lengths
             numbers, at = unpack(row["numbers"]).astype(np.int64), 0

@@ -50,6 +50,9 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
+#: Runs of white space from this length on are cut out before the pattern sees them.
+LONG_RUN = 10_000
+LONG_WHITE = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 #: Fixed value: the pattern by which byte-level BPE cuts pre-tokens.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -64,7 +67,7 @@ class FastEncoder:
         d = json.loads(spec)
         model, pre = d["model"], d["pre_tokenizer"]
         self.library = Units(spec).tok
-        self.core = None
+        self.core, special = None, {}
         merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
         ids = [model["vocab"][a + b] for a, b in merges]
         plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) and d["normalizer"] is None
@@ -75,11 +78,31 @@ class FastEncoder:
             if {bytes([b]) for b in range(256)} <= ranks.keys():
                 self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if self.core and special else None
+
     def ids(self, text: str) -> np.ndarray:
         if self.core is None:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        if len(text) >= LONG_RUN and LONG_WHITE.search(text):
+            return self._with_long_runs(text)
         return self.core.encode_to_numpy(text, allowed_special="all")
 
+    def _with_long_runs(self, text: str) -> np.ndarray:
+        """A long run of white space is one pre-token, but for its last character if more text follows: it is cut out, as
+        the pattern's look-ahead would need a stack as deep as the run."""
+        out = [np.zeros(0, np.uint32)]
+        for part in self.specials.split(text) if self.specials else [text]:
+            at = 0
+            for m in LONG_WHITE.finditer(part):
+                end = m.end() if m.end() == len(part) else m.end() - 1
+                if m.start() > at:
+                    out.append(self.core.encode_to_numpy(part[at : m.start()], allowed_special="all"))
+                out.append(np.array(self.core._encode_single_piece(part[m.start() : end]), np.uint32))
+                at = end
+            if at < len(part):
+                out.append(self.core.encode_to_numpy(part[at:], allowed_special="all"))
+        return np.concatenate(out)
+
 
 #: Printable bytes stand for themselves in byte-level BPE, others for code points from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

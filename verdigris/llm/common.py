@@ -25,27 +25,43 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, one of our own if everything
+    runs on this machine, and an error on a cluster, whose executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _OWN.setdefault("base", f"/tmp/verdigris-shared/{uuid.uuid4().hex}")
     return base.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; the folder goes when the session's process ends."""
+    path = f"{shared_dir(spark)}/verdigris-{name}-{uuid.uuid4().hex}"
+    _OWN[path] = path
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage.
 
     Unlike a checkpoint the table is columnar and compressed; unlike a local one it outlives executors.
     The files go when the session's process ends, or earlier through :func:`discard`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verdigris-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _OWN[path] = path
     out = spark.read.schema(df.schema).parquet(path)
     out._verdigris_path = path
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df itself if its rows come straight from files, so that a task that is run again reads the same; else as a table."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    plain = all(any(op in line for op in ("Scan parquet", "Project", "Filter", "ColumnarToRow")) for line in plan.splitlines() if line.strip())
+    return df if plain else materialize(df, name)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes the files of tables made by materialize() that no later plan reads."""
     for t in tables:
