@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from verdigris.llm import bpe_codec, language_id, line_dedup, token_count, token_file
@@ -121,15 +122,47 @@ def test_token_files_give_back_every_token(docs, none):
     t = library(BYTE)
     table = token_file.write_tokens(docs, BYTE)
     got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in token_file.read_tokens(table).collect()]
-    want, start = [], 0
-    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")):
+    coded = []
+    for r in docs.collect():
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 2]
-        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        coded.append((r.doc_id is not None, r.doc_id or 0, xxhash.xxh3_64_intdigest(np.array(ids, "<u2").tobytes()) >> 1, r.doc_id, ids))
+    want, start, flat = [], 0, []
+    for _, _, _, doc, ids in sorted(coded, key=lambda c: c[:3]):
+        want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
+        flat += ids
     assert sorted(got, key=lambda x: x[1]) == want
+    assert [token_file.token_at(table, i) for i in (0, 1, len(flat) // 2, len(flat) - 1)] == [flat[i] for i in (0, 1, len(flat) // 2, len(flat) - 1)]
+    for out in (-1, len(flat)):
+        with pytest.raises(IndexError):
+            token_file.token_at(table, out)
     assert token_file.read_tokens(token_file.write_tokens(none, BYTE)).collect() == []
 
 
+def test_one_token_is_read_without_decoding_others(spark, monkeypatch):
+    monkeypatch.setattr(token_file, "SEGMENT_TOKENS", 50)
+    df = spark.createDataFrame([(i, "word " * (i % 30)) for i in range(200)] + [(7, "same id")] * 40, "doc_id long, text string")
+    table = token_file.write_tokens(df, BYTE)
+    flat = [x for r in sorted(token_file.read_tokens(table).collect(), key=lambda r: r.start) for x in np.frombuffer(r.ids, "<u4").tolist()]
+    assert table.count() > 50 and len(flat) == table.agg({"tokens": "sum"}).first()[0]
+    monkeypatch.setattr(token_file.Segment, "ids", None)  # no segment is decoded
+    assert [token_file.token_at(table, i) for i in range(0, len(flat), 499)] == flat[::499]
+
+
+@pytest.mark.parametrize("n", [1_000_000, 10_000_000])
+def test_very_long_white_space_equals_the_library(spark, n):
+    t, fast = library(BYTE), FastEncoder(read_spec(BYTE))
+    blanks = [" " * n]
+    if n == 1_000_000:
+        blanks += ["\n" * n, "a" + " " * n + "b c", "a \t" + "\t \n" * (n // 3) + "<|endoftext|> x" + " " * n + "é" + "\u3000" * n]
+    for text in blanks:
+        assert fast.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    if n == 1_000_000:
+        df = spark.createDataFrame(list(enumerate(blanks)), "doc_id long, text string")
+        assert all(r.decoded == blanks[r.doc_id] and r.n_tokens == len(fast.ids(r.decoded)) for r in bpe_codec.encode_decode(df, BYTE).collect())
+        assert sum(r.n_tokens for r in token_file.read_tokens(token_file.write_tokens(df, BYTE)).collect()) == sum(1 + len(fast.ids(x)) for x in blanks)
+
+
 def test_segment_random_access_and_damage():
     ids = [np.random.default_rng(i).integers(0, 2**k, n).astype(np.uint32) for i, (n, k) in enumerate([(0, 1), (1, 8), (5, 16), (3000, 16), (700, 31), (600, 7)])]
     data = token_file.write_segment([5, None, 7, 8, 9, 10], ids)

@@ -5,31 +5,35 @@ one, and a bitmap that says whether a next chunk follows. A rank directory count
 ``RANK_EVERY`` bits, so that token i's place at level k + 1 is a rank at level k: any token is read in a few steps
 without decoding its neighbours.
 
-A segment is one run of documents in ascending doc_id order (ties by text, null ids first):
+A segment is one run of documents in ascending doc_id order (null ids first; ties by a hash of their ids):
 
     magic "VDAC", version u16, chunk bits u16, documents u32, tokens u64, levels u32
     doc ids i64[], null flags u8[], token ends u64[]
     for each level: count u64, chunks u8[], bitmap u64[], ranks u32[]
     crc32 of all before u32
 
-Segments are stored as the binary column of a Parquet table, which Spark's committer writes and any store can hold:
-a lost executor's half-written files never count. Each segment knows its partition and its first token there; the
-partitions' totals give the rest of ``start``. Null texts are empty, so such a document holds its end id alone.
+Texts are encoded where they lie; only ids, two bytes each, are shuffled into order. Segments are stored as the binary column
+of an uncompressed Parquet table, which Spark's committer writes and any store can hold: a lost executor's half-written
+files never count. Each segment knows its partition and its first token there; the partitions' totals give the rest of
+``start``. These columns are the directory by which ``token_at`` reads one segment's bytes only. A text of any length is
+one document; a segment holds at least one. Null texts are empty, so such a document holds its end id alone.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.bpe_units import FastEncoder, read_spec
-from verdigris.llm.common import materialize, pick, shuffle_partitions, texts
+from verdigris.llm.common import discard, materialize, pick, release, shared_path, shuffle_partitions, small_slices, texts
 
 CHUNK_BITS, RANK_EVERY = 8, 512
 SEGMENT_TOKENS = 1 << 21
@@ -58,8 +62,8 @@ def write_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
 class Segment:
     """Reads a segment: documents, single tokens, or all ids."""
 
-    def __init__(self, data: bytes):
-        if zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
+    def __init__(self, data: bytes, check: bool = True):
+        if check and zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("the segment is damaged")
         magic, version, self.bits, n_docs, self.n, levels = HEAD.unpack_from(data)
         if magic != b"VDAC" or version != 1:
@@ -115,45 +119,84 @@ class Segment:
 SEGMENTS = "part int, first long, tokens long, documents long, segment binary"
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, tie, ids binary) of docs (doc_id, text): ids of two bytes where all ids fit, else of four, with the end id."""
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+
+    def run(batches):
+        encoder, width = FastEncoder(spec.value), "<u2" if max_id(spec.value, end_id) < 1 << 16 else "<u4"
+        end = np.array([end_id], width)
+        for batch in batches:
+            for part in small_slices(batch, 8 << 20):
+                ids = [np.concatenate([encoder.ids(t).astype(width), end]).tobytes() for t in texts(part)]
+                tie = pa.array(np.fromiter((xxhash.xxh3_64_intdigest(x) >> 1 for x in ids), np.int64, len(ids)))
+                yield pa.record_batch([part.column("doc_id"), tie, pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+                release()
+
+    return docs.mapInArrow(run, "doc_id long, tie long, ids binary")
+
+
+def max_id(spec: str, end_id: int) -> int:
+    d = json.loads(spec)
+    return max(end_id, *d["model"]["vocab"].values(), *(t["id"] for t in d["added_tokens"]))
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs' ids as a table of segments at path, or in the shared folder, and returns that table."""
     spark = docs.sparkSession
-    spec = spark.sparkContext.broadcast(read_spec(tokenizer))
-    ordered = pick(docs, id_col, text_col).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    whole = materialize(encoded(pick(docs, id_col, text_col), tokenizer, end_id), "token-ids")
+    width = "<u2" if max_id(read_spec(tokenizer), end_id) < 1 << 16 else "<u4"
+    # the tie is part of the range, so that rows of one id, or of none, are dealt over many tasks
+    ordered = whole.repartitionByRange(shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
-        encoder, part, first = FastEncoder(spec.value), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.uint32)
+        part, first = TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0
 
         def segment():
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([first]), pa.array([held]), pa.array([len(ids)]), pa.array([write_segment(doc_ids, ids)], pa.binary())], ["part", "first", "tokens", "documents", "segment"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                own = np.concatenate([encoder.ids(text), end])
+            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                own = np.frombuffer(data.as_buffer(), width)
                 if held and held + len(own) > SEGMENT_TOKENS:
                     yield segment()
                     first, doc_ids, ids, held = first + held, [], [], 0
                 doc_ids.append(doc)
-                ids.append(own)
+                ids.append(own.copy())
                 held += len(own)
         if ids:
             yield segment()
 
     table = ordered.mapInArrow(run, SEGMENTS)
-    if path is None:
-        return materialize(table, "token-segments")
-    table.write.mode("overwrite").parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    where = path or shared_path(spark, "token-segments")
+    # nothing compressed, and a row group for every few segments: one segment is read without its neighbours
+    table.write.mode("overwrite").options(**{"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(4 * SEGMENT_TOKENS)}).parquet(where)
+    discard(whole)
+    return spark.read.schema(table.schema).parquet(where)
+
+
+def parts(segments: DataFrame) -> DataFrame:
+    """(p, before): the tokens of all partitions before each; a row for each partition of the writing job."""
+    whole = segments.groupBy("part").agg(F.sum("tokens").alias("n"))
+    return whole.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+
+def token_at(segments: DataFrame, position: int) -> int:
+    """The token at a place of the whole corpus. The directory columns find its segment, whose bytes alone are read; in it
+    the token's own chunks and ranks are looked at, and nothing is decoded."""
+    p = parts(segments).where(F.col("before") <= position).orderBy(F.desc("p")).first() if position >= 0 else None
+    at = position - p["before"] if p else -1
+    found = segments.where((F.col("part") == p["p"]) & (F.col("first") <= at) & (F.col("first") + F.col("tokens") > at)).select("first", "segment").first() if p else None
+    if found is None:
+        raise IndexError(position)
+    return Segment(found["segment"], check=False).token(at - found["first"])
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) of every document, from the segments alone."""
-    whole = segments.groupBy("part").agg(F.sum("tokens").alias("n"))
-    before = whole.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = parts(segments)
 
-    # one row for each partition of the writing job, so its size is bounded by that number
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
