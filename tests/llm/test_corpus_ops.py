@@ -1,7 +1,9 @@
 """SimHash, decontamination, top-k, quality, HTML and the pipeline against brute force."""
 
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 import xxhash
 
 from verdigris.llm import components, decontaminate, html_text, quality, shingle_links, simhash, topk
-from verdigris.llm.dom import Node, aligned, match, parse
+from verdigris.llm.dom import Matching, Shape, fold, in_order, parse
 
 
 def rows(df):
@@ -350,7 +352,7 @@ def test_copies_of_an_article_are_no_template(spark):
     ],
 )
 def test_main_text(source, want):
-    assert html_text.main_text(source or "", {}) == want
+    assert html_text.main_text(source or "") == want
 
 
 def test_html_edges(spark):
@@ -359,12 +361,77 @@ def test_html_edges(spark):
     assert html_text.extract(df.where("false")).collect() == []
 
 
-def test_simple_tree_matching_is_the_largest():
-    a, b = parse("<ul><li>1</li><li><p>2</p></li><li>3</li></ul>"), parse("<ul><li><p>2</p></li><li>3</li></ul>")
-    assert match(a, b, lambda n: n.tag, {}) == 5  # root, list, two items and the paragraph
-    pairs = list(aligned(a, b, lambda n: n.tag))
-    assert sum(x is not None and y is not None for x, y in pairs) == 5 and sum(y is None for _, y in pairs) == 1
-    assert isinstance(a, Node)
+def heaviest(a, b):
+    """Simple tree matching by trying every choice."""
+    if a.tag != b.tag:
+        return 0
+
+    def lists(xs, ys):
+        if not xs or not ys:
+            return 0
+        w = heaviest(xs[0], ys[0])
+        return max(lists(xs[1:], ys), lists(xs, ys[1:]), w + lists(xs[1:], ys[1:]) if w else 0)
+
+    return 1 + (a.classes == b.classes) + lists(a.kids, b.kids)
+
+
+def random_tree(rng, depth):
+    kids = [random_tree(rng, depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+    return Shape(rng.choice("abc") if depth < 3 else "a", rng.choice(["", "x"]), kids, [object()])
+
+
+def test_tree_matching_equals_brute_force():
+    rng = random.Random(7)
+    for _ in range(150):
+        a, b = random_tree(rng, 3), random_tree(rng, 3)
+        exact, linear = Matching(a, b), Matching(a, b, cells=0)
+        assert exact.total == heaviest(a, b) and linear.total <= exact.total
+        for m in (exact, linear):
+            pairs = list(m.pairs())
+            assert m.total == sum(1 + (x.classes == y.classes) for x, y in pairs) and all(x.tag == y.tag for x, y in pairs)
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+    xs, ys = ([Shape(t, "", [], []) for t in w] for w in ("abcab", "bcaab"))
+    assert len(in_order(xs, ys)) == 4 and in_order(xs, []) == []
+
+
+def test_runs_of_one_form_fold():
+    tree = fold(parse("<ul><li>1<li>2<li>3</ul><div>a</div><div>b</div><section><p>x</section><section><p>y</section><section><p>z</section>"))
+    assert [(k.tag, k.repeated, len(k.nodes)) for k in tree.kids] == [("ul", False, 1), ("div", False, 1), ("div", False, 1), ("section", True, 3)]
+
+
+def test_very_wide_and_very_deep_pages_cost_little(spark):
+    wide = "<body><div><h1>T {0}</h1>" + "".join(f"<h2>k{i} {{0}}</h2><p>v{i} {{0}}</p><ul><li>x {{0}}<li>y {{0}}</ul>" for i in range(13_000)) + "</div></body>"
+    deep = "<body><div><h1>T {0}</h1>" + "<div>" * 20_000 + "deep {0}</body>"
+    for page in (wide, deep):
+        begin = time.time()
+        template = html_text.induce([page.replace("{0}", str(i)) for i in range(3)])
+        html_text.page_blocks(page, template)
+        assert template and time.time() - begin < 60
+
+
+def test_content_is_found_without_article_and_class_names(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    own = pages.selectExpr("*", f"lower(regexp_extract(url, '{html_text.HOST}', 1)) as host", "xxhash64(html) as h")
+    hosts = {r.host for r in own.select("host").distinct().collect()}
+    assert {r.host for r in html_text.induce_templates(own).collect()} == hosts  # every host has a template
+    want = {r.page_id: html_text.main_text(r.html or "") for r in pages.collect()}
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+    bare = lambda h: re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", re.sub(r' (?:class|id)="[^"]*"', "", h or ""))
+    stripped = spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in pages.collect()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(stripped).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
+
+
+def test_near_and_far_templates_agree(spark):
+    one = "<html><head><title>T{0}</title></head><body><div>menu {0}</div><div><p>text {0} of one, and so on and on</p></div></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.example.org/x", one.replace("{0}", str(i))) for i in range(30)] + [(99, None, "<p>x</p>"), (98, "http://lone.example.org", "<p>y</p>"), (3, "http://h0.example.org/x", None)], "page_id long, url string, html string")
+    near, far = (rows(html_text.extract(pages, near_bytes=n)) for n in (1 << 20, -1))
+    assert near == far and (5, "http://h2.example.org/x", "text 5 of one, and so on and on") in near and (98, "http://lone.example.org", "y") in near
+
+
+def test_only_tokens_that_say_nothing_else_mark_a_section():
+    page = "<article><p>a</p><math>x</math><section class=discussion>d</section><div id=related-work>r</div><div class=recipe-menu>m</div><p class=share-price>s</p><output>o</output><label>l</label>"
+    assert html_text.main_text(page + "<div class='ad-slot x1'>no</div><section id=reader-comments>no</section><div class=sideBar>no</div></article>") == "a\nx\nd\nr\nm\ns\no\nl"
 
 
 def test_pipeline_equals_its_parts_by_brute_force(spark):
