@@ -151,42 +151,159 @@ CHANGED = "Noise first. Tim has 7 apples and buys 9 more apples from Jane in Rom
 TORN = ITEM.replace("3 apples and buys 5", "3 apples and buys 6").replace("Anna", "Eve")
 
 
-def test_decontamination_finds_copies_and_changed_values(spark, docs, none, monkeypatch):
-    bench = spark.createDataFrame([(1, ITEM), (2, "one two"), (3, None), (None, "this is a question with only seven words"), (1, ITEM), (5, "")], "item_id long, text string")
-    d = spark.createDataFrame([(1, "x " + ITEM.upper().lower() + " y"), (2, CHANGED), (3, "apples and days and dollars, nothing else to see here at all"), (4, None), (5, "so this IS a question: with only seven words!"), (6, ITEM), (6, ITEM), (7, ITEM[:70])], "doc_id long, text string")
-    for most in (2_000_000, 10):  # in one broadcast, and item by item
-        monkeypatch.setattr(decontaminate, "GROUP_WINDOWS", most)
-        got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(d, bench).collect()}
-        assert set(got) == {(1, 1), (2, 1), (5, None), (6, 1)}  # half of an item is not enough
-        assert got[2, 1].changed and not got[6, 1].changed and got[6, 1].coverage == 1.0
-        kept = decontaminate.drop_leaks(d, bench)
-        assert {3, 4} <= {r.doc_id for r in kept.collect()} and not {1, 2, 5, 6} & {r.doc_id for r in kept.collect()}
+def leaks(spark, items, texts, coverage=0.5, run=99):
+    """{(document's place, item's place): (coverage, longest run, changed)}."""
+    bench, d = (spark.createDataFrame(list(enumerate(x)), f"{c} long, text string") for c, x in (("item_id", items), ("doc_id", texts)))
+    return {(r.doc_id, r.item_id): (r.coverage, r.longest_run, r.changed) for r in decontaminate.find_leaks(d, bench, coverage, run).collect()}
+
+
+def test_decontamination_finds_copies_and_changed_values(spark, docs, none):
+    bench = spark.createDataFrame([(1, ITEM), (2, "one two"), (3, None), (None, "this is a question with only seven words"), (1, ITEM), (7, ITEM), (5, "")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x " + ITEM.upper().lower() + " y"), (2, CHANGED), (3, "apples and days and dollars, nothing else to see here at all"), (4, None), (5, "so this IS a question: with only seven words!"), (6, ITEM), (6, ITEM), (7, ITEM[:70]), (None, ITEM)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(d, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (5, None), (6, 1), (None, 1), (1, 7), (2, 7), (6, 7), (None, 7)}  # half of an item is not enough
+    assert got[2, 1].changed and not got[6, 1].changed and got[6, 1].coverage == 1.0
+    for near in (8_000_000, 0):
+        kept = [r.doc_id for r in decontaminate.drop_leaks(d, bench, near_ids=near).collect()]
+        assert sorted(kept) == [3, 4, 7]
     assert decontaminate.find_leaks(docs, bench).collect() == [] and decontaminate.find_leaks(none, bench).collect() == []
-    assert decontaminate.find_leaks(d, bench.where("false")).collect() == [] and decontaminate.drop_leaks(d, bench.where("false")).count() == 8
+    assert rows(decontaminate.drop_leaks(docs, bench).select("doc_id")) == rows(docs.select("doc_id")) and decontaminate.drop_leaks(docs, bench).columns == docs.columns
+    assert decontaminate.find_leaks(d, bench.where("false")).collect() == [] and decontaminate.drop_leaks(d, bench.where("false")).count() == 9
 
 
-def test_decontamination_needs_consistent_values():
-    b, c = decontaminate.Benchmark([(1, "Anna gave 3 pears to Bill and then Bill gave 3 pears back to Anna so who has 3 pears now")]), decontaminate.Canonicalizer()
-    said = lambda t: b.matches(c([t]), 0.5, 99)
-    assert said("Eva sent it. Anna gave 4 pears to Carl and then Carl gave 4 pears back to Anna so who has 4 pears now")
-    assert not said("Anna gave 4 pears to Carl and then Dora gave 5 pears back to Emil so who has 6 pears now")
+def test_decontamination_needs_consistent_values(spark):
+    item = "Anna gave 3 pears to Bill and then Bill gave 3 pears back to Anna so who has 3 pears now"
+    good = "Eva sent it. Anna gave 4 pears to Carl and then Carl gave 4 pears back to Anna so who has 4 pears now"
+    torn = "Anna gave 4 pears to Carl and then Dora gave 5 pears back to Emil so who has 6 pears now"
+    # over the whole item: words in between make two alignments, which must agree as well
+    long = "Anna gave 3 pears to Bill and then Bill gave 3 pears back to Anna. After that the two friends went home with 3 pears that Anna had left for Bill and his dog"
+    parted = lambda a, n: f"{a} gave {n} pears to Carl and then Carl gave {n} pears back to {a}. This is said in between. After that the two friends went home with 7 pears that Fred had left for Carl and his dog"
+    got = leaks(spark, [item, long], [good, torn, parted("Fred", 7), parted("Gina", 9)], 0.6)
+    assert (0, 0) in got and (1, 0) not in got and (2, 1) in got and (3, 1) not in got
 
 
-def test_decontamination_finds_changed_names_at_sentence_starts():
-    b, c = decontaminate.Benchmark([(1, "Tom has 12 apples and Anna has 7 pears. Tom buys 3 more apples. How many fruits does Tom have?")]), decontaminate.Canonicalizer()
+def test_decontamination_finds_changed_names_at_sentence_starts(spark):
+    item = "Tom has 12 apples and Anna has 7 pears. Tom buys 3 more apples. How many fruits does Tom have?"
     consistent = "Sam has 15 apples and Lisa has 9 pears. Sam buys 4 more apples. How many fruits does Sam have?"
-    assert b.matches(c([consistent]), 0.5, 20) == [(0, 0, 1.0, 20, True)]
-    assert b.matches(c(["Well, " + consistent]), 0.5, 20)[0][:3] == (0, 0, 1.0)  # a name that no longer begins the sentence
-    assert not b.matches(c(["Sam has 15 apples and Lisa has 9 pears. Max buys 4 more apples. How many fruits does Eve have?"]), 0.5, 20)
-
-
-def test_decontamination_finds_short_items_and_scripts_without_spaces():
-    c = decontaminate.Canonicalizer()
-    b = decontaminate.Benchmark([(1, "Name the 3 Baltic states"[:11]), (2, "日本の首都は東京です"), (3, "Paris")])
-    said = lambda t: {b.ids[m[1]] for m in b.matches(c([t]), 0.5, 20)}
-    assert said("He said: name THE 3!") == {1} and said("name the 4") == set()  # few words match only as they are
-    assert said("問題。日本の首都は東京ですか") == {2} and said("中国の首都は北京です") == set()
-    assert said("to paris, then") == {3} and said("") == set()
+    got = leaks(spark, [item], [consistent, "Well, " + consistent, "Sam has 15 apples and Lisa has 9 pears. Max buys 4 more apples. How many fruits does Eve have?"])
+    assert got == {(0, 0): (1.0, 20, True), (1, 0): (1.0, 20, True)}
+
+
+def test_runs_of_numbers_and_names_are_one_placeholder(spark):
+    item = "the train from Paris to Rome takes 25 hours and the bus takes Anna 3 days more than that"
+    got = leaks(spark, [item], ["the train from New York to San Juan takes twenty five hours and the bus takes Mary Ann 12 days more than that", "the train from Oslo to Rome takes 25 hours or so"])
+    assert got == {(0, 0): (1.0, 19, True)}
+
+
+def test_decontamination_finds_short_items_and_scripts_without_spaces(spark):
+    got = leaks(spark, ["Name the 3", "日本の首都は東京です", "Paris"], ["He said: name THE 3!", "name the 4", "問題。日本の首都は東京ですか", "中国の首都は北京です", "to paris, then", "so?\nPARIS\nyes", "", "name the 3 things"])
+    assert set(got) == {(0, 0), (2, 1), (5, 2)}  # few words match only as a whole sentence or line
+
+
+def test_rows_of_numbers_are_no_template(spark):
+    numbers = lambda seed, n: ", ".join(str(x) for x in np.random.default_rng(seed).integers(0, 10**6, n))
+    words, begins = decontaminate.Canonicalizer()([numbers(1, 6000)])
+    begin = time.time()
+    mine = [np.unique(decontaminate.windows(r, 8)[1]) for r in words]
+    assert all(len(x) > 5900 for x in mine) and time.time() - begin < 0.1
+    assert leaks(spark, [numbers(2, 400)], [numbers(1, 6000), numbers(3, 50) + ", " + numbers(2, 400)]) == {(1, 0): (1.0, 400, False)}
+
+
+def test_large_benchmark_in_one_pass(spark):
+    word = lambda x: "".join(chr(97 + x // 26**k % 26) for k in range(5))
+    items = [" ".join([f"what is {i} of", *(word(7 * i + j) for j in range(9)), "together?"]) for i in range(20_000)]
+    got = leaks(spark, items, ["So " + items[5].replace("is 5 of", "is 99 of"), items[19_999], "nothing of it"])
+    assert set(got) == {(0, 5), (1, 19_999)} and got[0, 5][2]
+
+
+def slow_readings(text):
+    """The three readings by plain loops: lists of (code, value, is a slot, is a head)."""
+    d = decontaminate
+    tokens = [t.lower() if d._kind(t) == d.LITERAL else t for t in d.TOKEN.findall(text)]
+    words, begins, apart, last = [], True, True, None
+    for t in tokens:
+        k = d._kind(t)
+        if k in (d.STOP, d.COMMA):
+            begins, apart = begins or k == d.STOP, True
+            continue
+        if k == d.UNIT and (last != d.NUM or apart):
+            k = d.LITERAL
+        words.append([k, t.lower(), begins and k == d.NAME, apart])
+        begins, apart, last = False, False, k
+    plain = [(w[1], (w[1],), False, False) for w in words]
+    out = {d.PLAIN: plain}
+    for way in (d.TEMPLATE, d.NAMED):
+        reading, before = [], None
+        for k, t, head, cut in words:
+            if head and way == d.TEMPLATE:
+                k = d.LITERAL
+            if k in (d.NUM, d.NAME) and k == before and not cut:
+                reading[-1] = (reading[-1][0], (*reading[-1][1], t), True, reading[-1][3])
+            else:
+                reading.append((t if k == d.LITERAL else k, (t,), k != d.LITERAL, head and way == d.NAMED))
+            before = k
+        out[way] = reading
+    return out
+
+
+def slow_matches(text, item, coverage, run):
+    """The template matcher without hashes, filters or joins."""
+    theirs, best = slow_readings(text), None
+    for way, mine in slow_readings(item).items():
+        n = min(8, len(mine))
+        if n < 5:
+            continue
+        by = {}
+        for other, words in theirs.items():
+            if (way == decontaminate.PLAIN) != (other == decontaminate.PLAIN):
+                continue
+            for i in range(len(mine) - n + 1):
+                for j in range(len(words) - n + 1):
+                    a, b = mine[i : i + n], words[j : j + n]
+                    if [x[0] for x in a] != [x[0] for x in b]:
+                        continue
+                    same = [x[1] for x in a] == [x[1] for x in b]
+                    literal = sum(not x[2] or x[3] and x[1] == y[1] for x, y in zip(a, b, strict=True))
+                    if same or 2 * literal >= n:
+                        by.setdefault((other, j - i), {})[i] = (same, {(x[1], y[1]) for x, y in zip(a, b, strict=True) if x[2]})
+        good = []
+        for key, ws in by.items():
+            pairs = set().union(*(p for _, p in ws.values()))
+            torn = {x for x, y in pairs if any(x == u and y != v for u, v in pairs)}
+            ok = {i: w for i, w in ws.items() if w[0] or not torn & {x for x, _ in w[1]}}
+            good.append((-len(ok), key, ok))
+        taken, covered, longest, changed = {}, set(), 0, False
+        for _, _, ws in sorted(good, key=lambda g: g[:2]):
+            ws = {i: w for i, w in ws.items() if all(taken.get(x, y) == y for x, y in w[1])}
+            for _, pairs in ws.values():
+                taken.update(pairs)
+            covered |= set(ws)
+            changed |= not all(w[0] for w in ws.values())
+            for i in ws:
+                k = i
+                while k in ws:
+                    k += 1
+                longest = max(longest, k - i + n - 1)
+        found = (len(covered) / (len(mine) - n + 1), longest, changed)
+        if covered and (found[0] >= coverage or longest >= run) and (best is None or (found[0], not changed, longest) > (best[0], not best[2], best[1])):
+            best = found
+    return best
+
+
+def test_decontamination_equals_a_slow_template_matcher(spark):
+    rng = random.Random(3)
+    words = ["has", "apples", "and", "then", "pears", "gives", "to", "Anna", "Tom", "New York", "Rome", "3", "twenty five", "7 km", "Who", "How many", ".", ",", "?"]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(6, 22))) for _ in range(25)]
+
+    def variant(t):
+        for a, b in (("Anna", "Eva"), ("Tom", "Max"), ("3", "44"), ("Rome", "San Juan"), ("7", "twenty one")):
+            if rng.random() < 0.5:
+                t = t.replace(a, b, rng.choice([-1, -1, 1]))
+        return t
+
+    texts = [" ".join([rng.choice(["Intro here.", ""]), variant(rng.choice(items)), rng.choice(["", "said so.", variant(rng.choice(items))])]) for _ in range(60)]
+    want = {(i, j): m for i, t in enumerate(texts) for j, x in enumerate(items) if (m := slow_matches(t, x, 0.5, 12))}
+    assert leaks(spark, items, texts, 0.5, 12) == want and sum(m[2] for m in want.values()) > 10 and sum(not m[2] for m in want.values()) > 3
 
 
 def test_decontamination_equals_brute_force_windows(spark):
