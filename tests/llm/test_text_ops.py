@@ -193,13 +193,51 @@ def test_forward_backward_equals_the_plain_recursion():
         at += n
 
 
-def test_training_pieces_are_from_all_over_a_text():
-    n = language_id.SEGMENT_WORDS
-    for pieces in (1, 3, 6, 7, 11, 12, 17, 100):
-        at = language_id.spread(pieces * n)
-        assert at[0] == 0 and at[-1] == (pieces - 1) * n and len(at) == min(pieces, 6)
-        assert max(np.diff(at), default=0) <= n * -(-pieces // 5)
-    assert language_id.spread(0) == [] and language_id.spread(1) == [0]
+def test_training_takes_whole_texts_whatever_the_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda pieces: seen.extend(pieces))
+    long = " ".join(f"w{chr(97 + i % 26)}" for i in range(700)) + " end"
+    rows = [(None, "un deux trois", "fr"), (None, "un deux trois", "fr"), (None, "eins zwei", "de"), (7, "vier", "de"), (7, "fünf", "de"), (8, None, "de"), (9, "x", None), (10, long, "en")]
+    df = spark.createDataFrame([*rows, *[(None, f"six {i}", "fr") for i in range(300)]], "doc_id long, text string, lang string").repartition(4)
+    language_id.learn(df, rows=20)
+    assert {lang: sum(x == lang for x, _ in seen) for lang in ("de", "fr")} == {"de": 3, "fr": 20}
+    assert [w for x, ws in seen if x == "en" for w in ws] == language_id.words_of(long)
+
+
+def test_language_and_score_equal_a_slow_crf(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    model = language_id.learn(d)
+
+    def emission(word):
+        out = np.zeros(len(model.langs))
+        for n in (2, 3, 4):
+            padded = "\n" + word + "\n"
+            for i in range(len(padded) - n + 1):
+                if n < 4 or i == 0 or i == len(padded) - n:
+                    code = np.uint64(ord(padded[i]))
+                    for c in padded[i + 1 : i + n]:
+                        code = code * np.uint64(1_000_003) + np.uint64(ord(c))
+                    out += model.weights[language_id.mix(np.array([code + np.uint64(n)]))[0]]
+        whole = np.uint64(0)
+        for place, c in enumerate("\n" + word + "\n"):
+            whole += np.uint64(ord(c) + 1) * np.uint64(place * place + 40_503) * np.uint64(2_654_435_761)
+        out += model.weights[language_id.mix(np.array([whole + np.uint64(7)]))[0]]
+        return out + sum(model.lexicon_weights[i] * (model.lexicon.get(word, 0) >> i & 1) for i in range(len(model.langs)))
+
+    texts = [t for t in (r.text for r in d.collect()) if t and len(t) < 4000][:12]
+    got = list(zip(*model.label(texts), strict=True))
+    for text, (lang, score) in zip(texts, got, strict=True):
+        e = np.array([emission(w) for w in language_id.words_of(text)])
+        a, b, t = np.zeros_like(e), np.ones_like(e), np.exp(model.transitions.astype(float))
+        e = np.exp(e - e.max(axis=1, keepdims=True))
+        for i in range(len(e)):
+            a[i] = (np.exp(model.start) if i == 0 else a[i - 1] @ t) * e[i]
+            a[i] /= a[i].sum()
+        for i in range(len(e) - 2, -1, -1):
+            b[i] = t @ (e[i + 1] * b[i + 1])
+            b[i] /= b[i].sum()
+        mean = (a * b / (a * b).sum(axis=1, keepdims=True)).mean(axis=0)
+        assert lang == model.langs[int(mean.argmax())] and score == pytest.approx(mean.max(), abs=1e-3)
 
 
 @pytest.mark.parametrize("k", [2, 3, 4])
@@ -224,6 +262,7 @@ def test_language_id_labels_switches_and_held_out_documents(spark, docs, none):
     assert (labels[:35] == model.langs.index("en")).mean() > 0.9 and (labels[45:] == model.langs.index("es")).mean() > 0.9
     odd = {(r.doc_id, r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()}
     assert {(3, "und", 0.0), (4, "und", 0.0), (7, "und", 0.0)} <= odd
+    assert language_id.learn(docs).langs == ["de", "en", "es"]  # a language needs words; null and repeated ids train as well
     assert language_id.predict(none, model).collect() == [] and language_id.learn(none) is None
     assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
     kept = language_id.keep_identified(docs, model)

@@ -6,10 +6,10 @@ words seen often in its training text. Learned transition and start weights tie
 forward-backward labels every word of code-switched text. A document's language is the one with the largest mean
 of the words' marginals, which is also the score.
 
-Training uses at most ``ROWS`` documents of each language, chosen by a hash of the id, and ``SEGMENTS`` pieces of
-``SEGMENT_WORDS`` words from all over each; pieces of different languages are strung together so that transitions
+Training uses at most ``ROWS`` documents of each language, chosen by a hash of id and text, and every word of each, in pieces of
+``SEGMENT_WORDS`` words; pieces of different languages are strung together so that transitions
 see switches. This bound is the only one: prediction covers every word of every text. lang, source and doc_id are no
-inputs of a prediction.
+inputs of a prediction. Ids may be null or repeat.
 
 A document whose text is null or has no letter is ``und`` with score 0. So is every document if there is nothing to
 learn from. Words are runs of letters, lower-cased.
@@ -23,12 +23,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import map_batches, pick, release, small_slices, texts
 
-ROWS, SEGMENTS, SEGMENT_WORDS = 400, 6, 25
+ROWS, SEGMENT_WORDS = 250, 25
 BUCKETS = 1 << 16
 CHUNK = 64
 CACHE = 200_000
@@ -295,36 +295,19 @@ def _step(batch, f_bucket, f_start, hits, params, squares):
         p += (0.2 * g / np.sqrt(q)).astype(np.float32)
 
 
-def spread(n: int) -> list[int]:
-    """Where the pieces of n words begin: at most SEGMENTS, evenly from the first to the last."""
-    last = -(-n // SEGMENT_WORDS) - 1
-    return [SEGMENT_WORDS * p for p in sorted({round(i * last / (SEGMENTS - 1)) for i in range(SEGMENTS)})] if n else []
-
-
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> Crf | None:
-    """A model of docs' texts and non-null languages, from at most rows documents of a language by a hash of their id."""
-    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    there = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not there:
-        return None
-    draw = F.pmod(F.xxhash64(F.lit("train"), "doc"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(F.create_map(*[x for lang, n in there.items() for x in (F.lit(lang), F.lit(1.2 * rows / n))])[F.col("lang")], F.lit(0.0))
-
-    def pieces(batch):
-        out = []
-        for doc, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "lang")), strict=True):
-            w = [x for x in words_of(text or "") if any(map(str.isalpha, x))]
-            out += [(doc, lang, " ".join(w[i : i + SEGMENT_WORDS])) for i in spread(len(w))]
-        if out:
-            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["doc", "lang", "words"])
-
-    got = map_batches(named.where(draw < share), pieces, "doc string, lang string, words string").collect()
-    kept: dict[str, dict[str, list]] = {}
-    for doc, lang, words in sorted((r["doc"], r["lang"], r["words"]) for r in got):
-        own = kept.setdefault(lang, {})
-        if doc in own or len(own) < rows:
-            own.setdefault(doc, []).append(words.split())
-    return train([(lang, w) for lang, own in sorted(kept.items()) for ws in own.values() for w in ws if w])
+    """A model of docs' texts and non-null languages, from at most rows whole documents of a language, by a hash of id and text.
+
+    Ids play no other part: they may be null or repeat. What comes to the driver is rows documents of each language."""
+    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.lit("train"), F.col(id_col).cast("string"), F.col(text_col)).alias("draw"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    # the limit by group is applied before the shuffle as well, so no task gets more than rows from each task
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    chosen = named.withColumn("place", place).where(F.col("place") <= rows).select("lang", "place", "text")
+    pieces = []
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["place"])):
+        w = [x for x in words_of(r["text"]) if any(map(str.isalpha, x))]
+        pieces += [(r["lang"], w[i : i + SEGMENT_WORDS]) for i in range(0, len(w), SEGMENT_WORDS)]
+    return train(pieces)
 
 
 def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

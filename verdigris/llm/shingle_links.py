@@ -48,11 +48,11 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(hashes: np.ndarray) -> bytes:
-    return np.unique(hashes.astype(np.uint32)).tobytes()
+    return np.unique(hashes).tobytes()
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
@@ -106,7 +106,7 @@ def settled(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def joining_links(nodes: np.ndarray, comps: np.ndarray, packed: list[bytes], least: float) -> tuple[list[int], list[int]]:
     """Links between nodes whose sets are similar enough, as many as it takes to join their components."""
-    sets = [np.frombuffer(x, np.uint32) for x in packed]
+    sets = [np.frombuffer(x, np.uint64) for x in packed]
     sizes = np.array([len(x) for x in sets], np.int64)
     values, which = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)

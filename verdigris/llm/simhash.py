@@ -1,10 +1,11 @@
 """SimHash near-duplicates by anchor-point covering.
 
-The anchors are the codewords of two perfect Golay codes of length 23, laid over 46 of a fingerprint's 64 bits:
-2^24 anchors, and every word is within 3 bits of exactly one codeword in each half. A fingerprint's home is the
-anchor within that covering radius; it is replicated to every anchor within radius plus threshold, the threshold
-being shared by the halves: about 61 anchors at 2 bits. If two fingerprints differ in t bits or fewer, each is
-replicated to the other's home, so comparing homes with replicas anchor by anchor misses nothing.
+The anchors are made of the codewords of three perfect codes side by side, two Golay codes of length 23 and a Hamming code of
+length 15, over 61 of a fingerprint's 64 bits: 2^35 anchors, and every word is within 3, 3 and 1 bits of exactly one codeword
+of each code. A fingerprint's home is the anchor within that covering radius; it is replicated to every anchor within radius plus
+threshold, the threshold being shared by the codes: about 153 anchors at 2 bits. If two fingerprints differ in t bits or fewer,
+each is replicated to the other's home, so comparing homes with replicas anchor by anchor misses nothing. With 10^9 different
+fingerprints an anchor holds few by chance: some 4 10^9 comparisons in all.
 
 Equal fingerprints are one row before replication, so exact copies cost nothing, and a fingerprint has at most
 2,080 others within 2 bits, which bounds the links of a group of near copies. Homes and replicas meet in an
@@ -17,8 +18,9 @@ null doc_id takes part; a component's id is its smallest doc_id that is not null
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cache
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,8 @@ from verdigris.llm.common import discard, map_batches, materialize, pick, small_
 from verdigris.llm.components import connected_components
 from verdigris.llm.shingle_links import band_rows, bands, shingle_set, similar_links
 
-N, INFO, RADIUS = 23, 12, 3
 #: Rows of at most 16 bytes that are broadcast at most.
 NEAR_IDS = 8_000_000
-#: Fixed value: the Golay code's generator polynomial, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
-GENERATOR = 0b101011100011
-
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
     w = text.encode().lower().split()
@@ -70,28 +68,49 @@ def fingerprints(docs: DataFrame, words: int, with_bands: bool = False) -> DataF
     return map_batches(docs.withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, fp long, bands array<long>")
 
 
+@dataclass(frozen=True)
+class Code:
+    """A perfect cyclic code over some of a fingerprint's bits: every word is within radius of exactly one codeword."""
+
+    shift: int
+    length: int
+    info: int
+    radius: int
+    generator: int
+
+    def remainder(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.int64).copy()
+        for i in range(self.length - 1, self.length - self.info - 1, -1):
+            x ^= np.where(x >> i & 1, self.generator << (i - (self.length - self.info)), 0)
+        return x
+
+    def word(self, fps: np.ndarray) -> np.ndarray:
+        return ((fps.view(np.uint64) >> np.uint64(self.shift)) & np.uint64((1 << self.length) - 1)).astype(np.int64)
+
+    def number(self, codeword: np.ndarray) -> np.ndarray:
+        """A codeword is known by its upper bits."""
+        return codeword >> (self.length - self.info)
+
+
+#: The Golay code's generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, and the Hamming code's x^4 + x + 1.
+CODES = (Code(0, 23, 12, 3, 0b101011100011), Code(23, 23, 12, 3, 0b101011100011), Code(46, 15, 11, 1, 0b10011))
+
+
 @cache
-def codewords() -> np.ndarray:
-    """By the remainder of a word modulo the generator: the errors of weight up to RADIUS + 2 that lead to a codeword.
-
-    A list of 2,048 arrays, sorted by weight, each as (error, excess over the radius)."""
-    by: list[list[tuple[int, int]]] = [[] for _ in range(1 << (N - INFO))]
-    single = [remainder(np.array([1 << i]))[0] for i in range(N)]
-    for weight in range(RADIUS + 3):
-        for bits in combinations(range(N), weight):
+def errors(code: Code, excess: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The errors that lead to a codeword at most radius away (excess 0), or exactly radius + excess: all of them, ordered by the
+    remainder of the word, and where each remainder's begin and how many it has."""
+    by: list[list[int]] = [[] for _ in range(1 << (code.length - code.info))]
+    single = [int(code.remainder(np.array([1 << i]))[0]) for i in range(code.length)]
+    for weight in range(code.radius + 1) if excess == 0 else [code.radius + excess]:
+        for bits in combinations(range(code.length), weight):
             error = left = 0
             for i in bits:
                 error |= 1 << i
-                left ^= int(single[i])
-            by[left].append((error, max(0, weight - RADIUS)))
-    return by
-
-
-def remainder(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.int64).copy()
-    for i in range(N - 1, N - INFO - 1, -1):
-        x ^= np.where(x >> i & 1, GENERATOR << (i - (N - INFO)), 0)
-    return x
+                left ^= single[i]
+            by[left].append(error)
+    counts = np.array([len(own) for own in by], np.int64)
+    return np.array([e for own in by for e in own], np.int64), np.cumsum(counts) - counts, counts
 
 
 class Covering:
@@ -100,29 +119,22 @@ class Covering:
     def __init__(self, bits: int):
         if not 0 <= bits <= 2:
             raise ValueError("bits is 0, 1 or 2")
-        by = codewords()
-        self.errors = [np.array([e for own in by for e, x in own if x == k], np.int64) for k in range(bits + 1)]
-        self.counts = [np.array([sum(x == k for _, x in own) for own in by], np.int64) for k in range(bits + 1)]
-        self.starts = [np.r_[0, np.cumsum(c)[:-1]] for c in self.counts]
-        self.bits = bits
+        self.shares = [x for x in product(range(bits + 1), repeat=len(CODES)) if sum(x) <= bits]
 
     def anchors(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index into fps, anchor, whether it is the home) of every replica."""
-        u = fps.view(np.uint64)
-        low = (u & np.uint64((1 << N) - 1)).astype(np.int64)
-        high = ((u >> np.uint64(N)) & np.uint64((1 << N) - 1)).astype(np.int64)
-        a, b = remainder(low), remainder(high)
+        words = [c.word(fps) for c in CODES]
+        lefts = [c.remainder(w) for c, w in zip(CODES, words, strict=True)]
         out = []
-        for i in range(self.bits + 1):
-            for j in range(self.bits + 1 - i):
-                n, m = self.counts[i][a], self.counts[j][b]
-                each = n * m
-                which = np.repeat(np.arange(len(fps)), each)
-                k = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
-                x = low[which] ^ self.errors[i][self.starts[i][a][which] + k // m[which]]
-                y = high[which] ^ self.errors[j][self.starts[j][b][which] + k % m[which]]
-                # a codeword is known by its upper 12 bits
-                out.append((which, (x >> (N - INFO)) << INFO | y >> (N - INFO), np.full(len(which), i + j == 0)))
+        for share in self.shares:  # how much of the threshold falls to each code
+            which, anchor = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+            for code, word, left, excess in zip(CODES, words, lefts, share, strict=True):
+                all_errors, starts, counts = errors(code, excess)
+                each = counts[left[which]]
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                which, anchor = np.repeat(which, each), np.repeat(anchor, each)
+                anchor = anchor << code.info | code.number(word[which] ^ all_errors[starts[left[which]] + place])
+            out.append((which, anchor, np.full(len(which), not any(share))))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -132,16 +144,16 @@ def near_links(fps: DataFrame, bits: int) -> DataFrame:
     def homes(batch):
         own = batch.column("fp").to_numpy()
         which, anchor, home = Covering(0).anchors(own)
-        yield pa.record_batch([pa.array(anchor[home].astype(np.int32)), pa.array(own[which[home]])], ["anchor", "a"])
+        yield pa.record_batch([pa.array(anchor[home]), pa.array(own[which[home]])], ["anchor", "a"])
 
     def replicas(batch):
         own, covering = batch.column("fp").to_numpy(), Covering(bits)
         for begin in range(0, len(own), 2000):
             part = own[begin : begin + 2000]
             which, anchor, _ = covering.anchors(part)
-            yield pa.record_batch([pa.array(anchor.astype(np.int32)), pa.array(part[which])], ["anchor", "b"])
+            yield pa.record_batch([pa.array(anchor), pa.array(part[which])], ["anchor", "b"])
 
-    left, right = map_batches(fps, homes, "anchor int, a long"), map_batches(fps, replicas, "anchor int, b long")
+    left, right = map_batches(fps, homes, "anchor long, a long"), map_batches(fps, replicas, "anchor long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     return left.join(right, "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
@@ -154,7 +166,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, similarity:
     own = pick(docs, id_col, text_col)
     each = materialize(fingerprints(own, words, similarity is not None), "fingerprints")
     fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    links = near_links(fps.select("fp"), bits)
+    links = materialize(near_links(fps.select("fp"), bits), "near-links")
     if similarity is not None:
 
         def shingles_of(nodes: DataFrame) -> DataFrame:
