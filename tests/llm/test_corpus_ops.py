@@ -389,15 +389,14 @@ def plain_kneser_ney(texts, order):
 
 
 def test_kneser_ney_equals_its_definition(spark):
-    trusted, other = ["abracadabra abra", "banana band", "cabbage"], ["abba zz", "quux"]
-    df = spark.createDataFrame([(t, True) for t in trusted] + [(t, False) for t in other], "text string, trusted boolean")
-    counts = quality.gram_counts(df, 3)
+    trusted, other = ["abracadabra abra", "banana band", "cabbage"], ["abba zz", "quux", "brabant"]
+    counts = quality.gram_counts(spark.createDataFrame([(t,) for t in trusted], "text string"), 3)
     raw = plain_kneser_ney(trusted, 3)
-    assert {r.g: r.n for r in counts.collect() if r.n} == dict(raw[3])
-    got = {r.g: r.logp for r in quality.log_probabilities(counts, 3).collect()}
-    every = {p[i : i + 3] for t in trusted + other for p in ["\0\0" + t] for i in range(len(t))}
-    assert set(got) == every
-    chars = {g[-1] for g in every} | {g[1:][-1] for g in every}
+    assert {r.g: r.n for r in counts.collect()} == dict(raw[3])
+    rows, unseen = quality.model_rows(counts, 3)
+    rows = quality.hashed_rows(rows)
+    whole = quality.Model(rows.toArrow(), 3, unseen)
+    parts = [quality.Model(rows.where(f"middle < 0 or pmod(middle, 3) = {i}").toArrow(), 3, unseen, i, 3) for i in range(3)]
     disc = {k: quality.discounts(*[sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]) for k, c in raw.items()}
 
     def p(g):
@@ -405,17 +404,18 @@ def test_kneser_ney_equals_its_definition(spark):
         own = {x: n for x, n in raw[k].items() if x[:-1] == g[:-1]}
         d = disc[k]
         off = lambda n: d[min(n, 3) - 1] if n else 0.0
-        low = 1 / (len(chars) + 1) if k == 1 else p(g[1:])
+        low = 1 / (len(raw[1]) + 1) if k == 1 else p(g[1:])
         total = sum(own.values())
         return low if not total else (own.get(g, 0) - off(own.get(g, 0))) / total + sum(off(n) for n in own.values()) / total * low
 
-    for g, logp in got.items():
-        assert logp == pytest.approx(math.log(p(g)), abs=1e-9)
+    want = [sum(math.log(p(("\0\0" + t)[i : i + 3])) for i in range(len(t))) for t in trusted + other]
+    assert whole.sums(trusted + other)[0].tolist() == pytest.approx(want, abs=1e-9)
+    assert sum(m.sums(trusted + other)[0] for m in parts).tolist() == pytest.approx(want, abs=1e-9)
 
 
 def test_quality_paths_agree_and_edges_are_defined(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (6, 1, 0), (10, 0, 0), (8, 1, 1), (None, 1, 0), (9, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
-    a, b = quality.classify(docs, labels), quality.classify(docs, labels, near_rows=0, near_ids=0)
+    a, b = quality.classify(docs, labels), quality.classify(docs, labels, near_rows=40, near_ids=0)
     key = lambda r: (str(r[0]), str(r[1]), r[2])
     x, y = sorted(map(tuple, a.collect()), key=key), sorted(map(tuple, b.collect()), key=key)
     assert len(x) == len(y) == docs.count()
