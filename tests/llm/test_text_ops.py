@@ -50,7 +50,7 @@ def test_line_dedup_paths_agree_with_brute_force(docs, none):
     for least in (1, 2, 5):
         index = line_dedup.LineIndex.build(docs, least)
         want = expected_lines(pairs, least)
-        for limit in (64 << 20, 40, 0):  # exact keys near, filters near, join alone
+        for limit in (64 << 20, 40, 0):  # exact keys near, filters near, filters routed
             got = index.drop(docs, broadcast_bytes=limit)
             assert rows(got.select("doc_id", "text", "n_lines", "n_dropped")) == want
             assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
@@ -63,9 +63,34 @@ def test_line_index_is_reversible(spark, docs):
     grown = base.insert(more)
     whole = docs.select("doc_id", "text").unionByName(more)
     assert rows(grown.drop(whole)) == rows(line_dedup.LineIndex.build(whole, 3).drop(whole))
+    assert len(grown.levels) == 2 and grown.levels[0] is base.levels[0]  # what was there is not written again
     back = grown.delete(more)
     assert rows(back.counts) == rows(base.counts)
     assert rows(back.drop(docs)) == rows(base.drop(docs))
+    with pytest.raises(ValueError):  # all of its lines are there, the document is not
+        back.delete(spark.createDataFrame([(1, "End\nshared line")], "doc_id long, text string"))
+    with pytest.raises(ValueError):
+        back.delete(more)
+
+
+def test_levels_are_merged_and_filters_grow(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEVELS", 2)
+    parts = [spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(40 * k + 40))) for i in range(2)], "doc_id long, text string") for k in range(3)]
+    index, whole = line_dedup.LineIndex.build(parts[0], 3), parts[0]
+    for more in parts[1:]:
+        index, whole = index.insert(more), whole.unionByName(more)
+    assert len(index.levels) == 1 and rows(index.counts) == rows(line_dedup.LineIndex.build(whole, 3).counts)
+    assert rows(index.drop(whole)) == rows(line_dedup.LineIndex.build(whole, 3).drop(whole))
+
+
+def test_filters_are_asked_at_any_size(spark, docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ROUTED", 3)  # many groups to a shard
+    index = line_dedup.LineIndex.build(docs, 2)
+    full = rows(index.drop(docs, broadcast_bytes=0).select("doc_id", "text", "n_dropped"))
+    assert full == rows(index.drop(docs).select("doc_id", "text", "n_dropped")) and any(r[2] for r in full)
+    index.filters = index.filters.where("false")  # no filter lets a key through
+    for limit in (64 << 20, 0, -1):
+        assert all(r.n_dropped == 0 for r in index.drop(docs, broadcast_bytes=limit).collect())
 
 
 def test_cuckoo_filter_holds_all_and_forgets_deleted():

@@ -1,16 +1,19 @@
 """Reversible line dedup: exact reference-count tables, and sharded cuckoo filters of the frequent keys in front.
 
-``LineIndex`` holds, for every line key, in how many documents it is (``counts``), and one cuckoo filter for each
-shard of the keys that reached ``min_docs`` (``filters``). ``insert`` and ``delete`` add a signed delta to the counts;
-only keys that cross the threshold enter or leave a filter, so deleting what was inserted restores the index.
+``LineIndex`` holds, for every line key, in how many documents it is, and one cuckoo filter for each shard of the keys that
+reached ``min_docs`` (``filters``). Counts are levels: ``insert`` and ``delete`` append one of signed counts, so what is written
+follows the change and not the corpus; after ``LEVELS`` of them they are merged. Only keys that cross the threshold enter or leave a
+filter, and only their shards' filters are made anew, so deleting what was inserted restores the index. A document is counted
+as well, by a digest of its set of keys: ``delete`` refuses documents that are not in the index.
 
 ``drop`` probes the filters while it scans the documents; only a line that a filter may hold is verified against
 the exact table. The filters and the frequent keys go to the executors if their exact size is within
-``broadcast_bytes``. Beyond it the verification is a join on the key that AQE can split, and only documents with
-a verified line are joined with their texts.
+``broadcast_bytes``; if only the filters are, the verification is a join on the key that AQE can split. Beyond that, keys are
+routed to their shard's filter, in groups of about ``ROUTED`` rows however hot a shard, and what passes is verified by that join.
+Only documents with a verified line are joined with their texts.
 
 Keys are compared by 128-bit hash. A key counts once in a document. Null and empty texts are one empty line. Keys
-shorter than ``min_chars`` code points are never dropped. Every row is a document; a null doc_id is one as well.
+shorter than ``min_chars`` code points are never dropped. Every row is a document, whatever its id; ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from verdigris.llm.cuckoo import CuckooFilter
 #: The ASCII white space that is stripped from a key, [\x20\x09-\x0D].
 STRIP = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 100_000
-#: Bytes of text that a task takes up at a time.
-PIECE = 8 << 20
+#: Bytes of text that a task takes up at a time; levels of counts at most; keys that meet a filter in one group.
+PIECE, LEVELS, ROUTED = 8 << 20, 8, 500_000
 
 
 def keys_of(text: str, min_chars: int = 1) -> list[bytes]:
@@ -50,46 +53,60 @@ def _halves(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
 
 
-def count_keys(docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> DataFrame:
-    """(k1, k2, n): in how many of docs each key is; summed in each batch, then by map-side partial sums."""
+def count_keys(docs: DataFrame, text_col: str = "text", min_chars: int = 1, members: bool = False) -> DataFrame:
+    """(k1, k2, doc, n): in how many of docs each key is; summed in each batch, then by map-side partial sums. With members, also how
+    many documents have each set of keys, as rows with doc."""
 
     def count(batch):
-        found: Counter[bytes] = Counter()
+        found: Counter[tuple[bytes, bool]] = Counter()
         for part in small_slices(batch, PIECE, text_col):
             for text in texts(part, text_col):
-                found.update({k for k in keys_of(text, min_chars) if k})
+                own = {k for k in keys_of(text, min_chars) if k}
+                found.update((k, False) for k in own)
+                if members:
+                    found[xxhash.xxh3_128_digest(b"".join(sorted(own))), True] += 1
         if found:
-            k = _halves(list(found))
-            yield pa.record_batch([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(list(found.values()), pa.int64())], ["k1", "k2", "n"])
+            k = _halves([k for k, _ in found])
+            yield pa.record_batch([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array([d for _, d in found]), pa.array(list(found.values()), pa.int64())], ["k1", "k2", "doc", "n"])
 
-    each = map_batches(docs.select(text_col), count, "k1 long, k2 long, n long")
-    return each.groupBy("k1", "k2").agg(F.sum("n").alias("n"))
+    each = map_batches(docs.select(text_col), count, "k1 long, k2 long, doc boolean, n long")
+    return each.groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n"))
+
+
+KEY = ["k1", "k2", "doc"]
 
 
 @dataclass
 class LineIndex:
-    """counts (k1, k2, n) of all keys, filters (shard, filter) of those in at least min_docs documents."""
+    """levels (k1, k2, doc, n) of signed counts, filters (shard, filter) of the keys in at least min_docs documents."""
 
-    counts: DataFrame
+    levels: list[DataFrame]
     filters: DataFrame
     shards: int
     min_docs: int
     min_chars: int
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text") -> LineIndex:
-        counts = materialize(count_keys(docs, text_col, min_chars), "line-counts")
-        return cls._of(counts, min_docs, min_chars)
+    def build(cls, docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", members: bool = True) -> LineIndex:
+        """The index of docs; without members it cannot tell what was inserted, and so not delete."""
+        return cls._of(materialize(count_keys(docs, text_col, min_chars, members), "line-counts"), min_docs, min_chars)
 
     @classmethod
     def _of(cls, counts: DataFrame, min_docs: int, min_chars: int) -> LineIndex:
-        shards = max(1, -(-counts.where(F.col("n") >= min_docs).count() // KEYS_PER_SHARD))
-        out = cls(counts, counts, shards, min_docs, min_chars)
+        shards = max(1, -(-counts.where((F.col("n") >= min_docs) & ~F.col("doc")).count() // KEYS_PER_SHARD))
+        out = cls([counts], counts, shards, min_docs, min_chars)
         out.filters = materialize(out._sharded(out.frequent()).groupBy("shard").applyInPandas(_build, "shard long, filter binary"), "line-filters")
         return out
 
+    @property
+    def counts(self) -> DataFrame:
+        """(k1, k2, doc, n) of all levels together."""
+        if len(self.levels) == 1:
+            return self.levels[0]
+        return _union(self.levels).groupBy(*KEY).agg(F.sum("n").alias("n")).where("n > 0")
+
     def frequent(self) -> DataFrame:
-        return self.counts.where(F.col("n") >= self.min_docs).select("k1", "k2")
+        return self.counts.where((F.col("n") >= self.min_docs) & ~F.col("doc")).select("k1", "k2")
 
     def _sharded(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("shard", F.pmod(F.col("k1"), F.lit(self.shards)).cast("long"))
@@ -98,22 +115,23 @@ class LineIndex:
         return self._changed(docs, 1, text_col)
 
     def delete(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
-        """Takes out documents that were inserted before."""
+        """Takes out documents that were inserted before; ValueError if any was not."""
         return self._changed(docs, -1, text_col)
 
     def _changed(self, docs: DataFrame, sign: int, text_col: str) -> LineIndex:
-        delta = count_keys(docs, text_col, self.min_chars).withColumn("n", F.col("n") * sign)
-        old = self.counts.select("k1", "k2", F.col("n").alias("was"), F.lit(0).cast("long").alias("d"))
-        new = delta.select("k1", "k2", F.lit(0).cast("long").alias("was"), F.col("n").alias("d"))
-        both = old.unionByName(new).groupBy("k1", "k2").agg(F.sum("was").alias("was"), F.sum("d").alias("d"))
-        both = materialize(both.where(F.col("was") + F.col("d") > 0).select("k1", "k2", (F.col("was") + F.col("d")).alias("n"), "was")
-                           .unionByName(both.where((F.col("was") > 0) & (F.col("was") + F.col("d") <= 0)).select("k1", "k2", F.lit(0).cast("long").alias("n"), "was")), "line-counts")
-        counts = both.where("n > 0").select("k1", "k2", "n")
-        if both.where(F.col("n") >= self.min_docs).count() > 4 * KEYS_PER_SHARD * self.shards:
-            return LineIndex._of(counts, self.min_docs, self.min_chars)  # outgrown: deal out anew
-        crossed = both.where((F.col("n") >= self.min_docs) != (F.col("was") >= self.min_docs)).select("k1", "k2", (F.col("n") >= self.min_docs).alias("enters"))
-        out = LineIndex(counts, self.filters, self.shards, self.min_docs, self.min_chars)
-        whole = out._sharded(out.frequent())
+        delta = materialize(count_keys(docs, text_col, self.min_chars, True).withColumn("n", F.col("n") * sign), "line-counts")
+        touched = delta.select(*KEY, F.col("n").alias("d"))
+        was = _union(self.levels).join(delta.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.sum("n").alias("was"))
+        both = touched.join(was, KEY, "left").select(*KEY, F.coalesce("was", F.lit(0).cast("long")).alias("was"), "d")
+        both = materialize(both.withColumn("n", F.col("was") + F.col("d")), "line-changes")
+        if sign < 0 and not both.where("n < 0").isEmpty():
+            raise ValueError("the index does not hold all of these documents")
+        levels = [*self.levels, delta]
+        if len(levels) > LEVELS:
+            levels = [materialize(LineIndex(levels, self.filters, self.shards, self.min_docs, self.min_chars).counts, "line-counts")]
+        out = LineIndex(levels, self.filters, self.shards, self.min_docs, self.min_chars)
+        crossed = both.where(~F.col("doc") & ((F.col("n") >= self.min_docs) != (F.col("was") >= self.min_docs))).select("k1", "k2", (F.col("n") >= self.min_docs).alias("enters"))
+        crossed = materialize(self._sharded(crossed), "line-crossings")
 
         def renew(key: tuple, filters: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
             f = CuckooFilter.from_bytes(filters["filter"].iloc[0]) if len(filters) else CuckooFilter.sized(len(moved))
@@ -122,34 +140,66 @@ class LineIndex:
             fits = f.insert(k1[enters], k2[enters])
             return pd.DataFrame({"shard": [key[0]], "filter": [f.to_bytes() if fits else b""]})
 
-        renewed = self.filters.groupBy("shard").cogroup(self._sharded(crossed).groupBy("shard")).applyInPandas(renew, "shard long, filter binary")
-        renewed = materialize(renewed, "line-filters")
-        full = renewed.where(F.length("filter") == 0).select("shard")
-        again = whole.join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_build, "shard long, filter binary")
-        out.filters = materialize(renewed.where(F.length("filter") > 0).unionByName(again), "line-filters")
-        discard(renewed)
+        shards = crossed.select("shard").distinct()
+        own = self.filters.join(shards, "shard", "left_semi")
+        renewed = materialize(own.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(renew, "shard long, filter binary"), "line-filters")
+        full = renewed.where(F.length("filter") == 0).select("shard")  # outgrown: made anew, twice as large
+        again = out._sharded(out.frequent()).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_build, "shard long, filter binary")
+        rest = self.filters.join(shards, "shard", "left_anti")
+        out.filters = materialize(rest.unionByName(renewed.where(F.length("filter") > 0)).unionByName(again), "line-filters")
+        discard(renewed, both, crossed)
         return out
 
-    def drop(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
+    def drop(self, docs: DataFrame, text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
         """docs with the kept lines as text, joined by line feeds, and n_lines (before) and n_dropped, both long."""
         spark = docs.sparkSession
         docs = docs.drop("n_lines", "n_dropped")
         frequent = self.frequent()
         filter_bytes = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
         near = filter_bytes + 16 * frequent.count() <= broadcast_bytes
-        held = Filters(self.filters.collect(), self.shards) if filter_bytes <= broadcast_bytes else None
-        if near:
-            held.exact = _sorted_keys(np.array([tuple(r) for r in frequent.collect()], np.int64).reshape(-1, 2))
-        shared = spark.sparkContext.broadcast(held)
         min_chars = self.min_chars
-        if near:
-            return map_batches(docs, lambda b: (_kept(p, text_col, shared.value, min_chars) for p in small_slices(b, PIECE, text_col)), _out_schema(docs))
-        asked = map_batches(docs.select(F.col(id_col).cast("string").alias("_line_doc"), F.col(text_col).alias("text")), lambda b: _asked(b, shared.value, min_chars), "_line_doc string, k1 long, k2 long")
+        if filter_bytes <= broadcast_bytes:
+            held = Filters(self.filters.collect(), self.shards)
+            if near:
+                held.exact = _sorted_keys(np.array([tuple(r) for r in frequent.collect()], np.int64).reshape(-1, 2))
+            shared = spark.sparkContext.broadcast(held)
+            if near:
+                return map_batches(docs, lambda b: (_kept(p, text_col, shared.value, min_chars) for p in small_slices(b, PIECE, text_col)), _out_schema(docs))
+        else:
+            shared = None
+        # a text is known by two hashes; equal texts have equal lines
+        hashes = [F.xxhash64(F.col(text_col)), F.xxhash64(F.col(text_col), F.lit(1))]
+        own = docs.select(hashes[0].alias("_t1"), hashes[1].alias("_t2"), F.col(text_col).alias("text"))
+        asked = map_batches(own, lambda b: (x for p in small_slices(b, PIECE) for x in _asked(p, shared.value if shared else None, min_chars)), "_t1 long, _t2 long, k1 long, k2 long")
+        if shared is None:
+            asked = self._routed(asked)
         # AQE splits the partitions of a key that a large part of the documents holds
-        hot = asked.join(frequent, ["k1", "k2"]).groupBy("_line_doc").agg(F.collect_set(F.struct("k1", "k2")).alias("_hot"))
-        joined = docs.join(hot, F.col(id_col).cast("string").eqNullSafe(F.col("_line_doc")), "left").drop("_line_doc")
+        hot = asked.join(frequent, ["k1", "k2"]).groupBy("_t1", "_t2").agg(F.collect_set(F.struct("k1", "k2")).alias("_hot"))
+        joined = docs.withColumns({"_t1": hashes[0], "_t2": hashes[1]}).join(hot, ["_t1", "_t2"], "left").drop("_t1", "_t2")
         return map_batches(joined, lambda b: (_kept(p, text_col, None, min_chars) for p in small_slices(b, PIECE, text_col)), _out_schema(docs))
 
+    def _routed(self, asked: DataFrame) -> DataFrame:
+        """asked (_t1, _t2, k1, k2) as far as the keys' shards' filters may hold them. A shard's keys are dealt over as many groups as
+        the exact number of keys in documents needs, each with a copy of the filter."""
+        total = _union(self.levels).where(~F.col("doc")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        salts = max(1, -(-total // (self.shards * ROUTED)))
+        filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keys = self._sharded(asked).withColumn("salt", F.pmod(F.xxhash64("_t1", "k2"), F.lit(salts)).cast("int"))
+
+        def probe(filters: pa.Table, keys: pa.Table) -> pa.Table:
+            f = CuckooFilter.from_bytes(filters["filter"][0].as_py()) if filters.num_rows and keys.num_rows else None
+            at = f.contains(np.ascontiguousarray(keys["k1"].to_numpy()), np.ascontiguousarray(keys["k2"].to_numpy())) if f else np.zeros(keys.num_rows, bool)
+            return keys.select(["_t1", "_t2", "k1", "k2"]).filter(pa.array(at))
+
+        return filters.groupBy("shard", "salt").cogroup(keys.groupBy("shard", "salt")).applyInArrow(probe, "_t1 long, _t2 long, k1 long, k2 long")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
 
 class Filters:
     """What drop() sends to executors: the filter of each shard and, if small enough, the exact keys."""
@@ -199,7 +249,7 @@ def _asked(batch: pa.RecordBatch, filters: Filters | None, min_chars: int):
     if filters is not None and len(flat):
         at = filters.may_hold(flat)
         doc, flat = doc[at], flat[at]
-    yield pa.record_batch([batch.column("_line_doc").take(pa.array(doc)), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["_line_doc", "k1", "k2"])
+    yield pa.record_batch([*(batch.column(c).take(pa.array(doc)) for c in ("_t1", "_t2")), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["_t1", "_t2", "k1", "k2"])
 
 
 def _out_schema(docs: DataFrame) -> StructType:
@@ -232,9 +282,9 @@ def _kept(batch: pa.RecordBatch, text_col: str, filters: Filters | None, min_cha
     return pa.record_batch([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """docs without the lines whose key is in at least min_docs of them; see LineIndex.drop for the columns."""
-    return LineIndex.build(docs, min_docs, min_chars, text_col).drop(docs, id_col, text_col, broadcast_bytes)
+    return LineIndex.build(docs, min_docs, min_chars, text_col, members=False).drop(docs, text_col, broadcast_bytes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
