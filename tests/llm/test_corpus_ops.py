@@ -371,6 +371,17 @@ def test_top_k_is_exact(spark, scale):
     assert sum(len(r.ids) for r in index.annuli.collect()) == 300 + 60 + 5
 
 
+def test_bounds_rule_out_most_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(50, 16))
+    v = [(i, (centres[i % 50] * (1 + i % 3) + 0.05 * rng.normal(size=16)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    index = topk.PivotIndex(df, annulus=64)
+    got = sorted(map(tuple, index.search(df.where("vec_id % 100 = 0"), 5).collect()))
+    assert got == plain_top(v, {i for i, _ in v if i % 100 == 0}, 5)
+    assert 0 < index.share < 0.5
+
+
 def test_top_k_of_nothing_and_of_few(spark):
     df = spark.createDataFrame([(20, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert list(map(tuple, topk.PivotIndex(df).search(df.where("vec_id = 20")).collect())) == [(20, 1, 1, 64 * 32 + 128 * 32)]

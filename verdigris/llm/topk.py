@@ -3,14 +3,20 @@
 Vectors are scaled to integers, floor(scale * x), and given one more coordinate, sqrt(M^2 - |x|^2) with M the largest
 norm, so that all have norm M and the largest inner product with a query is the smallest Euclidean distance. Each
 vector is keyed by its nearest pivot and the distance to it. A pivot's vectors, sorted by that distance, are cut into
-annuli of at most ``ANNULUS`` rows; copies and hot cells so spread over as many rows of the index as they need.
+annuli of at most ``ANNULUS`` rows; copies and hot cells so spread over as many rows of the index as they need. An annulus
+also knows its largest norm, and the range of its distances to ``REFERENCES`` further pivots.
 
 A search takes the queries in blocks of at most ``QUERY_BLOCK``, whose broadcast size is thereby bounded:
 
 1. every annulus near a query's own key gives a first bound, the k-th best score seen, for that query;
-2. all annuli are scanned where they lie, each task expanding outwards from a query's distance; by the triangle inequality no vector of an
-   annulus [lo, hi] of pivot p is nearer to query q than max(d(q,p) - hi, lo - d(q,p), 0). An annulus that this rules
-   out for a query is skipped; the others are scored by one exact matrix product, and raise the bound.
+2. all annuli are scanned where they lie, each task expanding outwards from a query's distance; by the triangle inequality no
+   vector that is between lo and hi away from a pivot p is nearer to query q than max(d(q,p) - hi, lo - d(q,p), 0). The
+   largest of these over an annulus's own pivot and the further ones, and the product of norms, bound its scores. An annulus that
+   this rules out for a query is skipped; the others are scored by one exact matrix product, and raise the bound.
+
+Blocks are rounds over the whole index, each as wide as the cluster and without a shuffle of vectors: what a round sends out is a
+block of queries, what it returns are k rows a query and task. ``share`` tells which part of all pairs was scored in the last search.
+Without clusters there is nothing to rule out: independent directions in 64 dimensions are all nearly as far from any pivot.
 
 Pivots are fitted on at most ``SAMPLE`` vectors chosen by a hash of their id, by farthest-first choice; they affect
 speed only, never results. Every row is indexed.
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import discard, materialize, read
 
-SCALE, SAMPLE, PIVOTS, ANNULUS, QUERY_BLOCK = 64, 20_000, 128, 2048, 20_000
+SCALE, SAMPLE, PIVOTS, REFERENCES, ANNULUS, QUERY_BLOCK = 64, 20_000, 128, 16, 2048, 20_000
 #: Products up to this are exact in double precision.
 EXACT = 2.0**53
 
@@ -83,7 +89,7 @@ class Pivots:
         return np.sqrt(np.maximum(np.einsum("ij,ij->i", y, y)[:, None] + np.einsum("ij,ij->i", self.at, self.at) - 2 * y @ self.at.T, 0))
 
 
-INDEX = "pivot int, lo double, hi double, ids array<long>, vectors binary"
+INDEX = "pivot int, lo double, hi double, norm double, los array<double>, his array<double>, ids array<long>, vectors binary"
 
 
 class PivotIndex:
@@ -100,7 +106,7 @@ class PivotIndex:
         sample = self.valid.where(F.pmod(F.xxhash64(F.lit("pivot"), "vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))).select("v").limit(SAMPLE).toArrow()
         rows = matrix(sample["v"].combine_chunks(), self.dim) if sample.num_rows else np.zeros((0, self.dim))
         self.pivots = Pivots(rows, self.largest, pivots)
-        self.annulus = annulus
+        self.annulus, self.share = annulus, None
         self.annuli = materialize(self._build(), "annuli")
 
     def _build(self) -> DataFrame:
@@ -125,10 +131,11 @@ class PivotIndex:
                         part = batch.slice(c, min(annulus, b - c))
                         d = part.column("distance").to_numpy()
                         x = matrix(pa.concat_arrays([part.column("v")]), dim)
+                        far = shared.value.distances(x)[:, :REFERENCES]
                         yield pa.record_batch([
-                            pa.array([int(pivot[c])], pa.int32()), pa.array([float(d.min())]), pa.array([float(d.max())]),
-                            pa.array([part.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()),
-                        ], ["pivot", "lo", "hi", "ids", "vectors"])
+                            pa.array([int(pivot[c])], pa.int32()), pa.array([float(d.min())]), pa.array([float(d.max())]), pa.array([float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))]),
+                            pa.array([far.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([far.max(axis=0).tolist()], pa.list_(pa.float64())), pa.array([part.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()),
+                        ], ["pivot", "lo", "hi", "norm", "los", "his", "ids", "vectors"])
 
         # ranges of (pivot, distance, id): a pivot with a third of all rows is dealt over many tasks
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -149,6 +156,9 @@ class PivotIndex:
         best = out[0]
         for more in out[1:]:
             best = best.unionByName(more)
+        scored = best.where("copy < 0").agg(F.sum("score")).first()[0]
+        self.share = (scored or 0) / max(1, n * self.count)
+        best = best.where("copy >= 0")
         w = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
         ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         discard(queries)
@@ -185,7 +195,8 @@ class QueryBlock:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, pivots: Pivots):
         self.ids, self.q = ids, q
-        self.reach = np.einsum("ij,ij->i", q, q) + pivots.largest
+        self.norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+        self.reach = self.norm**2 + pivots.largest
         self.slack = 1e-5 * np.sqrt(pivots.largest + 1)  # more than distances are off by rounding
         self.to_pivots = pivots.distances(q, as_query=True)
         own = pivots.distances(q)
@@ -211,19 +222,25 @@ class QueryBlock:
                     yield pa.record_batch([pa.array(part[at].astype(np.int32)), pa.array(score[at, where].astype(np.int64))], ["query", "score"])
 
     def best(self, batches, dim: int, k: int, floors: np.ndarray, copy: np.ndarray):
-        """What can be among the k best of each query; floors are scores that k candidates reach."""
-        n, floor = len(self.ids), floors.copy()
+        """What can be among the k best of each query; floors are scores that k candidates reach. One more row, with copy -1,
+        has the number of pairs that were scored as its score."""
+        n, floor, scored = len(self.ids), floors.copy(), 0
         top = [np.zeros((0, 2), np.int64)] * n
         for batch in batches:
-            pivot, lo, hi = (batch.column(c).to_numpy() for c in ("pivot", "lo", "hi"))
+            pivot, lo, hi, norm = (batch.column(c).to_numpy() for c in ("pivot", "lo", "hi", "norm"))
+            los, his = (np.array(batch.column(c).to_pylist()).reshape(batch.num_rows, -1) for c in ("los", "his"))
             vectors = [_annulus(batch, i, dim) for i in range(batch.num_rows)]
             for begin in range(0, n, 4096):
                 who = np.arange(begin, min(n, begin + 4096))
                 d = self.to_pivots[who][:, pivot]
-                gap = np.maximum(np.maximum(d - hi, lo - d) - self.slack, 0)
+                gap = np.maximum(d - hi, lo - d)
+                for r in range(los.shape[1]):
+                    d = self.to_pivots[who][:, r : r + 1]
+                    gap = np.maximum(gap, np.maximum(d - his[:, r], los[:, r] - d))
+                gap = np.maximum(gap - self.slack, 0)
                 # |q|^2 + M^2 - 2qx is a squared distance, at least gap^2
-                upper = (self.reach[who, None] - gap * gap) / 2 + 1e-9 * self.reach[who, None] + 1e-3
-                order = np.argsort(gap, axis=1, kind="stable")
+                upper = np.minimum((self.reach[who, None] - gap * gap) / 2, self.norm[who, None] * norm) + 1e-9 * self.reach[who, None] + 1e-3
+                order = np.argsort(-upper, axis=1, kind="stable")
                 for r in range(batch.num_rows):  # outwards; the bounds of what is left only fall
                     alive = np.flatnonzero(upper[np.arange(len(who)), order[:, r]] >= floor[who])
                     if not len(alive):
@@ -232,6 +249,8 @@ class QueryBlock:
                     by = np.argsort(nearest, kind="stable")
                     for own in np.split(by, np.flatnonzero(np.diff(nearest[by])) + 1):
                         self._meet(who[alive[own]], *vectors[nearest[own[0]]], top, floor, k)
+                        scored += len(own) * len(vectors[nearest[own[0]]][0])
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([-1]), pa.array([None], pa.int64()), pa.array([scored])], ["query_id", "copy", "vec_id", "score"])
         sizes = np.array([len(t) for t in top], np.int64)
         if sizes.any():
             rows, at = np.concatenate(top), np.repeat(np.arange(n), sizes)
