@@ -113,6 +113,12 @@ def test_token_counts_equal_the_library(spark, docs, none):
     assert token_count.count_tokens(none, WORD).collect() == []
 
 
+def test_files_of_another_form_are_counted_by_the_library():
+    t, texts = library(BYTE), odd_texts(200)
+    assert token_count.Counter(read_spec(WORD)).model is not None
+    assert token_count.Counter(read_spec(BYTE)).count(texts) == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_rank_synchronous_merges_overlap_left_to_right():
     vocab = {s: i for i, s in enumerate(token_count.byte_symbols())} | {"aa": 300, "aaa": 301, "aaaa": 302}
     m = token_count.Model({"vocab": vocab, "merges": [["a", "a"], ["aa", "aa"], ["aa", "a"]]})

@@ -5,7 +5,7 @@ sequence applies its own pair of lowest rank, at all places that do not overlap,
 a ranked pair is done, and what is left of it is its number of tokens. Normalisation and the rare characters'
 pre-tokenization are the tokenizer library's own, so that no Unicode table is restated here.
 
-Null texts count as empty. Special strings inside a text count one token each, as the library does by default.
+A tokenizers file of another form is served by the library itself. Null texts count as empty. Special strings inside a text count one token each, as the library does by default.
 """
 
 from __future__ import annotations
@@ -82,14 +82,24 @@ class Model:
         return np.where(found, self.rank[at], self.none), self.merged[at]
 
 
+def fits(spec: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE over words of a pattern, with ends of words; for others the library counts."""
+    model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    words = [s.get("type") for s in steps] == ["Split", "ByteLevel"] and "Regex" in steps[0].get("pattern", {}) and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and not steps[1].get("add_prefix_space")
+    return bool(plain and words and model.get("end_of_word_suffix") and spec.get("normalizer"))
+
+
 class Counter:
     """Counts tokens of texts; made once in each worker."""
 
     def __init__(self, spec: str):
         d = json.loads(spec)
-        self.model = Model(d["model"])
         self.units = Units(spec)
         self.tok = self.units.tok
+        self.model = Model(d["model"]) if fits(d) else None
+        if self.model is None:
+            return
         self.split = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.bytes_of = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
         self.white = re.compile(f"[{WHITE}]+")
@@ -120,6 +130,8 @@ class Counter:
         self.cache.update((c, sum(map(n.__getitem__, ws))) for c, ws in zip(chunks, pre, strict=True))
 
     def count(self, batch: list[str]) -> list[int]:
+        if self.model is None:
+            return [len(e.ids) for e in self.tok.encode_batch(batch, add_special_tokens=False)]
         split = [self.parts(t) for t in batch]
         if len(self.cache) > CACHE:
             self.cache.clear()
