@@ -26,8 +26,9 @@ document here. Many items with one template in a document are a row each, as eac
 from __future__ import annotations
 
 import re
+import struct
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ NEAR_IDS = 8_000_000
 #: Letters of scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han), each a word.
 SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[^\W\d_{SPACELESS}]+|(?=[^\W\d_])[{SPACELESS}]|[.!?:;,\n]")
+#: The same for texts without such letters.
+EASY, SPACELESS_LETTER = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?:;,\n]"), re.compile(f"[{SPACELESS}]")
 #: Words that are units after a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -56,20 +59,27 @@ UNITS = frozenset(
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 LITERAL, NUM, UNIT, NAME, STOP, COMMA = range(6)
 PLAIN, TEMPLATE, NAMED, SENTENCE = range(4)
+SPECIAL = {",": COMMA} | dict.fromkeys(".!?:;\n", STOP) | dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBERS, NUM)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MARKS = np.array([0, 11, 22, 33, 44, 55], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _kind(token: str) -> int:
-    if token == ",":
-        return COMMA
-    if token[0].isdigit() or token.lower() in NUMBERS:
-        return NUM
-    if token.lower() in UNITS:
-        return UNIT
-    if token in ".!?:;\n":
-        return STOP
-    return NAME if token[0].isupper() and (len(token) == 1 or not token.isupper()) else LITERAL
+def _kind(token: str, low: str) -> int:
+    """The kind of a token, which is low in lower case."""
+    if (special := SPECIAL.get(low)) is not None:
+        return special
+    first = token[0]
+    if first.isupper():
+        return NAME if len(token) == 1 or not token.isupper() else LITERAL
+    return NUM if first.isdigit() else LITERAL
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 @dataclass
@@ -89,24 +99,21 @@ class Canonicalizer:
     """Readings of texts; keeps what it knows of words between batches."""
 
     def __init__(self):
-        self.rows: dict[str, int] = {}
+        self.rows = Numbers()
         self.kinds, self.hashes = np.zeros(0, np.int8), np.zeros(0, np.uint64)
 
     def __call__(self, batch: list[str]) -> tuple[list[Reading], np.ndarray]:
         """The readings, and where sentences begin in the plain one."""
-        cut = [TOKEN.findall(t) for t in batch]
+        cut = [(EASY if t.isascii() or not SPACELESS_LETTER.search(t) else TOKEN).findall(t) for t in batch]
         if len(self.rows) > 200_000:
-            self.rows, self.kinds, self.hashes = {}, np.zeros(0, np.int8), np.zeros(0, np.uint64)
-        new: set[str] = set()
-        for c in cut:
-            new.update(c)
-        new.difference_update(self.rows)
-        fresh = list(new)
-        self.rows.update((w, len(self.kinds) + i) for i, w in enumerate(fresh))
-        self.kinds = np.append(self.kinds, np.array([_kind(w) for w in fresh], np.int8))
-        self.hashes = np.append(self.hashes, np.array([xxhash.xxh3_64_intdigest(w.lower().encode()) for w in fresh], np.uint64))
+            self.rows, self.kinds, self.hashes = Numbers(), np.zeros(0, np.int8), np.zeros(0, np.uint64)
+        known = len(self.kinds)
         sizes = np.array([len(c) for c in cut], np.int64)
         at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        fresh = list(islice(self.rows, known, None))
+        low = [w.lower() for w in fresh]
+        self.kinds = np.append(self.kinds, np.fromiter(map(_kind, fresh, low), np.int8, len(fresh)))
+        self.hashes = np.append(self.hashes, np.fromiter((xxhash.xxh3_64_intdigest(w) for w in low), np.uint64, len(low)))
         text = np.repeat(np.arange(len(cut)), sizes)
         kind, value = self.kinds[at], self.hashes[at]
         # the first word of a sentence or text; words that no comma or border parts from the one before
@@ -299,15 +306,18 @@ def compare(hits: list[dict], coverage: float, run: int) -> tuple[float, int, bo
         own = [h for h in hits if h["way"] == way]
         by: dict[tuple[int, int], list[dict]] = {}
         for h in own:
-            mine, theirs = np.frombuffer(h["vals"], np.uint64), np.frombuffer(h["doc_vals"], np.uint64)
-            slot, head = (np.array([h[c] >> j & 1 for j in range(len(mine))], bool) for c in ("slots", "heads"))
-            same = mine == theirs
-            if len(mine) != len(theirs) or not same[~slot].all():
+            n, same, pairs, literal = len(h["vals"]) // 8, h["vals"] == h["doc_vals"], frozenset(), 0
+            if len(h["vals"]) != len(h["doc_vals"]) or not (same or h["slots"]):
                 continue  # equal hashes of different windows
-            literal = int((~slot | head & same).sum())
-            pairs = set(zip(mine[slot].tolist(), theirs[slot].tolist(), strict=True))
-            if same.all() or 2 * literal >= len(mine):
-                by.setdefault((h["doc_way"], h["doc_start"] - h["start"]), []).append({"start": h["start"], "n": len(mine), "pairs": pairs, "same": bool(same.all())})
+            if h["slots"]:
+                each = list(zip(struct.unpack(f"<{n}Q", h["vals"]), struct.unpack(f"<{n}Q", h["doc_vals"]), strict=True))
+                places = [j for j in range(n) if h["slots"] >> j & 1]
+                if not same and any(x != y for j, (x, y) in enumerate(each) if j not in places):
+                    continue
+                pairs = {each[j] for j in places}
+                literal = n - sum(not (h["heads"] >> j & 1 and each[j][0] == each[j][1]) for j in places)
+            if same or 2 * literal >= n:
+                by.setdefault((h["doc_way"], h["doc_start"] - h["start"]), []).append({"start": h["start"], "n": n, "pairs": pairs, "same": same})
         taken: dict[int, int] = {}
         covered: set[int] = set()
         longest, changed = 0, False
