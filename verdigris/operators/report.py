@@ -98,6 +98,24 @@ def clean_first(files: DataFrame, findings: DataFrame) -> DataFrame:
     return files.select("path").join(each, "path", "left").withColumn("n", F.coalesce("n", F.lit(0))).orderBy(F.col("n") > 0, "path")
 
 
+def clean_first_places(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """(path, n, place): the place of every file in that order."""
+    each = findings.groupBy("path").agg(F.count("*").alias("n"))
+    rows = files.select("path").join(each, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
+    return numbered(rows.withColumn("_dirty", F.col("n") > 0), "place", "_dirty", "path").drop("_dirty")
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """rows with their place from 1 on in that order, by ranges: each range is sorted by itself and begins where those before it end.
+
+    What is put together for the borders is one number for each range."""
+    ranges = rows.repartitionByRange(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).withColumn("_range", F.spark_partition_id()).persist()
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(F.broadcast(before), "_range").withColumn(name, (place + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
 def exit_code(files: DataFrame) -> int:
     """1 if any file cannot be reviewed, else 0."""
     return int(not errors(files).isEmpty())
@@ -109,6 +127,11 @@ def diagnostics(findings: DataFrame) -> DataFrame:
     return findings.select("path", F.greatest(F.col("line") - 1, F.lit(0)).alias("line"), F.lit(0).alias("from_column"), F.lit(1000).alias("to_column"), level.alias("level"), "message", "code", F.lit("verdigris").alias("source"))
 
 
+def hyperlink(uri: str, text: str) -> str:
+    """text as a terminal's link (OSC 8) to uri."""
+    return f"\033]8;;{uri}\033\\{text}\033]8;;\033\\"
+
+
 def links(findings: DataFrame, editor: bool = False) -> DataFrame:
     """findings with the link that opens them."""
     uri = F.concat(F.lit("vscode://file"), "path", F.lit(":"), "line") if editor else F.concat(F.lit("file://"), "path")

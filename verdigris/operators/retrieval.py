@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.text import centroid, cosine, module_name, prefixes
+from verdigris.functions.text import centroid, module_name, prefixes
 from verdigris.sources.parse import symbol_rows
 
 CHUNK = ["file", "symbol", "kind", "signature", "docstring", "body"]
@@ -79,26 +81,19 @@ class CodeIndex:
         return kept.select("for_file", "tier", rank.alias("rank"), "c.*")
 
     def semantic(self, top_k: int = 5, block: int = 2000) -> DataFrame:
-        """(for_file, rank, sim, chunk columns): the most similar chunks of other files, one for each symbol.
+        """(for_file, rank, sim, chunk columns): the most similar chunks of other files, one for each symbol, that are not structural hits.
 
-        Each file's query is the mean of its chunks' vectors. Queries go against all chunks in blocks of files; a task
-        passes on top_k times two for each query, as in a limit by group."""
+        Each file's query is the mean of its chunks' vectors."""
         if self.vectors is None:
             return self.structural().where("false").select("for_file", "rank", F.lit(0.0).alias("sim"), "seq", *CHUNK)
         with_vectors = self.chunks.join(self.vectors, "seq")
-        queries = centroid(with_vectors.select("file", "embedding"), "file", "embedding").select(F.col("file").alias("for_file"), F.col("centroid").alias("q")).persist()
-        seen = self.structural().select("for_file", "symbol")
-        out, n = None, -(-queries.count() // block)
-        for i in range(max(n, 1)):
-            own = queries.where(F.pmod(F.xxhash64("for_file"), F.lit(max(n, 1))) == i)
-            pairs = with_vectors.join(F.broadcast(own), F.col("file") != F.col("for_file"))  # a block of queries: bounded
-            pairs = pairs.select("for_file", cosine(F.col("q"), F.col("embedding")).alias("sim"), "seq", *CHUNK).join(seen, ["for_file", "symbol"], "left_anti")
-            first = F.row_number().over(Window.partitionBy("for_file", "symbol").orderBy(F.desc("sim"), F.desc("seq")))
-            kept = pairs.withColumn("_n", first).where("_n = 1").drop("_n")
-            rank = F.row_number().over(Window.partitionBy("for_file").orderBy(F.desc("sim"), F.desc("seq")))
-            top = kept.withColumn("rank", rank).where(F.col("rank") <= top_k).select("for_file", "rank", "sim", "seq", *CHUNK)
-            out = top if out is None else out.unionByName(top)
-        return out
+        queries = centroid(with_vectors.select("file", "embedding"), "file", "embedding").select(F.col("file").alias("query"), F.col("file").alias("owner"), F.col("centroid").alias("q"))
+        order = F.struct(F.col("seq.file"), F.col("seq.ord").cast("long").alias("ord"))
+        vectors = with_vectors.select(order.alias("at"), F.col("file").alias("owner"), F.col("symbol").alias("name"), "embedding")
+        seen = self.structural().select(F.col("for_file").alias("query"), F.col("symbol").alias("name"))
+        top = nearest(queries, vectors, top_k, seen, block).select(F.col("query").alias("for_file"), "rank", "sim", "at")
+        chunks = self.chunks.select("seq", *CHUNK).withColumn("at", order)
+        return top.join(chunks, "at").select("for_file", "rank", "sim", "seq", *CHUNK)
 
     def related(self, top_k: int = 5) -> DataFrame:
         """(for_file, rank, chunk columns): structural hits, then semantic ones in the places that are left."""
@@ -123,19 +118,37 @@ class CodeIndex:
         return pairs.join(self.own_symbols().withColumnRenamed("symbol", "class_name"), ["file", "class_name"], "left_anti").select("file", "sibling").distinct()
 
     def siblings_match(self) -> DataFrame:
-        """(file, matches): whether any sibling has the file's own signature."""
-        s = self.signatures()
-        pairs = self.siblings().join(s, "file").join(s.select(F.col("file").alias("sibling"), F.col("modules").alias("m2"), F.col("bases").alias("b2")), "sibling")
-        found = pairs.groupBy("file").agg(F.bool_or((F.col("modules") == F.col("m2")) & (F.col("bases") == F.col("b2"))).alias("matches"))
+        """(file, matches): whether any sibling has the file's own signature.
+
+        By counts, so that a base with very many classes is no list of pairs: classes of each base and signature, less those
+        whose name the file defines itself (its own among them)."""
+        s = self.signatures().withColumn("sig", F.xxhash64("modules", "bases", F.to_json(F.struct("modules", "bases"))))
+        home = self.bases.join(self.symbols.select(F.col("symbol").alias("class_name"), F.col("file").alias("sibling")), "class_name")
+        home = home.join(s.select(F.col("file").alias("sibling"), "sig"), "sibling").select("class_name", "base", "sibling", "sig").distinct()
+        of_base = home.groupBy("base", "sig").agg(F.count("*").alias("all"))
+        mine = self.own_bases().select("file", "base").distinct().join(s.select("file", "sig"), "file")
+        known = self.own_symbols().withColumnRenamed("symbol", "class_name").join(home, "class_name").groupBy("file", "base", "sig").agg(F.count("*").alias("own"))
+        found = mine.join(of_base, ["base", "sig"]).join(known, ["file", "base", "sig"], "left").groupBy("file").agg(F.max(F.col("all") > F.coalesce("own", F.lit(0))).alias("matches"))
         return s.select("file").join(found, "file", "left").select("file", F.coalesce("matches", F.lit(False)).alias("matches"))
 
-    def save(self, path: str, files: DataFrame, model: str = "") -> None:
-        """Parquet tables and a manifest of (path, mtime, model, version)."""
-        for name in self.TABLES:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        if self.vectors is not None:
-            self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-        manifest(files, model).write.mode("overwrite").parquet(f"{path}/manifest")
+    def save(self, path: str, files: DataFrame, model: str = "") -> bool:
+        """Parquet tables and a manifest of (path, mtime, model, version). The index is a cache: False if it cannot be written.
+
+        The manifest goes first and is written last, so that a half-written index is none."""
+        spark = files.sparkSession
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            for name in self.TABLES:
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            if self.vectors is not None:
+                self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+            manifest(files, model).write.mode("overwrite").parquet(f"{path}/manifest")
+        except Exception as e:
+            if type(e).__name__ not in UNREADABLE:
+                raise
+            return False
+        return True
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, files: DataFrame, model: str = "") -> CodeIndex | None:
@@ -148,7 +161,7 @@ class CodeIndex:
             tables = [spark.read.parquet(f"{path}/{n}") for n in cls.TABLES]
             return cls(*tables, spark.read.parquet(f"{path}/vectors") if model else None)
         except Exception as e:  # an index is a cache: whatever keeps it from being read, it is built again
-            if type(e).__name__ not in ("AnalysisException", "Py4JJavaError", "SparkException", "IllegalArgumentException"):
+            if type(e).__name__ not in UNREADABLE:
                 raise
             return None
 
@@ -163,6 +176,68 @@ class CodeIndex:
 
 
 VERSION = 1
+UNREADABLE = ("AnalysisException", "Py4JJavaError", "SparkException", "IllegalArgumentException")
+
+
+def default_path(root: str) -> str:
+    """Where a project's index is kept."""
+    return f"{root.rstrip('/')}/.verdigris/index"
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, seen: DataFrame | None = None, block: int = 2000) -> DataFrame:
+    """(query, rank, sim, at, name): by cosine, ties by the larger at, the k nearest vectors (at, owner, name, embedding) of every
+    query (query, owner, q), one for each name, of other owners, and not of the names that seen (query, name) has.
+
+    Queries go out in blocks of at most block unit vectors. A task scores a batch of vectors by one matrix product and passes on,
+    for each query, the best of as many names as it needs: k and those that it has seen."""
+    spark = queries.sparkSession
+    seen = queries.select("query", F.lit(None).cast("string").alias("name")).where("false") if seen is None else seen.select("query", "name").distinct()
+    known = seen.groupBy("query").agg(F.count("*").alias("known"))
+    own = queries.join(known, "query", "left").select("query", "owner", F.col("q").cast("array<double>").alias("q"), F.coalesce("known", F.lit(0)).alias("known"))
+    kind = {c: vectors.schema[c].dataType.simpleString() for c in ("at", "owner", "name")}
+    schema = f"query {queries.schema['query'].dataType.simpleString()}, sim double, at {kind['at']}, name {kind['name']}"
+    n, found = max(1, -(-queries.count() // block)), None
+    for i in range(n):
+        rows = own.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).toArrow()
+        ids, owners, more = (rows[c].to_pylist() for c in ("query", "owner", "known"))
+        shared = spark.sparkContext.broadcast((ids, np.array(owners, object), more, _unit(rows["q"].to_pylist())))
+
+        def best(batches, shared=shared):
+            ids, owners, more, q = shared.value
+            for batch in batches:
+                at, owner, name = (batch.column(c).to_pylist() for c in ("at", "owner", "name"))
+                if not at or not ids:
+                    continue
+                x = _unit(batch.column("embedding").to_pylist())
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError("vectors of different lengths")
+                order = sorted(range(len(at)), key=lambda j: tuple(at[j].values()) if isinstance(at[j], dict) else at[j], reverse=True)
+                sims, owner = (q @ x.T)[:, order], np.array(owner, object)[order]
+                out = []
+                for r in range(len(ids)):
+                    names = set()
+                    for j in np.argsort(-sims[r], kind="stable").tolist():
+                        if owner[j] != owners[r] and (label := name[order[j]]) not in names:
+                            names.add(label)
+                            out.append((ids[r], float(sims[r, j]), at[order[j]], label))
+                            if len(names) == k + more[r]:
+                                break
+                if out:
+                    yield pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (rows.schema.field("query").type, pa.float64(), batch.schema.field("at").type, batch.schema.field("name").type), strict=True)], ["query", "sim", "at", "name"])
+
+        some = vectors.select("at", "owner", "name", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(best, schema)
+        found = some if found is None else found.unionByName(some)
+    fresh = found.join(seen, ["query", "name"], "left_anti")
+    first = F.row_number().over(Window.partitionBy("query", "name").orderBy(F.desc("sim"), F.desc("at")))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), F.desc("at")))
+    return fresh.withColumn("_n", first).where("_n = 1").withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "sim", "at", "name")
+
+
+def _unit(rows: list) -> np.ndarray:
+    """Rows as unit vectors; zero stays zero, which makes its similarity zero."""
+    x = np.array(rows, float).reshape(len(rows), -1)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.round(x / np.where(norm == 0, 1, norm), 14)
 
 
 def manifest(files: DataFrame, model: str) -> DataFrame:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.operators import messages as M
+
 HIT = "array<struct<message:string,line:int,end_line:int>>"
 
 
@@ -81,43 +83,43 @@ def text(template: str, *parts: Column) -> Column:
 
 
 def list_comprehension() -> Column:
-    return when((c("kind") == "For") & F.array_contains("scope_lists", c("append_base")), text("Consider a list comprehension instead of appending to '{}' in a loop.", c("append_base")))
+    return when((c("kind") == "For") & F.array_contains("scope_lists", c("append_base")), text(M.LIST_COMP, c("append_base")))
 
 
 def f_string() -> Column:
-    return when((c("kind") == "BinOp") & (c("op") == "Add") & (c("left_str") != c("right_str")), F.lit("Use an f-string instead of manual string concatenation."))
+    return when((c("kind") == "BinOp") & (c("op") == "Add") & (c("left_str") != c("right_str")), F.lit(M.F_STRING))
 
 
 def with_open() -> Column:
-    return when((c("kind") == "Call") & (c("name") == "open") & ~c("in_with"), F.lit("Use 'with open(...)' instead of calling open() without closing."))
+    return when((c("kind") == "Call") & (c("name") == "open") & ~c("in_with"), F.lit(M.WITH_OPEN))
 
 
 def enumerate_index() -> Column:
     first = F.get(F.filter("subscripts", lambda s: s["seq"] != c("target")), F.lit(0))["seq"]
-    return when((c("kind") == "For") & c("range_len") & first.isNotNull(), text("Use 'enumerate({})' instead of 'range(len({}))' indexing.", first, first))
+    return when((c("kind") == "For") & c("range_len") & first.isNotNull(), text(M.ENUMERATE, first, first))
 
 
 def zip_sequences() -> Column:
     names = F.array_distinct(F.transform("subscripts", lambda s: s["seq"]))
-    return when((c("kind") == "For") & c("range_len") & (F.size(names) >= 2), text("Use zip({}) to iterate these sequences in parallel.", F.array_join(names, ", ")))
+    return when((c("kind") == "For") & c("range_len") & (F.size(names) >= 2), text(M.ZIP, F.array_join(names, ", ")))
 
 
 def dict_get() -> Column:
     used = F.exists("subscripts", lambda s: (s["seq"] == c("container")) & (s["idx"] == c("member")))
-    return when((c("kind") == "If") & ~c("has_else") & used, F.lit("Use dict.get() instead of 'if key in dict' then subscript."))
+    return when((c("kind") == "If") & ~c("has_else") & used, F.lit(M.DICT_GET))
 
 
 def identity() -> Column:
-    return when((c("kind") == "Compare") & c("none_equality"), F.lit("Use 'is None'/'is not None' instead of '== None'/'!= None'."))
+    return when((c("kind") == "Compare") & c("none_equality"), F.lit(M.IDENTITY))
 
 
 def str_join() -> Column:
-    return when(c("kind").isin("For", "While") & F.array_contains("scope_strs", c("concat_base")), text("Build a list of parts and use str.join instead of concatenating '{}' in a loop.", c("concat_base")))
+    return when(c("kind").isin("For", "While") & F.array_contains("scope_strs", c("concat_base")), text(M.STR_JOIN, c("concat_base")))
 
 
 def defaultdict() -> Column:
     named = c("container").isNotNull() & c("member").isNotNull()
-    return when((c("kind") == "If") & named & c("body_append") & c("else_assign"), F.lit("Use collections.defaultdict(list) instead of manual init-then-append aggregation."))
+    return when((c("kind") == "If") & named & c("body_append") & c("else_assign"), F.lit(M.DEFAULTDICT))
 
 
 def _loop() -> Column:
@@ -126,11 +128,11 @@ def _loop() -> Column:
 
 def any_all() -> Column:
     tests = F.when((c("body_returns") == "true") & (c("next_returns") == "false"), "any").when((c("body_returns") == "false") & (c("next_returns") == "true"), "all")
-    return when(_loop() & ~c("body_else") & tests.isNotNull(), text("Use {}() instead of a manual loop to test a condition.", tests))
+    return when(_loop() & ~c("body_else") & tests.isNotNull(), text(M.ANY_ALL, tests))
 
 
 def next_item() -> Column:
-    return when(_loop() & (c("body_returns") == "item") & c("next_returns").isNotNull(), F.lit("Use next(gen, default) instead of a manual first-item loop."))
+    return when(_loop() & (c("body_returns") == "item") & c("next_returns").isNotNull(), F.lit(M.NEXT))
 
 
 def pathlib_name(function: Column) -> Column:
@@ -140,38 +142,38 @@ def pathlib_name(function: Column) -> Column:
 
 def pathlib() -> Column:
     fits = (c("kind") == "Call") & (c("call_form") == "attribute") & (c("call_owner") == "path") & c("name").isin(PATH_FUNCTIONS)
-    return when(fits, text("Use pathlib.Path instead of os.path.{}(...) — e.g. path.{}.", c("name"), pathlib_name(c("name"))))
+    return when(fits, text(M.PATHLIB, c("name"), pathlib_name(c("name"))))
 
 
 def dataclass_candidate() -> Column:
-    return when((c("kind") == "ClassDef") & ~c("is_dataclass") & (c("n_attrs") >= 2) & (c("n_methods") == 0), text("Class '{}' holds only attributes — consider dataclasses.dataclass.", c("name")))
+    return when((c("kind") == "ClassDef") & ~c("is_dataclass") & (c("n_attrs") >= 2) & (c("n_methods") == 0), text(M.DATACLASS, c("name")))
 
 
 def sort_key() -> Column:
     called = (c("call_form") == "name") & c("name").isin("sorted", "max", "min") | (c("call_form") == "attribute") & (c("name") == "sort")
-    return when((c("kind") == "Call") & called & F.array_contains("lambda_args", 2), F.lit("Use key= with sorted()/max()/min() instead of a manual comparison lambda."))
+    return when((c("kind") == "Call") & called & F.array_contains("lambda_args", 2), F.lit(M.KEY))
 
 
 def remove_prefix() -> Column:
-    return when((c("kind") == "Subscript") & c("slice_form").isNotNull(), F.lit("Use str.removeprefix()/str.removesuffix() instead of manual slicing (3.9+)."))
+    return when((c("kind") == "Subscript") & c("slice_form").isNotNull(), F.lit(M.REMOVE))
 
 
 def nesting() -> Column:
-    return when(c("depth") > MAX_DEPTH, text(f"Code is nested more than {MAX_DEPTH} levels deep ({{}} levels). Consider extracting a method.", c("depth")))
+    return when(c("depth") > MAX_DEPTH, text(M.NESTING, F.lit(MAX_DEPTH), c("depth")))
 
 
 def nested_function() -> Column:
     fits = c("kind").isin(*FUNCTION_KINDS) & c("outer_passed").isNotNull() & ~c("decorated") & ~F.array_contains("outer_passed", c("name"))
-    return when(fits, text("Function '{}' is defined inside another function. Consider hoisting it to module or method level.", c("name")))
+    return when(fits, text(M.NESTED_DEF, c("name")))
 
 
 def top_imports() -> Column:
     fits = c("kind").isin("Import", "ImportFrom") & (c("fn_depth") > 0) & (c("try_depth") == 0) & (c("type_checking_depth") == 0) & ~c("test_module")
-    return when(fits, text("Import '{}' is inside a function/method — imports are usually clearer at the top of the file.", c("imported")))
+    return when(fits, text(M.TOP_IMPORT, c("imported")))
 
 
 def large_class() -> Column:
-    return when((c("kind") == "ClassDef") & (c("span") > MAX_CLASS_LINES), text("Class '{}' spans {} lines — consider splitting it by responsibility.", c("name"), c("span")))
+    return when((c("kind") == "ClassDef") & (c("span") > MAX_CLASS_LINES), text(M.LARGE_CLASS, c("name"), c("span")))
 
 
 def init_params() -> Column:
@@ -198,7 +200,7 @@ def duplicated_block() -> Column:
 
         firsts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.coalesce(F.get(w, i - 1)["key"] != w[i]["key"], F.lit(True)) & second(i).isNotNull())
         firsts = F.array_sort(F.transform(firsts, lambda i: F.struct(w[i]["ord"].alias("o"), i.alias("i"))))
-        return F.transform(firsts, lambda f: hit(text("Block at line {} repeats code at line {}. Consider extracting a helper.", w[f["i"]]["line"], second(f["i"])), w[f["i"]]["line"], w[f["i"]]["end_line"]))
+        return F.transform(firsts, lambda f: hit(text(M.DUP_BLOCK, w[f["i"]]["line"], second(f["i"])), w[f["i"]]["line"], w[f["i"]]["end_line"]))
 
     fits = c("kind").isin("ClassDef", *FUNCTION_KINDS) & (F.size("stmts") >= 6)
     # one lambda binds the sorted windows, so that they are made once
@@ -211,14 +213,14 @@ def duplicated_method() -> Column:
     def hits(m: Column) -> Column:
         firsts = F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda i: (m[i]["key"] == m[i + 1]["key"]) & F.coalesce(F.get(m, i - 1)["key"] != m[i]["key"], F.lit(True)))
         firsts = F.array_sort(F.transform(firsts, lambda i: F.struct(m[i]["ord"].alias("o"), i.alias("i"))))
-        return F.transform(firsts, lambda f: hit(text("Method '{}.{}' duplicates '{}.{}'. Consider a shared base class or mixin.", *(m[f["i"] + k][n] for k in (0, 1) for n in ("cls", "name"))), m[f["i"]]["line"]))
+        return F.transform(firsts, lambda f: hit(text(M.DUP_METHOD, *(m[f["i"] + k][n] for k in (0, 1) for n in ("cls", "name"))), m[f["i"]]["line"]))
 
     return F.when((c("kind") == "Module") & (F.size("methods") >= 2), F.flatten(F.transform(F.array(F.array_sort("methods")), hits)))
 
 
 def unused_attribute() -> Column:
     kept = F.filter("writes", lambda w: ~F.array_contains("reads", w["attr"]) & ~F.exists(F.array(*map(F.lit, WRITE_ONLY)), lambda p: F.startswith(w["attr"], p)))
-    message = lambda w: text("Instance attribute 'self.{}' is assigned in __init__ but never read in class '{}'. Remove it or use it.", w["attr"], c("name"))
+    message = lambda w: text(M.UNUSED, w["attr"], c("name"))
     return F.when((c("kind") == "ClassDef") & ~c("is_dataclass") & (c("n_plain_methods") > 0), F.transform(kept, lambda w: hit(message(w), w["line"])))
 
 

@@ -81,13 +81,7 @@ count(*) FILTER (WHERE severity = 'WARNING')::BIGINT AS warnings, count(*) FILTE
 
 def clean_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = mixed_files(spark, sf_dir)
-    return report.clean_first(files, report.review(files)).select("path", "n", F.row_number().over(_by(F.col("n") > 0, "path")).cast("long").alias("place"))
-
-
-def _by(*order):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*order)
+    return report.clean_first_places(files, report.review(files)).select("path", "n", "place")
 
 
 CLEAN_FIRST_SQL = f"""WITH f AS ({MIXED_SQL}), p AS (SELECT 'f' || lpad(s_suppkey::VARCHAR, 8, '0') || '.py' AS path FROM supplier),

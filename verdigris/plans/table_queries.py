@@ -7,23 +7,16 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as T
 from verdigris.operators import analytics, report
+from verdigris.operators.retrieval import nearest
 from verdigris.plans.review_queries import table
 from verdigris.streaming.saves import debounce, debounce_by
 
 
-def topk_cosine(spark: SparkSession, sf_dir: str, k: int = 5, block: int = 2000) -> DataFrame:
-    """The k most similar vectors of every vector whose id is divisible by 20, in blocks of queries."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).persist()
-    n = max(1, -(-q.count() // block))
-    out = None
-    for i in range(n):
-        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
-        pairs = v.join(F.broadcast(own), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), F.desc("vec_id")))
-        top = pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+def topk_cosine(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The k most similar vectors of every vector whose id is divisible by 20, by the search that retrieval uses."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("at"), F.col("vec_id").alias("owner"), F.col("vec_id").cast("string").alias("name"), "embedding")
+    q = v.where("owner % 20 = 0").select(F.col("owner").alias("query"), "owner", F.col("embedding").alias("q"))
+    return nearest(q, v, k).select(F.col("query").alias("query_id"), F.col("at").alias("vec_id"), F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
 TOPK_SQL = """WITH p AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), 6) AS sim FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
@@ -39,13 +32,13 @@ CENTROID_SQL = "SELECT label, (i - 1)::BIGINT AS pos, round(avg(x::DOUBLE), 6) A
 
 
 def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shapes of three lines in a row that a document has more than once."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    s = lines.withColumn("s", T.text_shape(F.col("line")))
-    win = s.withColumns({"b": F.lead("s", 1).over(w), "c": F.lead("s", 2).over(w)}).where("c is not null")
-    g = win.groupBy("doc_id", F.concat_ws("\n", "s", "b", "c").alias("key")).agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
-    return g.where("n > 1").select("doc_id", F.md5("key").alias("key"), "n", "first")
+    """Shapes of three lines in a row that a document has more than once: arrays of a row, without a shuffle of lines."""
+    shapes = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n", -1), T.text_shape).alias("s"))
+    windows = F.when(F.size("s") >= 3, F.transform(F.sequence(F.lit(0), F.size("s") - 3), lambda i: F.struct(F.md5(F.concat_ws("\n", F.get("s", i), F.get("s", i + 1), F.get("s", i + 2))).alias("key"), i.cast("long").alias("pos"))))
+    each = shapes.select("doc_id", windows.alias("w")).select("doc_id", F.array_sort("w").alias("w"))
+    again = F.filter("w", lambda x, i: F.get("w", i + 1)["key"].eqNullSafe(x["key"]) | ((i > 0) & F.get("w", i - 1)["key"].eqNullSafe(x["key"])))
+    rows = each.select("doc_id", F.explode(again).alias("x"))
+    return rows.groupBy("doc_id", F.col("x.key").alias("key")).agg(F.count("*").alias("n"), F.min("x.pos").alias("first"))
 
 
 WINDOWS_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
