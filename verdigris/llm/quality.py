@@ -157,9 +157,9 @@ def hashed_rows(rows: DataFrame) -> DataFrame:
                 if last >= 2:
                     some = kind[on] == what
                     middle[on[some]] = middles(flat[some][:, last - 2 : last])
-        yield pa.record_batch([batch.column("k"), batch.column("kind"), pa.array(h.view(np.int64)), batch.column("v"), pa.array(middle)], ["k", "kind", "h", "v", "middle"])
+        yield pa.record_batch([pa.array(k.astype(np.int8)), pa.array(kind.astype(np.int8)), pa.array(h.view(np.int64)), batch.column("v"), pa.array(middle)], ["k", "kind", "h", "v", "middle"])
 
-    return map_batches(rows, run, "k int, kind int, h long, v double, middle long")
+    return map_batches(rows, run, "k byte, kind byte, h long, v double, middle long")
 
 
 def row_hashes(chars: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def score(docs: DataFrame, rows: DataFrame | None, unseen: float, order: int, ne
     parts = max(1, -(-n // max(near_rows, 1))) if order >= 3 else 1
     passes = []
     for part in range(parts):
-        own = rows.where((F.col("middle") < 0) | (F.pmod("middle", F.lit(parts)) == part)).toArrow() if n else pa.table({"k": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "h": pa.array([], pa.int64()), "v": pa.array([], pa.float64())})
+        own = rows.where((F.col("middle") < 0) | (F.pmod("middle", F.lit(parts)) == part)).drop("middle").toArrow() if n else pa.table({"k": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "h": pa.array([], pa.int64()), "v": pa.array([], pa.float64())})
         shared = docs.sparkSession.sparkContext.broadcast(Model(own, order, unseen, part, parts))
         # equal rows have equal sums, so they may share a key
         keyed = docs if parts == 1 else docs.select("text", F.xxhash64("text").alias("row1"), F.xxhash64("text", F.lit(1)).alias("row2"))
