@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdigris import cli
 from verdigris.functions import text as T
-from verdigris.operators import analytics, model_review, report, retrieval
+from verdigris.operators import analytics, endpoint, model_review, report, retrieval
 from verdigris.sources import files
 from verdigris.streaming import saves
 
@@ -289,6 +289,98 @@ def test_debounce_runs_as_a_stream(spark, tmp_path):
     assert {(r.path, r.saves) for r in spark.table("bursts").collect()} >= {("b", 2)}
 
 
+class Server:
+    """An endpoint on this machine: answers come from a function of (path, body), which may raise."""
+
+    def __init__(self, answer):
+        import http.server
+        import threading
+
+        calls = self.calls = []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                calls.append((body, self.headers.get("Authorization")))
+                code, text = answer(body)
+                self.send_response(code)
+                self.end_headers()
+                self.wfile.write(text.encode())
+
+            def log_message(self, *_):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("localhost", 0), Handler)
+        self.url = f"http://localhost:{self.server.server_port}/v1"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def test_endpoints_are_resolved_retried_and_checked(monkeypatch):
+    for name in ("URL", "KEY", "MODEL"):
+        monkeypatch.delenv(f"VERDIGRIS_LLM_{name}", raising=False)
+    assert endpoint.Chat.resolve().url == endpoint.LOCAL_CHAT and endpoint.Chat.resolve().local
+    assert endpoint.Chat.resolve(key="k").url == endpoint.REMOTE_CHAT and not endpoint.Chat.resolve(key="k").local
+    monkeypatch.setenv("VERDIGRIS_LLM_URL", "http://localhost:1/x")
+    tried = []
+    monkeypatch.setattr(endpoint.time, "sleep", tried.append)
+    assert "cannot be reached" in endpoint.Chat.resolve().check_runtime() and tried == [2.0, 4.0]  # a local one may be starting
+    assert endpoint.Chat.resolve(key="k").check_runtime() and len(tried) == 2
+    good = Server(lambda body: (200, json.dumps({"choices": [{"message": {"content": "hi"}}]})))
+    assert endpoint.Chat.resolve(good.url, "secret", "m").check_runtime() is None
+    assert good.calls[0][0]["model"] == "m" and good.calls[0][0]["max_tokens"] == 1 and good.calls[0][1] == "Bearer secret"
+    for code, text in ((500, "broken"), (200, "no json")):
+        bad = Server(lambda body, c=code, t=text: (c, t))
+        assert endpoint.Chat.resolve(bad.url).check_runtime() and len(bad.calls) == 1  # it is there: not asked again
+
+
+def test_embeddings_come_in_both_shapes_and_report_progress(spark):
+    one = Server(lambda body: (200, json.dumps({"embeddings": [[float(len(t)), 1.0] for t in body["input"]]})))
+    two = Server(lambda body: (200, json.dumps({"data": [{"embedding": [float(len(t)), 1.0]} for t in body["input"]]})))
+    seen = []
+    for s in (one, two):
+        assert endpoint.Embedder(s.url, progress=lambda *x: seen.append(x))(pd.Series(["a", "bb"])).tolist() == [[1.0, 1.0], [2.0, 1.0]]
+    assert seen == [(2, 2), (2, 2)] and len(one.calls) == 1 and one.calls[0][0]["input"] == ["a", "bb"]
+    assert endpoint.Embedder(one.url)(pd.Series([], dtype=object)).tolist() == []
+    with pytest.raises(OSError):
+        endpoint.Embedder(Server(lambda body: (200, "{}")).url)(pd.Series(["a"]))
+    ix = retrieval.CodeIndex.build(table(spark, **PROJECT), endpoint.Embedder(one.url))
+    assert all(len(r.embedding) == 2 for r in ix.vectors.collect())
+
+
+def test_command_line_asks_the_model(spark, tmp_path, capsys, monkeypatch):
+    chat = Server(lambda body: (200, json.dumps({"choices": [{"message": {"content": json.dumps({"suggestions": [{"line": 3, "message": "Name it better."}]})}}]})))
+    embed = Server(lambda body: (200, json.dumps({"embeddings": [[1.0, float(len(t))] for t in body["input"]]})))
+    monkeypatch.setenv("VERDIGRIS_LLM_URL", chat.url)
+    monkeypatch.setenv("VERDIGRIS_EMBED_URL", embed.url)
+    root = put(tmp_path, a=LONG, clean="x = 1\n")
+    assert cli.main(["-r", root, "--llm", "--rag-embed", "--workers", "2", "--export", str(tmp_path / "out.txt"), "--yes"]) == 0
+    out = capsys.readouterr().out
+    assert "Name it better." in out and out.index("clean.py") < out.index("a.py ──") and "\033]8" not in out
+    assert "LLM001" in (tmp_path / "out.txt").read_text() and (tmp_path / ".verdigris" / "index" / "manifest").is_dir()
+    monkeypatch.setenv("VERDIGRIS_LLM_URL", "http://localhost:1/x")
+    monkeypatch.setattr(endpoint, "PAUSE_S", 0)
+    monkeypatch.setattr(endpoint.time, "sleep", lambda s: None)
+    assert cli.main(["-r", root, "--llm"]) == 0  # rules alone
+    assert "no model review" in capsys.readouterr().err
+    assert report.hyperlink("file:///a", "a") == "\033]8;;file:///a\033\\a\033]8;;\033\\"
+
+
+def test_places_are_those_of_a_global_order(spark):
+    rows = spark.range(500).selectExpr("id", "id % 7 as a").repartition(5)
+    assert [r.id for r in report.numbered(rows, "n", "a", "id").orderBy("n").collect()] == sorted(range(500), key=lambda i: (i % 7, i))
+    assert report.numbered(rows.where("false"), "n", "a").collect() == []
+
+
+def test_siblings_match_equals_the_pairs(spark):
+    texts = {f"f{i}": f"import {'json' if i % 3 else 'os'}\nclass C{i}(Exception):\n    pass\n" + ("class C1(Exception):\n    pass\n" if i == 5 else "") for i in range(9)} | {"solo": "class S(Other):\n    pass\n"}
+    ix = retrieval.CodeIndex.build(table(spark, **texts))
+    sig = {r.file: (tuple(r.modules), tuple(r.bases)) for r in ix.signatures().collect()}
+    want = {f: False for f in sig}
+    for r in ix.siblings().collect():
+        want[r.file] |= sig[r.file] == sig[r.sibling]
+    assert {r.file: r.matches for r in ix.siblings_match().collect()} == want and len(set(want.values())) == 2
+
+
 def test_command_line(spark, tmp_path, capsys):
     root = put(tmp_path, a="x = 1\n", sub__b="x = y == None\n")
     assert cli.main(["-r", root]) == 0

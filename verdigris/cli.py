@@ -1,19 +1,51 @@
-"""Command line: python -m verdigris [-r] [--json] [--export FILE] PATH..."""
+"""Command line: python -m verdigris [-r DIR] [--json] [--export FILE] [--llm] [--rag-embed] PATH..."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
 
+def confirmed(a: argparse.Namespace) -> bool:
+    """Whether the export may be written: yes if it is new, the user says so, or nobody can be asked."""
+    if a.yes or not Path(a.export).exists() or not sys.stdin.isatty():
+        return True
+    return input(f"{a.export} exists. Overwrite? [y/N] ").strip().lower() in ("y", "yes")
+
+
+def with_model(spark, files, a: argparse.Namespace) -> tuple:
+    """(findings, failed calls) of rules and model; rules alone if the model cannot be reached."""
+    from verdigris.operators import model_review, report, retrieval
+    from verdigris.operators.endpoint import Chat, Embedder
+    from verdigris.sources.files import project_root
+
+    chat = Chat.resolve()
+    if problem := chat.check_runtime():
+        print(f"no model review: {problem}", file=sys.stderr)
+        return report.review(files), []
+    index = None
+    if a.rag_embed:
+        root = project_root([*a.paths, *([a.recursive] if a.recursive else [])]) or "."
+        encoder = Embedder()
+        index = retrieval.CodeIndex.open(spark, retrieval.default_path(root), files, encoder, encoder.model)
+    found, failed = model_review.review_with_model(files, model_review.Client(chat, tries=1), index, workers=1, in_flight=a.workers)
+    return found, failed.collect()
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 if all files were reviewed, 1 if any could not be, 2 without a path."""
     p = argparse.ArgumentParser(prog="verdigris", description="Reviews Python files with Spark.")
     p.add_argument("paths", nargs="*")
     p.add_argument("-r", "--recursive", metavar="DIR", help="review all Python files below DIR")
     p.add_argument("--json", action="store_true", help="one JSON object for each file")
-    p.add_argument("--export", metavar="DIR", help="also write findings as text")
+    p.add_argument("--export", metavar="FILE", nargs="?", const="verdigris_findings.txt", help="also write the findings of dirty files as text")
+    p.add_argument("--yes", action="store_true", help="overwrite without asking")
+    p.add_argument("--no-links", action="store_true", help="plain paths even on a terminal")
+    p.add_argument("--llm", action="store_true", help="also ask the model; see VERDIGRIS_LLM_URL, _KEY and _MODEL")
+    p.add_argument("--rag-embed", action="store_true", help="with --llm: compare files with related code, found by structure and embeddings")
+    p.add_argument("--workers", type=int, default=4, help="calls of the model at a time")
     p.add_argument("--master", default="local[*]")
     a = p.parse_args(argv)
     if not a.paths and not a.recursive:
@@ -40,17 +72,27 @@ def main(argv: list[str] | None = None) -> int:
     files = files.persist()
     broken = report.errors(files).collect()
     good = files.join(report.errors(files), "path", "left_anti").persist()
-    found = report.review(good).persist()
-    if a.json:
-        for row in report.json_reports(good, found).orderBy("path").toLocalIterator():
-            print(row["json"])
+    failed = []
+    if a.llm:
+        found, failed = with_model(spark, good, a)
     else:
-        shown = report.text_lines(good, found).join(report.clean_first(good, found), "path").selectExpr("path", "rendered", "n > 0 as dirty")
-        for row in shown.orderBy("dirty", "path").toLocalIterator():
-            print(f"── {row['path']} ──\n{row['rendered']}")
+        found = report.review(good)
+    found = found.persist()
+    if a.json:
+        for row in report.json_reports(good, found).toLocalIterator():
+            print(row["json"], flush=True)
+    else:  # a report is printed as soon as its part is done; clean files come in their own pass first
+        link = sys.stdout.isatty() and not a.no_links and os.environ.get("TERM", "dumb") != "dumb"
+        dirty = found.select("path").distinct()
+        for some in (good.join(dirty, "path", "left_anti"), good.join(dirty, "path", "left_semi")):
+            for row in report.text_lines(some, found.join(some.select("path"), "path", "left_semi")).toLocalIterator():
+                name = report.hyperlink(f"file://{Path(row['path']).resolve()}", row["path"]) if link else row["path"]
+                print(f"── {name} ──\n{row['rendered']}", flush=True)
         print(report.summary_text(report.summary(good, found).first()))
-    if a.export:
-        report.write_text(found, a.export)
+    if a.export and confirmed(a):
+        report.write_one_text(found, a.export)
+    for row in failed:
+        print(f"{row['path']}: {row['focus']}: {row['error']}", file=sys.stderr)
     for row in broken:
         print(f"{row['path']}: {row['error']}", file=sys.stderr)
     for cached in (found, good, files):

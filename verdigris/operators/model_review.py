@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -129,14 +130,15 @@ class Client:
         return None, error
 
 
-def ask(prompted: DataFrame, client: Client, workers: int = 4) -> DataFrame:
-    """prompted with response and error; workers tasks call at a time. A failed call is a row, not a failed job."""
+def ask(prompted: DataFrame, client: Client, workers: int = 4, in_flight: int = 4) -> DataFrame:
+    """prompted with response and error; workers tasks with in_flight calls each at a time. A failed call is a row, not a failed job."""
     keep = [f for f in prompted.schema if f.name in ("path", "focus", "source", "hidden", "valid")]
 
     def run(frames):
-        for pdf in frames:
-            got = [client.ask(p) for p in pdf["prompt"]]
-            yield pdf[[f.name for f in keep]].assign(response=pd.Series([g[0] for g in got], dtype=object), error=pd.Series([g[1] for g in got], dtype=object))
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in frames:
+                got = list(pool.map(client.ask, pdf["prompt"]))
+                yield pdf[[f.name for f in keep]].assign(response=pd.Series([g[0] for g in got], index=pdf.index, dtype=object), error=pd.Series([g[1] for g in got], index=pdf.index, dtype=object))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", response string, error string"
     return prompted.repartition(workers).mapInPandas(run, schema)
@@ -168,7 +170,7 @@ def merge(static: DataFrame, model: DataFrame, suppressions: DataFrame | None =
     return both if suppressions is None else suppress(both, suppressions)
 
 
-def review_with_model(files: DataFrame, client: Client, index=None, workers: int = 4, focuses: tuple[str, ...] = FOCUSES, top_k: int = 5, suppress_model: bool = True) -> tuple[DataFrame, DataFrame]:
+def review_with_model(files: DataFrame, client: Client, index=None, workers: int = 4, focuses: tuple[str, ...] = FOCUSES, top_k: int = 5, suppress_model: bool = True, in_flight: int = 4) -> tuple[DataFrame, DataFrame]:
     """(findings, errors): rules and model together. Static findings stay if a call fails; the failure is in errors.
 
     With an index, files that differ from their siblings are also compared with related code. Suppression comments hold
@@ -184,7 +186,7 @@ def review_with_model(files: DataFrame, client: Client, index=None, workers: int
         differing = index.siblings_match().where("not matches").select(F.col("file").alias("path"))
         compared = consistency_prompts(views.join(differing, "path", "left_semi"), render_related(index.related(top_k)))
         asked = asked.unionByName(compared.select(asked.columns))
-    answered = ask(asked, client, workers).persist()
+    answered = ask(asked, client, workers, in_flight).persist()
     content = answered.withColumn("content", response_content(F.col("response")))
     failed = content.where("content is null").select("path", "focus", F.coalesce("error", F.lit("the response holds no message")).alias("error"))
     return merge(static, model_findings(content.where("content is not null")), noqa_rows(files) if suppress_model else None), failed

@@ -153,6 +153,13 @@ def write_text(findings: DataFrame, path: str) -> None:
     export_lines(findings).orderBy("path").select("value").write.mode("overwrite").text(path)
 
 
+def write_one_text(findings: DataFrame, path: str) -> None:
+    """The exported text as one file of this machine, by path, row after row."""
+    with open(path, "w", encoding="utf-8") as out:
+        for row in export_lines(findings).orderBy("path").select("value").toLocalIterator():
+            out.write(row["value"] + "\n")
+
+
 def summary_text(row) -> str:
     """The printed summary of summary()'s row."""
     out = ["", "── Summary ──", f"  Files reviewed : {row['reviewed']}", f"  Clean files   : {row['clean']}", f"  Files with issues: {row['dirty']}", f"  Suggestions   : {row['suggestions']}", f"  Warnings      : {row['warnings']}"]

@@ -235,7 +235,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, seen: DataFrame | No
 
 def _unit(rows: list) -> np.ndarray:
     """Rows as unit vectors; zero stays zero, which makes its similarity zero."""
-    x = np.array(rows, float).reshape(len(rows), -1)
+    x = np.array(rows, float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.round(x / np.where(norm == 0, 1, norm), 14)
 
