@@ -604,3 +604,27 @@ def test_pipeline_equals_its_parts_by_brute_force(spark):
     kept = sorted({min(i for i, y in zip(ids, g, strict=True) if y == x) for x in g})
     left = {(r.doc_id) for r in decontaminate.find_leaks(spark.createDataFrame([(i, lines[i]) for i in kept], "doc_id long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == [i for i in kept if i not in left]
+
+
+def test_all_queries_are_registered():
+    """The entry point hides what cannot be imported, so a plain mistake would take the queries away without a word."""
+    import __spark_entry__
+    import corpus_pipeline
+    from verdigris.llm import registry
+
+    every = __spark_entry__.queries()
+    assert {n for n in every if n.startswith("op")} == set(registry.QUERIES) and every["pipeline"] is corpus_pipeline.run
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages_take_odd_rows(spark, docs, none):
+    import corpus_pipeline
+
+    sf, step, empty = "/root/testdata/sf0.001", docs, none
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step, empty = stage(spark, step, sf), stage(spark, empty, sf)
+        assert step.columns == docs.columns and empty.columns == docs.columns, name
+    assert empty.collect() == [] and corpus_pipeline.bpe(spark, empty, sf).collect() == []
+    got = corpus_pipeline.bpe(spark, step, sf).collect()
+    kept = [r.doc_id for r in step.collect()]
+    assert sorted([r.doc_id for r in got], key=str) == sorted(kept, key=str) and kept.count(2) == 0 and kept.count(1) == 1
