@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdigris.llm import bpe_codec, decontaminate, html_text, language_id, line_dedup, quality, simhash, token_count, token_file, topk
+from verdigris.llm import bpe_codec, decontaminate, html_text, language_id, lexical, line_dedup, quality, simhash, token_count, token_file, topk
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_language_id": language_id.query,
     "op10_token_count": token_count.query,
+    "op11_lexical": lexical.query,
 }
-ORACLES = {"op3_topk": topk.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op3_topk": topk.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op11_lexical": lexical.ORACLE}
