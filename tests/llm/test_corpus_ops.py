@@ -614,7 +614,7 @@ def test_all_queries_are_registered():
 
     every = __spark_entry__.queries()
     assert {n for n in every if n.startswith("op")} == set(registry.QUERIES) and every["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_take_odd_rows(spark, docs, none):

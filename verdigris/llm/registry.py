@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdigris.llm import bpe_codec, decontaminate, html_text, language_id, lexical, line_dedup, quality, simhash, token_count, token_file, topk
+from verdigris.llm import bpe_codec, chat, decontaminate, html_text, language_id, lexical, line_dedup, quality, simhash, token_count, token_file, topk, whiten
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_token_count": token_count.query,
     "op11_lexical": lexical.query,
+    "op12_whiten": whiten.query,
+    "op13_chat": chat.query,
 }
 ORACLES = {"op3_topk": topk.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op11_lexical": lexical.ORACLE}
