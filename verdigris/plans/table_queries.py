@@ -127,6 +127,38 @@ ONE_TIMER_SQL = """WITH e AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY t
 SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*)::BIGINT AS n FROM s GROUP BY s.n"""
 
 
+def burst_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One timer for every event, whatever its user or type: bursts with rests of at most ten seconds, and the last save of each."""
+    e = table(spark, sf_dir, "events").select("ts", F.lpad(F.col("event_id").cast("string"), 12, "0").alias("path"))
+    s = debounce(e, quiet_ms=10_000)
+    return s.select(F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "path", F.col("saves").alias("n"))
+
+
+BURSTS_SQL = """WITH e AS (SELECT event_id, ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 10 SECOND THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT event_id, ts, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT epoch_us(min(ts))::BIGINT AS started, epoch_us(max(ts))::BIGINT AS ended, lpad(arg_max(event_id, {'t': ts, 'e': event_id})::VARCHAR, 12, '0') AS path, count(*)::BIGINT AS n FROM s GROUP BY s.n"""
+
+BATCHES = 12
+
+
+def replaced_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as reviews that replace each other by user, in BATCHES batches by event_id: what the log shows of each user after the last batch,
+    several merges on the way. Users whose last batch has no purchase have no rows."""
+    from verdigris.operators.scratch import folder
+    from verdigris.streaming.replace_log import ReplaceLog
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), "event_id", "event_type")
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    log = ReplaceLog(spark, folder(spark, "replaced-results"), fan=4)
+    for b in range(BATCHES):
+        own = e.where(F.floor(F.col("event_id") * BATCHES / F.lit(last + 1)) == b)
+        log.append(own, own.where("event_type = 'purchase'"))
+    return log.current().select("path", "event_id")
+
+
+REPLACED_SQL = f"""WITH e AS (SELECT user_id::VARCHAR AS path, event_id, event_type, floor(event_id * {BATCHES}::DOUBLE / (SELECT max(event_id) + 1 FROM events)) AS batch FROM events),
+l AS (SELECT path, max(batch) AS batch FROM e GROUP BY path) SELECT path, event_id FROM e JOIN l USING (path, batch) WHERE event_type = 'purchase'"""
+
+
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as files, line items as findings; an order without any is clean."""
     files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"))
@@ -210,6 +242,7 @@ RESPONSES_SQL = "SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE md5
 NAMED = {
     "topk_cosine": (topk_cosine, TOPK_SQL), "label_centroids": (label_centroids, CENTROID_SQL), "repeated_windows": (repeated_windows, WINDOWS_SQL), "keep_first": (keep_first, KEEP_FIRST_SQL), "suppressed_orders": (suppressed_orders, SUPPRESSED_SQL),
     "longest_prefix": (longest_prefix, PREFIX_SQL), "signature_groups": (signature_groups, SIGNATURE_GROUPS_SQL), "sibling_orders": (sibling_orders, SIBLING_ORDERS_SQL), "save_sessions": (save_sessions, SESSIONS_SQL), "one_timer": (one_timer, ONE_TIMER_SQL),
+    "burst_saves": (burst_saves, BURSTS_SQL), "replaced_results": (replaced_results, REPLACED_SQL),
     "severity_summary": (severity_summary, SEVERITY_SQL), "tolerant_json": (tolerant_json, TOLERANT_SQL), "event_rollup": (event_rollup, ROLLUP_SQL), "culprit_lines": (culprit_lines, CULPRIT_SQL), "manifest_changes": (manifest_changes, MANIFEST_SQL),
     "module_names": (module_names, MODULES_SQL), "hidden_text": (hidden_text, HIDDEN_SQL), "response_texts": (response_texts, RESPONSES_SQL),
 }

@@ -1,4 +1,4 @@
-"""Reviews of a stream of saved files: trailing-edge debounce, and results that replace each other by path."""
+"""Reviews of a stream of saved files, with results that replace each other by path."""
 
 from __future__ import annotations
 
@@ -8,66 +8,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: Fixed value: how long saves must rest.
-QUIET_MS = 500
-
-
-def debounce(saves: DataFrame, ts: str = "ts", path: str = "path", quiet_ms: int = QUIET_MS, late: str | None = None) -> DataFrame:
-    """(started, ended, path, saves): the last path of every burst of saves that rest at most quiet_ms from each other.
-
-    One timer holds for all paths, so a burst is a session of the whole table and only its last save is reviewed; saves
-    exactly quiet_ms apart are one burst. A stream needs late, its watermark, and a session stays open until later saves
-    pass it. For independent timers see debounce_by."""
-    one = (saves.withWatermark(ts, late) if late else saves).withColumn("_k", F.lit(1))
-    return _sessions(one, ts, path, quiet_ms, "_k").drop("_k")
-
-
-def debounce_by(saves: DataFrame, by: str, ts: str = "ts", path: str = "path", quiet_ms: int = QUIET_MS, late: str | None = None) -> DataFrame:
-    """As debounce, with a timer for each value of by (a user, a folder), which parallelises."""
-    return _sessions(saves.withWatermark(ts, late) if late else saves, ts, path, quiet_ms, by)
-
-
-def _sessions(saves: DataFrame, ts: str, path: str, quiet_ms: int, by: str) -> DataFrame:
-    # a session's end is exclusive and sessions that touch merge, so rests of exactly quiet_ms are inside
-    s = saves.groupBy(by, F.session_window(ts, f"{quiet_ms} milliseconds").alias("w")).agg(F.max_by(path, F.struct(ts, path)).alias("path"), F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("saves"))
-    return s.select(by, "started", "ended", "path", "saves")
+from verdigris.operators.scratch import file_system
+from verdigris.streaming.replace_log import ReplaceLog
+from verdigris.streaming.timers import QUIET_MS, debounce, debounce_by, timer
 
+__all__ = ["QUIET_MS", "clear", "debounce", "debounce_by", "latest", "read_current", "replace_by_path", "results", "review_stream", "timer"]
 
 def latest(files: DataFrame) -> DataFrame:
     """The last version of every path in a batch."""
     return files.groupBy("path").agg(F.max_by(F.struct("source", "mtime"), F.struct("mtime", "source")).alias("f")).select("path", "f.*")
 
 
-def replace_by_path(spark: SparkSession, table: str, reviewed: DataFrame, findings: DataFrame, batch_id: int) -> None:
-    """table (Parquet folder by batch) gets the batch's findings; read_current() shows the last of each path.
+def results(spark: SparkSession, table: str) -> ReplaceLog:
+    """The log of findings by path that a stream writes to the folder table."""
+    return ReplaceLog(spark, table)
+
 
-    A batch that is run again overwrites its own folder, so results are the same after a failure."""
-    reviewed.select("path").join(findings, "path", "left").write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+def replace_by_path(spark: SparkSession, table: str, reviewed: DataFrame, findings: DataFrame, batch_id: int | None = None) -> None:
+    """The findings of the reviewed paths take the place of earlier ones. A batch that is run again changes nothing; one that fails leaves
+    the paths as the batch before it did."""
+    results(spark, table).append(reviewed, findings, batch_id)
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame:
     """Findings of the last batch that reviewed each path."""
-    rows = spark.read.parquet(table)
-    last = rows.groupBy("path").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["path", "batch"]).where("code is not null").drop("batch")
+    return results(spark, table).current()
 
 
 def clear(spark: SparkSession, table: str) -> None:
     """Drops all results."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    results(spark, table).clear()
+
+
+def first_batch(spark: SparkSession, table: str, checkpoint: str) -> int:
+    """The log's number of a stream's batch 0, kept with the stream's checkpoint: a stream with a new checkpoint counts from 0 again, and its
+    results come after all that are there."""
+    kept = f"{checkpoint.rstrip('/')}/first-batch"
+    where, fs = file_system(spark, f"{kept}/_SUCCESS")
+    if not fs.exists(where):
+        n = results(spark, table).next_seq()
+        spark.range(n, n + 1, numPartitions=1).write.mode("overwrite").parquet(kept)
+    return spark.read.parquet(kept).first()[0]
 
 
 def review_stream(files: DataFrame, table: str, checkpoint: str, on_error: Callable[[DataFrame, int], None] | None = None, available_now: bool = False) -> StreamingQuery:
     """Starts reviewing a stream of files (path, source, mtime) into table. A file that cannot be parsed disturbs no other."""
     from verdigris.operators.report import errors, review
 
+    first = first_batch(files.sparkSession, table, checkpoint)
+
     def batch(df: DataFrame, batch_id: int) -> None:
         own = latest(df).persist()
-        replace_by_path(df.sparkSession, table, own, review(own), batch_id)
-        if on_error is not None:
-            on_error(errors(own), batch_id)
-        own.unpersist()
+        try:
+            replace_by_path(df.sparkSession, table, own, review(own), first + batch_id)
+            if on_error is not None:
+                on_error(errors(own), batch_id)
+        finally:
+            own.unpersist()
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
