@@ -141,7 +141,7 @@ def test_index_graph_and_siblings(spark):
     assert {r.file for r in ix.chunks.collect()} == {"base.py", "a.py", "b.py", "c.py", "solo.py", "pkg/__init__.py"}
     assert {(r.module, r.file) for r in ix.modules.collect()} >= {("pkg", "pkg/__init__.py"), ("base", "base.py")}
     assert {(r.file, r.target) for r in ix.imported_files().collect()} == {(f, "base.py") for f in ("a.py", "b.py", "c.py", "pkg/__init__.py")}
-    assert {(r.file, r.sibling) for r in ix.siblings().collect()} == {(x, y) for x in ("a.py", "b.py", "c.py") for y in ("a.py", "b.py", "c.py") if x != y}
+    assert {(r.file, r.sibling) for r in ix.siblings().pairs(ix.chunks).collect()} == {(x, y) for x in ("a.py", "b.py", "c.py") for y in ("a.py", "b.py", "c.py") if x != y}
     assert {r.file: r.matches for r in ix.siblings_match().collect()} == {"a.py": True, "b.py": True, "c.py": False, "base.py": False, "solo.py": False, "pkg/__init__.py": False}
     solo = ix.chunks.where("file = 'solo.py'").first()
     assert (solo.signature, solo.docstring, solo.body) == ("def helper(x, *, y)", "", "")
@@ -376,9 +376,24 @@ def test_siblings_match_equals_the_pairs(spark):
     ix = retrieval.CodeIndex.build(table(spark, **texts))
     sig = {r.file: (tuple(r.modules), tuple(r.bases)) for r in ix.signatures().collect()}
     want = {f: False for f in sig}
-    for r in ix.siblings().collect():
+    pairs = ix.siblings().pairs(ix.chunks).collect()
+    for r in pairs:
         want[r.file] |= sig[r.file] == sig[r.sibling]
     assert {r.file: r.matches for r in ix.siblings_match().collect()} == want and len(set(want.values())) == 2
+    # every file has one base here, so that siblings through it are all siblings
+    number = {f: sum(r.file == f for r in pairs) for f in want}
+    assert {r.file: r.siblings for r in ix.siblings().counts().collect()} == {f: n for f, n in number.items() if n}
+
+
+def test_siblings_of_a_common_base_are_no_pairs(spark):
+    n = 400
+    files = spark.range(n).select(F.format_string("f%d.py", "id").alias("path"), F.format_string("class C%d(Exception):\n    pass\nclass D%d(Base%d, Exception):\n    pass\n", "id", "id", F.col("id") % 7).alias("source"), F.lit(None).cast("timestamp").alias("mtime"))
+    s = retrieval.CodeIndex.build(files).siblings()
+    sizes = [d.count() for d in (s.members, s.classes, s.known)]
+    assert max(sizes) <= 3 * n
+    got = {(r.file, r.base): r.siblings for r in s.counts().collect()}
+    assert all(got[f"f{i}.py", "Exception"] == n - 1 and got[f"f{i}.py", f"Base{i % 7}"] == len(range(i % 7, n, 7)) - 1 for i in range(n))
+    assert s.pairs(spark.createDataFrame([("f3.py",)], "file string")).count() == n - 1
 
 
 def test_command_line(spark, tmp_path, capsys):

@@ -110,25 +110,17 @@ class CodeIndex:
         none = F.array().cast("array<string>")
         return files.join(modules, "file", "left").join(bases, "file", "left").select("file", F.coalesce("modules", none).alias("modules"), F.coalesce("bases", none).alias("bases"))
 
-    def siblings(self) -> DataFrame:
-        """(file, sibling): files whose classes share a base, each class living where its name was defined last."""
-        mine = self.own_bases().select("file", "base").distinct()
-        theirs = self.bases.join(self.symbols.select(F.col("symbol").alias("class_name"), F.col("file").alias("sibling")), "class_name")
-        pairs = mine.join(theirs, "base").where("sibling <> file").select("file", "class_name", "sibling").distinct()
-        return pairs.join(self.own_symbols().withColumnRenamed("symbol", "class_name"), ["file", "class_name"], "left_anti").select("file", "sibling").distinct()
+    def siblings(self) -> Siblings:
+        """Who shares a base with whom, by membership; see Siblings."""
+        members = self.own_bases().select("file", "base").distinct()
+        classes = self.bases.join(self.symbols.select(F.col("symbol").alias("class_name"), F.col("file").alias("sibling")), "class_name").select("base", "class_name", "sibling").distinct()
+        known = self.own_symbols().withColumnRenamed("symbol", "class_name").join(classes, "class_name").select("file", "base", "class_name", "sibling").distinct()
+        return Siblings(members, classes, known)
 
     def siblings_match(self) -> DataFrame:
-        """(file, matches): whether any sibling has the file's own signature.
-
-        By counts, so that a base with very many classes is no list of pairs: classes of each base and signature, less those
-        whose name the file defines itself (its own among them)."""
-        s = self.signatures().withColumn("sig", F.xxhash64("modules", "bases", F.to_json(F.struct("modules", "bases"))))
-        home = self.bases.join(self.symbols.select(F.col("symbol").alias("class_name"), F.col("file").alias("sibling")), "class_name")
-        home = home.join(s.select(F.col("file").alias("sibling"), "sig"), "sibling").select("class_name", "base", "sibling", "sig").distinct()
-        of_base = home.groupBy("base", "sig").agg(F.count("*").alias("all"))
-        mine = self.own_bases().select("file", "base").distinct().join(s.select("file", "sig"), "file")
-        known = self.own_symbols().withColumnRenamed("symbol", "class_name").join(home, "class_name").groupBy("file", "base", "sig").agg(F.count("*").alias("own"))
-        found = mine.join(of_base, ["base", "sig"]).join(known, ["file", "base", "sig"], "left").groupBy("file").agg(F.max(F.col("all") > F.coalesce("own", F.lit(0))).alias("matches"))
+        """(file, matches): whether any sibling has the file's own signature."""
+        s = self.signatures().withColumn("sig", F.xxhash64("modules", "bases", F.to_json(F.struct("modules", "bases")))).select("file", "sig")
+        found = self.siblings().matches(s)
         return s.select("file").join(found, "file", "left").select("file", F.coalesce("matches", F.lit(False)).alias("matches"))
 
     def save(self, path: str, files: DataFrame, model: str = "") -> bool:
@@ -175,6 +167,43 @@ class CodeIndex:
         return found
 
 
+@dataclass
+class Siblings:
+    """Files whose classes share a base, without a row for each pair, so that a base such as Exception costs what it has classes.
+
+    members (file, base): the bases of a file's classes. classes (base, class_name, sibling): the classes of a base, each in the file that
+    defined its name last. known (file, base, class_name, sibling): those of them whose name the file has itself, its own among them.
+    A file's siblings are the files of its bases' classes, less those of which it knows all classes of the base."""
+
+    members: DataFrame
+    classes: DataFrame
+    known: DataFrame
+
+    def counts(self) -> DataFrame:
+        """(file, base, siblings): how many siblings a file has through each base, if any."""
+        homes = self.classes.groupBy("base", "sibling").agg(F.count("*").alias("all"))
+        total = homes.groupBy("base").agg(F.count("*").alias("homes"))
+        seen = self.known.groupBy("file", "base", "sibling").agg(F.count("*").alias("own")).join(homes, ["base", "sibling"])
+        lost = seen.where("own = all").groupBy("file", "base").agg(F.count("*").alias("lost"))
+        left = self.members.join(total, "base").join(lost, ["file", "base"], "left").select("file", "base", (F.col("homes") - F.coalesce("lost", F.lit(0))).alias("siblings"))
+        return left.where("siblings > 0")
+
+    def pairs(self, files: DataFrame) -> DataFrame:
+        """(file, sibling), each once, for the files (file) that are asked for: what a prompt on them needs."""
+        wanted = files.select("file").distinct()
+        found = self.members.join(wanted, "file", "left_semi").join(self.classes, "base")
+        fresh = found.join(self.known.join(wanted, "file", "left_semi").select("file", "class_name").distinct(), ["file", "class_name"], "left_anti")
+        return fresh.where("sibling <> file").select("file", "sibling").distinct()
+
+    def matches(self, signatures: DataFrame) -> DataFrame:
+        """(file, matches) by counts of classes of each base and signature (file, sig), less those that the file knows."""
+        of = signatures.select(F.col("file").alias("sibling"), "sig")
+        every = self.classes.join(of, "sibling").groupBy("base", "sig").agg(F.count("*").alias("all"))
+        own = self.known.join(of, "sibling").groupBy("file", "base", "sig").agg(F.count("*").alias("own"))
+        found = self.members.join(signatures.select("file", "sig"), "file").join(every, ["base", "sig"]).join(own, ["file", "base", "sig"], "left")
+        return found.groupBy("file").agg(F.max(F.col("all") > F.coalesce("own", F.lit(0))).alias("matches"))
+
+
 VERSION = 1
 UNREADABLE = ("AnalysisException", "Py4JJavaError", "SparkException", "IllegalArgumentException")
 
