@@ -175,21 +175,6 @@ def test_related_is_structural_first_then_similar(spark):
     assert got["solo.py"] == want[:3]
 
 
-def test_index_store_notices_changes(spark, tmp_path):
-    path, df = str(tmp_path / "ix"), table(spark, **PROJECT)
-    assert retrieval.CodeIndex.load(spark, path, df) is None
-    retrieval.CodeIndex.open(spark, path, df)
-    again = retrieval.CodeIndex.load(spark, path, df)
-    assert again is not None and again.chunks.count() == 6
-    touched = df.withColumn("mtime", F.when(F.col("path") == "a.py", F.lit("2024-01-01").cast("timestamp")))
-    assert retrieval.CodeIndex.load(spark, path, touched) is None
-    assert retrieval.CodeIndex.load(spark, path, df.unionByName(table(spark, new="x = 1\n"))) is None
-    assert retrieval.CodeIndex.load(spark, path, df, model="other") is None
-    for f in (tmp_path / "ix" / "manifest").iterdir():
-        f.unlink()
-    assert retrieval.CodeIndex.load(spark, path, df) is None
-
-
 def client(answer):
     return model_review.Client(lambda messages: json.dumps({"choices": [{"message": {"content": answer(messages)}}]}), pause_s=0)
 
@@ -356,7 +341,7 @@ def test_command_line_asks_the_model(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["-r", root, "--llm", "--rag-embed", "--workers", "2", "--export", str(tmp_path / "out.txt"), "--yes"]) == 0
     out = capsys.readouterr().out
     assert "Name it better." in out and out.index("clean.py") < out.index("a.py ──") and "\033]8" not in out
-    assert "LLM001" in (tmp_path / "out.txt").read_text() and (tmp_path / ".verdigris" / "index" / "manifest").is_dir()
+    assert "LLM001" in (tmp_path / "out.txt").read_text() and (tmp_path / ".verdigris" / "index" / "v2" / "files").is_dir()
     monkeypatch.setenv("VERDIGRIS_LLM_URL", "http://localhost:1/x")
     monkeypatch.setattr(endpoint, "PAUSE_S", 0)
     monkeypatch.setattr(endpoint.time, "sleep", lambda s: None)

@@ -30,6 +30,8 @@ def with_model(spark, files, a: argparse.Namespace) -> tuple:
         root = project_root([*a.paths, *([a.recursive] if a.recursive else [])]) or "."
         encoder = Embedder()
         index = retrieval.CodeIndex.open(spark, retrieval.default_path(root), files, encoder, encoder.model)
+        for row in index.embedding_failure().collect():
+            print(f"{row['chunks']} chunks have no embedding and are related by structure alone: {row['error']}", file=sys.stderr)
     found, failed = model_review.review_with_model(files, model_review.Client(chat, tries=1), index, workers=1, in_flight=a.workers)
     return found, failed.collect()
 

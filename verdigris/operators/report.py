@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import ast
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import noqa_rows
+from verdigris.operators.scratch import keep as keep_table
 
 FIELDS = ["code", "category", "severity", "message", "line", "column", "end_line"]
 ORDER = ["det_ord", "emit_ord", "part_ord"]
@@ -30,11 +33,24 @@ def suppress(findings: DataFrame, suppressions: DataFrame, keep: tuple[str, ...]
 
 def review(files: DataFrame, codes: list[str] | None = None, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """The findings of files (path, source): parsed once, all rules in one projection, first of equals, not suppressed."""
-    from verdigris.operators.rules import findings
     from verdigris.sources.parse import syntax_facts
 
-    found = keep_first(findings(syntax_facts(files, keep), keep, codes), keep)
-    return suppress(found, noqa_rows(files, keep), keep)
+    return review_facts(syntax_facts(files, keep), noqa_rows(files, keep), codes, keep)
+
+
+def review_facts(facts: DataFrame, suppressions: DataFrame | None = None, codes: list[str] | None = None, keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The findings of facts, as the parser gives them or as they were stored: rules need no text, so rules that are added later need no parse."""
+    from verdigris.operators.rules import findings
+
+    found = keep_first(findings(facts, keep, codes), keep)
+    return found if suppressions is None else suppress(found, suppressions, keep)
+
+
+def review_tree(spark: SparkSession, tree: ast.AST, path: str = "<tree>", codes: list[str] | None = None) -> DataFrame:
+    """The findings of a tree that is parsed already. It holds no comments, so nothing is suppressed."""
+    from verdigris.sources.parse import facts_table
+
+    return review_facts(facts_table(spark, [(path, tree)]), None, codes)
 
 
 def errors(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -109,7 +125,8 @@ def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """rows with their place from 1 on in that order, by ranges: each range is sorted by itself and begins where those before it end.
 
     What is put together for the borders is one number for each range."""
-    ranges = rows.repartitionByRange(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).withColumn("_range", F.spark_partition_id()).persist()
+    ranges = rows.repartitionByRange(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).withColumn("_range", F.spark_partition_id())
+    ranges = keep_table(ranges, "ranges")
     sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
     before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))

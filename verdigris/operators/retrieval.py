@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import centroid, module_name, prefixes
+from verdigris.operators.scratch import keep
 from verdigris.sources.parse import symbol_rows
 
 CHUNK = ["file", "symbol", "kind", "signature", "docstring", "body"]
@@ -27,7 +28,8 @@ def chunk_text(kind="kind", signature="signature", docstring="docstring", body="
 @dataclass
 class CodeIndex:
     """chunks (seq, file, symbol, kind, signature, docstring, body), imports (file, module), bases (class_name, base),
-    modules (module, file), symbols (one chunk for each name), vectors (seq, embedding) or None."""
+    modules (module, file), symbols (one chunk for each name), vectors (seq, embedding) or None, and errors (seq, error) of
+    chunks that could not be embedded, or None."""
 
     chunks: DataFrame
     imports: DataFrame
@@ -35,13 +37,12 @@ class CodeIndex:
     modules: DataFrame
     symbols: DataFrame
     vectors: DataFrame | None = None
-
-    TABLES = ("chunks", "imports", "bases", "modules", "symbols")
+    errors: DataFrame | None = None
 
     @classmethod
     def build(cls, files: DataFrame, encoder: Encoder | None = None) -> CodeIndex:
         """The index of files (path root-relative, source). Of equal symbols, classes and modules the last by path wins."""
-        rows = symbol_rows(files.withColumn("file", F.col("path")).select("file", "source"), ("file",)).persist()
+        rows = keep(symbol_rows(files.withColumn("file", F.col("path")).select("file", "source"), ("file",)), "symbols")
         # a sequence number in path order without a global sort: the path itself leads, then the place in the file
         at = F.struct("file", "ord")
         chunks = rows.where("kind = 'chunk'").select(at.alias("seq"), "file", "symbol", F.col("chunk_kind").alias("kind"), "signature", "docstring", "body")
@@ -51,8 +52,16 @@ class CodeIndex:
         bases = defined.join(last, ["symbol", "seq"]).select(F.col("symbol").alias("class_name"), F.col("target").alias("base")).distinct()
         modules = rows.where("kind = 'module'").select(module_name(F.col("file")).alias("module"), "file").groupBy("module").agg(F.max("file").alias("file"))
         symbols = chunks.groupBy("symbol").agg(F.max_by(F.struct("seq", *[c for c in CHUNK if c != "symbol"]), "seq").alias("c")).select("symbol", "c.*")
-        vectors = embed(chunks, encoder) if encoder else None
-        return cls(chunks, imports, bases, modules, symbols, vectors)
+        if encoder is None:
+            return cls(chunks, imports, bases, modules, symbols)
+        embedded = keep(embed(chunks, encoder), "vectors")
+        return cls(chunks, imports, bases, modules, symbols, embedded.where("error is null").select("seq", "embedding"), embedded.where("error is not null").select("seq", "error"))
+
+    def embedding_failure(self) -> DataFrame:
+        """(chunks, error): one row if chunks could not be embedded and are found by structure alone, with the first error; else none."""
+        if self.errors is None:
+            return self.chunks.sparkSession.createDataFrame([], "chunks long, error string")
+        return self.errors.agg(F.count("*").alias("chunks"), F.min_by("error", "seq").alias("error")).where("chunks > 0")
 
     def own_symbols(self) -> DataFrame:
         return self.chunks.select("file", "symbol").distinct()
@@ -123,48 +132,39 @@ class CodeIndex:
         found = self.siblings().matches(s)
         return s.select("file").join(found, "file", "left").select("file", F.coalesce("matches", F.lit(False)).alias("matches"))
 
-    def save(self, path: str, files: DataFrame, model: str = "") -> bool:
-        """Parquet tables and a manifest of (path, mtime, model, version). The index is a cache: False if it cannot be written.
-
-        The manifest goes first and is written last, so that a half-written index is none."""
-        spark = files.sparkSession
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-            for name in self.TABLES:
-                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-            if self.vectors is not None:
-                self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-            manifest(files, model).write.mode("overwrite").parquet(f"{path}/manifest")
-        except Exception as e:
-            if type(e).__name__ not in UNREADABLE:
-                raise
-            return False
-        return True
-
     @classmethod
-    def load(cls, spark: SparkSession, path: str, files: DataFrame, model: str = "") -> CodeIndex | None:
-        """The saved index, or None if there is none that reads, or files, times, model or version differ."""
+    def load(cls, spark: SparkSession, path: str, files: DataFrame, encoder: Encoder | None = None, model: str = "", stamp=None) -> CodeIndex | None:
+        """The stored index, or None if there is none that reads, or files differ from those that it was made of."""
+        from verdigris.operators.index_store import IndexStore, by_time
+
+        store = IndexStore(spark, path, encoder, model, stamp or by_time)
         try:
-            there = spark.read.parquet(f"{path}/manifest")
-            now = manifest(files, model)
-            if sorted(there.columns) != sorted(now.columns) or not there.select(now.columns).exceptAll(now).isEmpty() or not now.exceptAll(there.select(now.columns)).isEmpty():
-                return None
-            tables = [spark.read.parquet(f"{path}/{n}") for n in cls.TABLES]
-            return cls(*tables, spark.read.parquet(f"{path}/vectors") if model else None)
+            return store.index() if store.files.next_seq() and store.changes(files).isEmpty() and (encoder is None or store.vectors.next_seq()) else None
         except Exception as e:  # an index is a cache: whatever keeps it from being read, it is built again
             if type(e).__name__ not in UNREADABLE:
                 raise
             return None
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, files: DataFrame, encoder: Encoder | None = None, model: str = "") -> CodeIndex:
-        """load, or build and save."""
-        found = cls.load(spark, path, files, model)
-        if found is None:
-            found = cls.build(files, encoder)
-            found.save(path, files, model)
-        return found
+    def open(cls, spark: SparkSession, path: str, files: DataFrame, encoder: Encoder | None = None, model: str = "", stamp=None) -> CodeIndex:
+        """The stored index, brought up to date by parsing and embedding what changed; a store that does not read is made anew, and
+        an index is built without one if it cannot be written."""
+        from verdigris.operators.index_store import IndexStore, by_time
+
+        store = IndexStore(spark, path, encoder, model, stamp or by_time)
+        for fresh in (False, True):
+            try:
+                if fresh:
+                    store.clear()
+                store.update(files)
+                return store.index()
+            except Exception as e:
+                if type(e).__name__ not in UNREADABLE:
+                    raise
+        return cls.build(files, encoder)
+
+
+UNREADABLE = ("AnalysisException", "Py4JJavaError", "SparkException", "IllegalArgumentException")
 
 
 @dataclass
@@ -204,10 +204,6 @@ class Siblings:
         return found.groupBy("file").agg(F.max(F.col("all") > F.coalesce("own", F.lit(0))).alias("matches"))
 
 
-VERSION = 1
-UNREADABLE = ("AnalysisException", "Py4JJavaError", "SparkException", "IllegalArgumentException")
-
-
 def default_path(root: str) -> str:
     """Where a project's index is kept."""
     return f"{root.rstrip('/')}/.verdigris/index"
@@ -269,14 +265,23 @@ def _unit(rows: list) -> np.ndarray:
     return np.round(x / np.where(norm == 0, 1, norm), 14)
 
 
-def manifest(files: DataFrame, model: str) -> DataFrame:
-    return files.select("path", F.coalesce("mtime", F.lit(None).cast("timestamp")).alias("mtime"), F.lit(model).alias("model"), F.lit(VERSION).alias("version"))
-
-
 def embed(chunks: DataFrame, encoder: Encoder) -> DataFrame:
-    """(seq, embedding array<double>): texts go to the encoder in Arrow batches."""
-    run = F.pandas_udf(lambda text: encoder(text), "array<double>")
-    return chunks.select("seq", run(chunk_text()).alias("embedding"))
+    """(seq, embedding array<double>, error): texts go to the encoder in Arrow batches. A batch that the encoder fails on has the error in place
+    of vectors, and the job goes on; so does one that comes back with another number of rows."""
+
+    def run(batches):
+        for batch in batches:
+            n, error, found = batch.num_rows, None, None
+            try:
+                found = [None if v is None else [float(x) for x in v] for v in encoder(pd.Series(batch.column("text").to_pylist(), dtype=object))]
+                if len(found) != n:
+                    error = f"ValueError: {len(found)} vectors for {n} texts"
+            except Exception as e:  # whatever an encoder raises: files are still related by structure
+                error = f"{type(e).__name__}: {e}"
+            errors = [error or ("ValueError: no vector" if v is None else None) for v in (found if not error else [None] * n)]
+            yield pa.record_batch([batch.column("seq"), pa.array([None] * n if error else found, pa.list_(pa.float64())), pa.array(errors, pa.string())], ["seq", "embedding", "error"])
+
+    return chunks.select("seq", chunk_text().alias("text")).mapInArrow(run, f"seq {chunks.schema['seq'].dataType.simpleString()}, embedding array<double>, error string")
 
 
 def render_related(related: DataFrame) -> DataFrame:

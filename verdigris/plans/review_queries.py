@@ -227,6 +227,43 @@ SIGNATURES_SQL = """SELECT 'n' || s_nationkey || '/k' || s_suppkey || '.py' AS f
 UNION ALL SELECT DISTINCT 'n' || s_nationkey || '/base.py', '', '' FROM supplier"""
 
 
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What imports and inherits what, from a stored index after an update: a tenth of the files is new, a tenth gone, in a tenth of the classes the base has
+    changed, and every tenth file's text differs without a new stamp, so that it must not have been parsed again."""
+    from verdigris.operators.index_store import IndexStore
+    from verdigris.operators.scratch import folder
+
+    key = F.regexp_extract("path", r"/k(\d+)", 1)
+    number = F.when(key != "", key.cast("long") % 10).otherwise(-1)
+    files = project(spark, sf_dir).withColumns({"n": number, "mtime": F.timestamp_seconds(F.lit(1000))})
+    changed = F.regexp_replace("source", r"\(B\d+\)", "(Other)")
+    now = files.where("n <> 4").withColumns({"source": F.when(F.col("n") == 5, changed).when(F.col("n") == 6, "").otherwise(F.col("source")), "mtime": F.when(F.col("n") == 5, F.timestamp_seconds(F.lit(2000))).otherwise(F.col("mtime"))})
+    store = IndexStore(spark, folder(spark, "index"))
+    store.update(files.where("n <> 3").drop("n"))
+    parsed = store.update(now.drop("n"))
+    return store.index().signatures().select("file", F.array_join("modules", ",").alias("modules"), F.array_join("bases", ",").alias("bases"), F.lit(parsed).cast("long").alias("parsed"))
+
+
+REFRESH_SQL = """WITH p AS (SELECT count(*) FILTER (WHERE s_suppkey % 10 IN (3, 5))::BIGINT AS parsed FROM supplier)
+SELECT 'n' || s_nationkey || '/k' || s_suppkey || '.py' AS file, CASE WHEN s_suppkey % 3 = 0 THEN 'json,' ELSE '' END || 'n' || s_nationkey || '.base,n' || s_nationkey || '.base.sub' AS modules, CASE WHEN s_suppkey % 10 = 5 THEN 'Other' ELSE 'B' || s_nationkey END AS bases, parsed FROM supplier, p WHERE s_suppkey % 10 <> 4
+UNION ALL SELECT DISTINCT 'n' || s_nationkey || '/base.py', '', '', parsed FROM supplier, p"""
+
+
+def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed programs reviewed from stored facts, after an update in which every fifth file has become another one."""
+    from verdigris.operators.index_store import FactStore, by_content
+    from verdigris.operators.scratch import folder
+
+    files = mixed_files(spark, sf_dir)
+    store = FactStore(spark, folder(spark, "facts"), by_content)
+    store.update(files.withColumn("source", F.when(F.col("source").startswith("x = a"), "z = 1\n").otherwise(F.col("source"))))
+    parsed = store.update(files)
+    return store.review().select("path", F.col("line").cast("long").alias("line"), "code", "severity", F.lit(parsed).cast("long").alias("parsed"))
+
+
+STORED_SQL = f"WITH f AS ({MIXED_SQL}) SELECT f.*, (SELECT count(*) FROM supplier WHERE s_suppkey % {len(MIXED)} IN (1, 4))::BIGINT AS parsed FROM f"
+
+
 def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.top_rules(report.review(mixed_files(spark, sf_dir)), 2).withColumn("rank", F.col("rank").cast("long"))
 
@@ -268,6 +305,7 @@ NAMED = {
     "review_export": (export, EXPORT_SQL), "review_text": (text_report, TEXT_SQL), "review_diagnostics": (diagnostics, DIAGNOSTICS_SQL), "review_links": (links, LINKS_SQL), "parse_errors": (parse_errors, PARSE_ERRORS_SQL),
     "noqa_suppressions": (suppressions, SUPPRESSIONS_SQL), "symbol_chunks": (chunks, CHUNKS_SQL), "related_structural": (related, RELATED_SQL), "imported_files": (imported_files, IMPORTED_SQL), "sibling_files": (siblings, SIBLINGS_SQL),
     "siblings_match": (siblings_match, MATCH_SQL), "structural_signatures": (signatures, SIGNATURES_SQL), "analytics_top_rules": (top_rules, TOP_RULES_SQL), "analytics_events": (usage_events, EVENTS_SQL), "model_review": (model_review, MODEL_SQL),
+    "index_refresh": (index_refresh, REFRESH_SQL), "stored_facts": (stored_facts, STORED_SQL),
 }
 QUERIES = {f"rule_{c.lower()}": rule_query(c) for c in CASES} | {k: q for k, (q, _) in NAMED.items()}
 ORACLES = {f"rule_{c.lower()}": rule_oracle(c) for c in CASES} | {k: s for k, (_, s) in NAMED.items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as T
 from verdigris.operators import analytics, report
+from verdigris.operators.index_store import changes
 from verdigris.operators.retrieval import nearest
 from verdigris.plans.review_queries import table
 from verdigris.streaming.saves import debounce, debounce_by
@@ -204,14 +205,13 @@ CULPRIT_SQL = "SELECT doc_id, CASE WHEN doc_id % 7 >= 1 THEN string_split(text,
 
 
 def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which customers of two versions of a manifest differ: those missing, new or changed."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    old, new = c.where("c_custkey % 10 <> 3"), c.where("c_custkey % 10 <> 4").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 5, "OTHER").otherwise(F.col("c_mktsegment")))
-    gone, come = old.exceptAll(new), new.exceptAll(old)
-    return gone.withColumn("side", F.lit("old")).unionByName(come.withColumn("side", F.lit("new")))
+    """How two manifests of the customers differ, as an index store sees it: new, changed and gone."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("file"), F.col("c_mktsegment").alias("stamp"))
+    now = c.where("c_custkey % 10 <> 4").withColumn("stamp", F.when(F.col("c_custkey") % 10 == 5, "OTHER").when(F.col("c_custkey") % 10 == 6, None).otherwise(F.col("stamp")))
+    return changes(c.where("c_custkey % 10 <> 3"), now)
 
 
-MANIFEST_SQL = """SELECT c_custkey, c_mktsegment, 'old' AS side FROM customer WHERE c_custkey % 10 IN (4, 5) UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 10 = 5 THEN 'OTHER' ELSE c_mktsegment END, 'new' FROM customer WHERE c_custkey % 10 IN (3, 5)"""
+MANIFEST_SQL = "SELECT c_custkey::VARCHAR AS file, CASE c_custkey % 10 WHEN 3 THEN 'new' WHEN 4 THEN 'gone' ELSE 'changed' END AS change FROM customer WHERE c_custkey % 10 IN (3, 4, 5, 6)"
 
 
 def module_names(spark: SparkSession, sf_dir: str) -> DataFrame:

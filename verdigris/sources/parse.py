@@ -9,12 +9,12 @@ of kind ``__error__`` and disturbs no other.
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from verdigris.schemas import FACTS, SYMBOLS
 
@@ -224,6 +224,11 @@ def facts(source: str | None) -> Iterator[dict]:
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         yield {"kind": "__error__", "bfs": 0, "pre": 0, "line": getattr(e, "lineno", None) or 0, "error": f"{type(e).__name__}: {e}"}
         return
+    yield from tree_facts(tree)
+
+
+def tree_facts(tree: ast.AST) -> Iterator[dict]:
+    """Rows of FACTS for a parsed module."""
     t = Tree(tree)
     test_module = any(isinstance(s, FUNCTIONS) and s.name.startswith("test_") for s in tree.body)
     methods: list[dict] = []
@@ -361,6 +366,13 @@ def syntax_facts(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFra
     return _rows(files, facts, FACTS, list(keep))
 
 
+def facts_table(spark: SparkSession, trees: Iterable[tuple[str, ast.AST]]) -> DataFrame:
+    """FACTS by path of trees that the caller has parsed."""
+    schema = StructType([StructField("path", StringType()), *FACTS.fields])
+    rows = [tuple([path, *(r.get(f.name) for f in FACTS.fields)]) for path, tree in trees for r in tree_facts(tree)]
+    return spark.createDataFrame(rows, schema)
+
+
 def symbol_rows(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """SYMBOLS of files: chunks of top-level definitions, imports and bases; see symbols()."""
     return _rows(files, symbols, SYMBOLS, list(keep))
