@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, lexical, whiten
+from verdigris.llm import chat, lexical, simhash, token_count, whiten
 
 SF = "/root/testdata/sf0.001"
 
@@ -173,3 +173,33 @@ def test_any_turns_come_back(turns):
     formatted, back = t.format(turns)
     assert [b[:2] for b in back] == turns and t.ends_well(formatted)
     assert [(t.unescape(formatted[b:e]), r) for r, _, b, e in back] == [(x, r) for r, x in turns]
+
+
+def test_one_of_linked_texts_under_one_id_stays(spark):
+    base = " ".join(f"word{i}" for i in range(200))
+    rows = [(7, base), (7, base + " tail"), (7, base), (9, base + " other tail"), (8, "something else altogether here now"), (8, "and a third text of its own under eight")]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(i for i, _ in got) == [7, 8, 8] and next(t for i, t in got if i == 7) in (base, base + " tail")
+
+
+def test_long_words_count_as_the_library_counts_them(monkeypatch):
+    import random
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        counter = token_count.Counter(f.read())
+    library, rng = Tokenizer.from_file(path), random.Random(1)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [letters(5000), "a" * 3001, "ab" * 2000, letters(256), letters(255), "acgt" * 700 + letters(40), "the" * 900, letters(100_000)]
+    counter.count(["warm " + letters(300)])
+    start = time.perf_counter()
+    got = counter.count(texts)
+    assert time.perf_counter() - start < 10 and got == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(token_count, "LONG", 2)
+    counter.cache.clear()
+    words = [letters(rng.randint(1, 30)) for _ in range(500)]
+    assert counter.count(words) == [len(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
