@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import discard, map_batches, materialize, pick, read, release, small_slices, texts
+from verdigris.llm.common import discard, map_batches, materialize, pick, read, release, small_slices, texts, unused
 
 WINDOW, LEAST = 8, 5
 #: Bits of the filter for each window, the most bits as a power of two, and those of one of its pieces.
@@ -380,8 +380,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, run
     texts are not shuffled."""
     own = pick(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     held, _ = _held(own, benchmark, coverage, run, item_col, item_text_col)
-    lost = held.select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_lost")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
+    gone, digest = unused(docs, "_lost"), unused(docs, "_hash")
+    lost = held.select(F.col("doc_id").alias(gone), F.col("text_hash").alias(digest)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(digest))
     return docs.join(F.broadcast(lost) if lost.count() <= near_ids else lost, same, "left_anti")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from verdigris.llm.common import discard, map_batches, materialize, small_slices, texts
+from verdigris.llm.common import discard, map_batches, materialize, small_slices, texts, unused
 from verdigris.llm.cuckoo import CuckooFilter
 
 #: The ASCII white space that is stripped from a key, [\x20\x09-\x0D].
@@ -174,9 +174,10 @@ class LineIndex:
         if shared is None:
             asked = self._routed(asked)
         # AQE splits the partitions of a key that a large part of the documents holds
-        hot = asked.join(frequent, ["k1", "k2"]).groupBy("_t1", "_t2").agg(F.collect_set(F.struct("k1", "k2")).alias("_hot"))
-        joined = docs.withColumns({"_t1": hashes[0], "_t2": hashes[1]}).join(hot, ["_t1", "_t2"], "left").drop("_t1", "_t2")
-        return map_batches(joined, lambda b: (_kept(p, text_col, None, min_chars) for p in small_slices(b, PIECE, text_col)), _out_schema(docs))
+        t1, t2, held = (unused(docs, n) for n in ("_t1", "_t2", "_hot"))
+        hot = asked.join(frequent, ["k1", "k2"]).groupBy(F.col("_t1").alias(t1), F.col("_t2").alias(t2)).agg(F.collect_set(F.struct("k1", "k2")).alias(held))
+        joined = docs.withColumns({t1: hashes[0], t2: hashes[1]}).join(hot, [t1, t2], "left").drop(t1, t2)
+        return map_batches(joined, lambda b: (_kept(p, text_col, None, min_chars, held) for p in small_slices(b, PIECE, text_col)), _out_schema(docs))
 
     def _routed(self, asked: DataFrame) -> DataFrame:
         """asked (_t1, _t2, k1, k2) as far as the keys' shards' filters may hold them. A shard's keys are dealt over as many groups as
@@ -256,8 +257,8 @@ def _out_schema(docs: DataFrame) -> StructType:
     return StructType([*docs.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
 
-def _kept(batch: pa.RecordBatch, text_col: str, filters: Filters | None, min_chars: int) -> pa.RecordBatch:
-    """The batch with kept text. Without filters, its column _hot lists the frequent keys of each row."""
+def _kept(batch: pa.RecordBatch, text_col: str, filters: Filters | None, min_chars: int, held: str = "") -> pa.RecordBatch:
+    """The batch with kept text. Without filters, its column held lists the frequent keys of each row."""
     all_texts = texts(batch, text_col)
     keys = [keys_of(t, min_chars) for t in all_texts]
     counts = [len(k) for k in keys]
@@ -268,7 +269,7 @@ def _kept(batch: pa.RecordBatch, text_col: str, filters: Filters | None, min_cha
         if real.any():
             hot[real] = filters.holds(_halves([k for k in flat if k]))
     else:
-        rows = batch.column("_hot").to_pylist()
+        rows = batch.column(held).to_pylist()
         sets = [{np.array([x["k1"], x["k2"]], np.int64).tobytes() for x in r or ()} for r in rows]
         hot[:] = [k in s for ks, s in zip(keys, sets, strict=True) for k in ks]
     out, dropped, at = [], [], 0
@@ -277,7 +278,7 @@ def _kept(batch: pa.RecordBatch, text_col: str, filters: Filters | None, min_cha
         at += n
         dropped.append(int(gone.sum()))
         out.append("\n".join(line for line, g in zip(text.split("\n"), gone.tolist(), strict=True) if not g) if dropped[-1] else text)
-    names = [n for n in batch.schema.names if n != "_hot"]
+    names = [n for n in batch.schema.names if n != held]
     columns = [pa.array(out, pa.string()) if n == text_col else batch.column(n) for n in names]
     return pa.record_batch([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 

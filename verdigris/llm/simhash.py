@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import discard, map_batches, materialize, pick, small_slices, texts
+from verdigris.llm.common import discard, map_batches, materialize, pick, small_slices, texts, unused
 from verdigris.llm.components import connected_components
 from verdigris.llm.shingle_links import band_rows, bands, shingle_set, similar_links
 
@@ -189,25 +189,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, similarity:
     roots = connected_components(links)
     member = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = materialize(member.join(least, "root").select("fp", "component_id"), "fingerprint-components")
+    component = materialize(member.join(least, "root").select("fp", "component_id", "root"), "fingerprint-components")
     discard(fps)
-    return each.join(component, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return each.join(component, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, words: int = 5, bits: int = 2, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", near_ids: int = NEAR_IDS) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; of rows with equal id and text one stays.
+    """docs without all but the smallest doc_id of each component; of rows with equal id and text one stays, and of linked texts under
+    that one id, or all without an id, the one with the smallest hash.
 
     The ids that go are broadcast if there are at most near_ids (16 bytes each), so that texts are not shuffled."""
-    found = materialize(near_duplicates(docs, words, bits, similarity, id_col, text_col, near_ids).select("doc_id", "text_hash", "component_id"), "components")
+    found = materialize(near_duplicates(docs, words, bits, similarity, id_col, text_col, near_ids).select("doc_id", "text_hash", "component_id", "root"), "components")
     # a row is known by its id and its text's hash, so that rows with one id, or none, are told apart
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_hash")).distinct()
-    lost = materialize(lost, "lost")
-    twice = materialize(found.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_hash")), "repeated")
+    gone, digest = unused(docs, "_lost"), unused(docs, "_hash")
+    # different texts of a group under its smallest id: the one with the smallest hash stays
+    own = found.where("doc_id <=> component_id").select("root", "doc_id", "text_hash").distinct()
+    others = own.join(own.groupBy("root").agg(F.min("text_hash").alias("stays")), "root").where("text_hash > stays")
+    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash"))
+    lost = materialize(lost.select(F.col("doc_id").alias(gone), F.col("text_hash").alias(digest)).distinct(), "lost")
+    twice = materialize(found.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(digest)), "repeated")
+    discard(found)
 
     def near(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= near_ids else ids
 
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_lost")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(digest))
     kept = docs.join(near(lost), same, "left_anti")
     if twice.isEmpty():
         return kept
