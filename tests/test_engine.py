@@ -393,3 +393,35 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([]) == 2 and cli.main([str(tmp_path / "missing.py")]) == 1
     (tmp_path / "empty").mkdir()
     assert cli.main(["-r", str(tmp_path / "empty")]) == 0
+
+
+def test_nearest_is_one_plan_for_any_number_of_queries(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(300, 5)), 2)
+    v[50:60] = v[40:50]
+    rows = [(i, f"o{i % 40}", f"n{i % 90}", v[i].tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "at long, owner string, name string, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i}", f"o{i % 40}", v[i].tolist()) for i in range(0, 300, 3)], "query string, owner string, q array<double>")
+    seen = spark.createDataFrame([(f"q{i}", f"n{j % 90}") for i in range(0, 300, 9) for j in range(i, i + 7)], "query string, name string")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    known, want = {(r.query, r.name) for r in seen.collect()}, {}
+    for i in range(0, 300, 3):
+        names, best = set(), []
+        for j in sorted(range(300), key=lambda j: (round(float(unit[i] @ unit[j]), 9), j), reverse=True):
+            if rows[j][1] != f"o{i % 40}" and rows[j][2] not in names and (f"q{i}", rows[j][2]) not in known:
+                names.add(rows[j][2])
+                best.append(j)
+        want[f"q{i}"] = best[:4]
+    for block in (7, 2000):
+        found = retrieval.nearest(queries, vectors, 4, seen, block)
+        got = {}
+        for r in found.orderBy("query", "rank").collect():
+            got.setdefault(r.query, []).append(r.at)
+        assert got == want
+    many = retrieval.nearest(spark.range(100_000).selectExpr("id as query", "'x' as owner", "array(1.0D, 2.0D) as q"), vectors, 4)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "Union" not in plan
+    with pytest.raises(Exception, match="different lengths"):
+        many.collect()

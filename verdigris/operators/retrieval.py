@@ -213,51 +213,100 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, seen: DataFrame | No
     """(query, rank, sim, at, name): by cosine, ties by the larger at, the k nearest vectors (at, owner, name, embedding) of every
     query (query, owner, q), one for each name, of other owners, and not of the names that seen (query, name) has.
 
-    Queries go out in blocks of at most block unit vectors. A task scores a batch of vectors by one matrix product and passes on,
-    for each query, the best of as many names as it needs: k and those that it has seen."""
+    One plan, however many queries there are. Queries are packed into blocks and vectors into chunks of at most block rows; chunks are dealt over parts, once,
+    and every block goes to every part. There a block meets the part's chunks one after the other by one matrix product each, and passes on, for
+    each query, the best of as many names as it needs: k and those that it has seen."""
     spark = queries.sparkSession
     seen = queries.select("query", F.lit(None).cast("string").alias("name")).where("false") if seen is None else seen.select("query", "name").distinct()
     known = seen.groupBy("query").agg(F.count("*").alias("known"))
     own = queries.join(known, "query", "left").select("query", "owner", F.col("q").cast("array<double>").alias("q"), F.coalesce("known", F.lit(0)).alias("known"))
-    kind = {c: vectors.schema[c].dataType.simpleString() for c in ("at", "owner", "name")}
-    schema = f"query {queries.schema['query'].dataType.simpleString()}, sim double, at {kind['at']}, name {kind['name']}"
-    n, found = max(1, -(-queries.count() // block)), None
-    for i in range(n):
-        rows = own.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).toArrow()
-        ids, owners, more = (rows[c].to_pylist() for c in ("query", "owner", "known"))
-        shared = spark.sparkContext.broadcast((ids, np.array(owners, object), more, _unit(rows["q"].to_pylist())))
-
-        def best(batches, shared=shared):
-            ids, owners, more, q = shared.value
-            for batch in batches:
-                at, owner, name = (batch.column(c).to_pylist() for c in ("at", "owner", "name"))
-                if not at or not ids:
-                    continue
-                x = _unit(batch.column("embedding").to_pylist())
-                if x.shape[1] != q.shape[1]:
+    rows = vectors.select("at", "owner", "name", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = {**{c: rows.schema[c].dataType.simpleString() for c in ("at", "owner", "name")}, "query": queries.schema["query"].dataType.simpleString()}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _packed(own, ["query", "owner", "known"], "q", block, f"queries array<{kind['query']}>, q_owners array<{kind['owner']}>, known array<long>, q binary, dim int")
+    blocks = blocks.withColumns({"block": F.monotonically_increasing_id(), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    chunks = _packed(rows, ["at", "owner", "name"], "embedding", block, f"ats array<{kind['at']}>, owners array<{kind['owner']}>, names array<{kind['name']}>, x binary, x_dim int")
+    chunks = chunks.withColumn("part", F.pmod(F.xxhash64("ats"), F.lit(parts)).cast("int"))
+    # a merge join gives a block all chunks of its part in a row, so that its best so far are held once
+    met = blocks.hint("merge").join(chunks, "part").select("block", "queries", "q_owners", "known", "q", "dim", "ats", "owners", "names", "x", "x_dim")
+
+    def best(batches):
+        now, top = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda c, batch=batch, r=r: batch.column(c)[r]
+                if get("dim").as_py() != get("x_dim").as_py():
                     raise ValueError("vectors of different lengths")
-                order = sorted(range(len(at)), key=lambda j: tuple(at[j].values()) if isinstance(at[j], dict) else at[j], reverse=True)
-                sims, owner = (q @ x.T)[:, order], np.array(owner, object)[order]
-                out = []
-                for r in range(len(ids)):
-                    names = set()
-                    for j in np.argsort(-sims[r], kind="stable").tolist():
-                        if owner[j] != owners[r] and (label := name[order[j]]) not in names:
-                            names.add(label)
-                            out.append((ids[r], float(sims[r, j]), at[order[j]], label))
-                            if len(names) == k + more[r]:
-                                break
-                if out:
-                    yield pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (rows.schema.field("query").type, pa.float64(), batch.schema.field("at").type, batch.schema.field("name").type), strict=True)], ["query", "sim", "at", "name"])
-
-        some = vectors.select("at", "owner", "name", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(best, schema)
-        found = some if found is None else found.unionByName(some)
+                if now is None or now != get("block").as_py():
+                    if top is not None and (done := top.table()) is not None:
+                        yield done
+                    now = get("block").as_py()
+                    top = Best(get("queries").values, get("q_owners").as_py(), get("known").as_py(), np.frombuffer(get("q").as_py()).reshape(-1, get("dim").as_py()), k)
+                top.meet(get("ats").values, get("owners").as_py(), get("names").values, np.frombuffer(get("x").as_py()).reshape(-1, get("x_dim").as_py()))
+        if top is not None and (done := top.table()) is not None:
+            yield done
+
+    found = met.mapInArrow(best, f"query {kind['query']}, sim double, at {kind['at']}, name {kind['name']}")
     fresh = found.join(seen, ["query", "name"], "left_anti")
     first = F.row_number().over(Window.partitionBy("query", "name").orderBy(F.desc("sim"), F.desc("at")))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), F.desc("at")))
     return fresh.withColumn("_n", first).where("_n = 1").withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "sim", "at", "name")
 
 
+def _packed(rows: DataFrame, labels: list[str], vector: str, most: int, schema: str) -> DataFrame:
+    """Rows of at most most vectors of one length: lists of the labels, the unit vectors as bytes, and their length."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column(vector).offsets.to_numpy())
+            for dim in np.unique(sizes).tolist():
+                own = pa.Table.from_batches([batch]).take(pa.array(np.flatnonzero(sizes == dim)))
+                for a in range(0, own.num_rows, most):
+                    part = own.slice(a, most).combine_chunks()
+                    lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part[c].combine_chunks() if part[c].num_chunks != 1 else part[c].chunk(0)) for c in labels]
+                    yield pa.record_batch([*lists, pa.array([_unit(part[vector].to_pylist()).tobytes()], pa.binary()), pa.array([dim], pa.int32())], names)
+
+    return rows.select(*labels, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
+
+
+class Best:
+    """The best names of each query of a block so far."""
+
+    def __init__(self, queries: pa.Array, owners: list, known: list[int], q: np.ndarray, k: int):
+        self.queries, self.owners, self.q = queries, owners, q
+        self.most = [k + n for n in known]
+        self.top: list[list[tuple]] = [[] for _ in owners]  # (sim, at as a sortable value, at, name), best first, a name once
+
+    def meet(self, ats: pa.Array, owners: list, names: pa.Array, x: np.ndarray) -> None:
+        at, name = ats.to_pylist(), names.to_pylist()
+        place = [tuple(v.values()) if isinstance(v, dict) else v for v in at]
+        order = np.array(sorted(range(len(at)), key=place.__getitem__, reverse=True), np.int64)
+        sims, owners = (self.q @ x.T)[:, order], np.array(owners, object)[order]
+        for r in range(len(self.top)):
+            top, most = self.top[r], self.most[r]
+            floor = top[-1][0] if len(top) == most else -np.inf
+            here = np.flatnonzero((sims[r] >= floor) & (owners != self.owners[r]))
+            new, labels = [], set()
+            for j in here[np.argsort(-sims[r][here], kind="stable")].tolist():
+                i = int(order[j])
+                if name[i] not in labels:
+                    labels.add(name[i])
+                    new.append((float(sims[r, j]), place[i], at[i], name[i]))
+                    if len(new) == most:
+                        break
+            if new:
+                merged, labels = sorted([*top, *new], key=lambda t: t[:2], reverse=True), set()
+                self.top[r] = [t for t in merged if not (t[3] in labels or labels.add(t[3]))][:most]
+
+    def table(self) -> pa.RecordBatch | None:
+        rows = [(r, sim, at, name) for r, top in enumerate(self.top) for sim, _, at, name in top]
+        if not rows:
+            return None
+        who, sim, at, name = zip(*rows, strict=True)
+        return pa.record_batch([self.queries.take(pa.array(who)), pa.array(sim, pa.float64()), pa.array(at), pa.array(name, pa.string())], ["query", "sim", "at", "name"])
+
+
 def _unit(rows: list) -> np.ndarray:
     """Rows as unit vectors; zero stays zero, which makes its similarity zero."""
     x = np.array(rows, float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
