@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import os
 import sys
 from pathlib import Path
@@ -15,25 +16,49 @@ def confirmed(a: argparse.Namespace) -> bool:
     return input(f"{a.export} exists. Overwrite? [y/N] ").strip().lower() in ("y", "yes")
 
 
-def with_model(spark, files, a: argparse.Namespace) -> tuple:
-    """(findings, failed calls) of rules and model; rules alone if the model cannot be reached."""
-    from verdigris.operators import model_review, report, retrieval
+def model_of(spark, files, a: argparse.Namespace):
+    """A function of files that gives (findings, failed calls) of rules and model, or None if the model cannot be reached."""
+    from verdigris.operators import model_review, progress, retrieval
     from verdigris.operators.endpoint import Chat, Embedder
     from verdigris.sources.files import project_root
 
     chat = Chat.resolve()
     if problem := chat.check_runtime():
         print(f"no model review: {problem}", file=sys.stderr)
-        return report.review(files), []
-    index = None
+        return None
+    context, root = None, project_root([*a.paths, *([a.recursive] if a.recursive else [])]) or "."
     if a.rag_embed:
-        root = project_root([*a.paths, *([a.recursive] if a.recursive else [])]) or "."
         encoder = Embedder()
-        index = retrieval.CodeIndex.open(spark, retrieval.default_path(root), files, encoder, encoder.model)
+        index = progress.watched(spark, lambda: retrieval.CodeIndex.open(spark, retrieval.default_path(root), files, encoder, encoder.model), shown("index"))
         for row in index.embedding_failure().collect():
             print(f"{row['chunks']} chunks have no embedding and are related by structure alone: {row['error']}", file=sys.stderr)
-    found, failed = model_review.review_with_model(files, model_review.Client(chat, tries=1), index, workers=1, in_flight=a.workers)
-    return found, failed.collect()
+        context = model_review.Context.of(index)
+    client, journal = model_review.Client(chat, tries=1), f"{retrieval.default_path(root)}/answers-{hashlib.sha256(f'{chat.url} {chat.model}'.encode()).hexdigest()[:16]}"
+    return lambda some: model_review.review_with_model(some, client, context, workers=1, in_flight=a.workers, journal=journal, progress=shown("model"))
+
+
+def shown(what: str):
+    """A function of (done, total) that shows them on a terminal's error output."""
+    return (lambda done, total: print(f"\r{what}: {done}/{total}", end="" if done < total else "\n", file=sys.stderr, flush=True)) if sys.stderr.isatty() else (lambda done, total: None)
+
+
+#: Files that are reviewed with the model before their reports are printed.
+SLICE = 50
+
+
+def printed(files, found, as_json: bool, link: bool) -> None:
+    """Prints the reports of files: clean files first, then dirty ones."""
+    from verdigris.operators import report
+
+    if as_json:
+        for row in report.json_reports(files, found).toLocalIterator():
+            print(row["json"], flush=True)
+        return
+    dirty = found.select("path").distinct()
+    for some in (files.join(dirty, "path", "left_anti"), files.join(dirty, "path", "left_semi")):
+        for row in report.text_lines(some, found.join(some.select("path"), "path", "left_semi")).toLocalIterator():
+            name = report.hyperlink(f"file://{Path(row['path']).resolve()}", row["path"]) if link else row["path"]
+            print(f"── {name} ──\n{row['rendered']}", flush=True)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -60,6 +85,8 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from verdigris.operators import report
+    from verdigris.operators.progress import in_slices
+    from verdigris.operators.scratch import keep
     from verdigris.sources import files as src
 
     spark = SparkSession.builder.master(a.master).appName("verdigris").getOrCreate()
@@ -74,22 +101,22 @@ def main(argv: list[str] | None = None) -> int:
     files = files.persist()
     broken = report.errors(files).collect()
     good = files.join(report.errors(files), "path", "left_anti").persist()
-    failed = []
-    if a.llm:
-        found, failed = with_model(spark, good, a)
+    failed, link = [], sys.stdout.isatty() and not a.no_links and os.environ.get("TERM", "dumb") != "dumb"
+    if a.llm and (review := model_of(spark, good, a)):
+
+        def part(some):
+            own, lost = review(some)
+            own = keep(own, "findings")
+            return some, own, lost.collect()
+
+        found = None
+        for some, own, lost in in_slices(good, part, size=SLICE, at_once=1):  # the model answers some calls at a time, whatever slice they are of
+            printed(some, own, a.json, link)
+            found, failed = own if found is None else found.unionByName(own), failed + lost
     else:
-        found = report.review(good)
-    found = found.persist()
-    if a.json:
-        for row in report.json_reports(good, found).toLocalIterator():
-            print(row["json"], flush=True)
-    else:  # a report is printed as soon as its part is done; clean files come in their own pass first
-        link = sys.stdout.isatty() and not a.no_links and os.environ.get("TERM", "dumb") != "dumb"
-        dirty = found.select("path").distinct()
-        for some in (good.join(dirty, "path", "left_anti"), good.join(dirty, "path", "left_semi")):
-            for row in report.text_lines(some, found.join(some.select("path"), "path", "left_semi")).toLocalIterator():
-                name = report.hyperlink(f"file://{Path(row['path']).resolve()}", row["path"]) if link else row["path"]
-                print(f"── {name} ──\n{row['rendered']}", flush=True)
+        found = keep(report.review(good), "findings")
+        printed(good, found, a.json, link)
+    if not a.json:
         print(report.summary_text(report.summary(good, found).first()))
     if a.export and confirmed(a):
         report.write_one_text(found, a.export)
@@ -97,6 +124,6 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{row['path']}: {row['focus']}: {row['error']}", file=sys.stderr)
     for row in broken:
         print(f"{row['path']}: {row['error']}", file=sys.stderr)
-    for cached in (found, good, files):
+    for cached in (good, files):
         cached.unpersist()
     return int(bool(broken))

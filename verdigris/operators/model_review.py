@@ -144,6 +144,52 @@ def ask(prompted: DataFrame, client: Client, workers: int = 4, in_flight: int =
     return prompted.repartition(workers).mapInPandas(run, schema)
 
 
+ANSWERS = "key string, response string, error string"
+
+
+def ask_once(prompted: DataFrame, client: Client, journal: str, workers: int = 4, in_flight: int = 4, wave: int = 256, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """As ask, with every answer kept in the folder journal by a digest of its prompt: what has been answered is not asked again, by this run or a later
+    one, whatever file it is for.
+
+    Prompts go out in waves of about wave, each one committed job, so that what a lost executor or a broken run asks twice is at most its part of a
+    wave. Equal prompts are asked once. A failed call is kept as such, and tried again by the next run. progress(answered, all) is called
+    on the driver after each wave."""
+    from verdigris.operators.scratch import keep
+    from verdigris.streaming.replace_log import ReplaceLog
+
+    log = ReplaceLog(prompted.sparkSession, journal, "key")
+    own = keep(prompted.withColumn("key", F.sha2("prompt", 256)), "prompts")
+    answered = log.current(ANSWERS).where("response is not null").select("key")
+    missing = keep(own.select("key", "prompt").dropDuplicates(["key"]).join(answered, "key", "left_anti"), "unanswered")
+    total, done = missing.count(), 0
+    waves = -(-total // wave)
+    for i in range(waves):
+        some = missing.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == i)
+        # the prompts' digests take the place of paths in the calls
+        got = keep(ask(some.withColumnRenamed("key", "path"), client, workers, in_flight).withColumnRenamed("path", "key").select("key", "response", "error"), "answers")
+        log.append(got.select("key"), got)
+        done += got.count()
+        if progress is not None:
+            progress(done, total)
+    return own.join(log.current(ANSWERS), "key", "left").drop("key", "prompt")
+
+
+@dataclass(frozen=True)
+class Context:
+    """What of an index model reviews need, computed once: differing (path), files that no sibling matches, and related (for_file, related)."""
+
+    differing: DataFrame
+    related: DataFrame
+
+    @classmethod
+    def of(cls, index, top_k: int = 5) -> Context:
+        from verdigris.operators.retrieval import render_related
+        from verdigris.operators.scratch import keep
+
+        differing = index.siblings_match().where("not matches").select(F.col("file").alias("path"))
+        return cls(keep(differing, "differing"), keep(render_related(index.related(top_k)), "related"))
+
+
 def model_findings(responses: DataFrame) -> DataFrame:
     """Findings in responses (path, focus, content, hidden, valid): only on lines that hold statements and were shown."""
     s = parse_suggestions(responses)
@@ -170,23 +216,23 @@ def merge(static: DataFrame, model: DataFrame, suppressions: DataFrame | None =
     return both if suppressions is None else suppress(both, suppressions)
 
 
-def review_with_model(files: DataFrame, client: Client, index=None, workers: int = 4, focuses: tuple[str, ...] = FOCUSES, top_k: int = 5, suppress_model: bool = True, in_flight: int = 4) -> tuple[DataFrame, DataFrame]:
+def review_with_model(files: DataFrame, client: Client, index=None, workers: int = 4, focuses: tuple[str, ...] = FOCUSES, top_k: int = 5, suppress_model: bool = True, in_flight: int = 4, journal: str | None = None, progress: Callable[[int, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, errors): rules and model together. Static findings stay if a call fails; the failure is in errors.
 
-    With an index, files that differ from their siblings are also compared with related code. Suppression comments hold
-    for model findings too unless suppress_model is false."""
+    With an index, or a Context of one, files that differ from their siblings are also compared with related code. Suppression comments hold
+    for model findings too unless suppress_model is false. With a journal, answers that it holds are not asked for; see ask_once."""
     from verdigris.functions.text import noqa_rows
     from verdigris.operators.report import review
-    from verdigris.operators.retrieval import render_related
+    from verdigris.operators.scratch import keep
 
     static = review(files)
-    views = source_views(long_enough(files)).persist()
+    views = keep(source_views(long_enough(files)), "views")
     asked = prompts(views, static, focuses=focuses).select("path", "focus", "source", "hidden", "valid", "prompt")
     if index is not None:
-        differing = index.siblings_match().where("not matches").select(F.col("file").alias("path"))
-        compared = consistency_prompts(views.join(differing, "path", "left_semi"), render_related(index.related(top_k)))
+        context = index if isinstance(index, Context) else Context.of(index, top_k)
+        compared = consistency_prompts(views.join(context.differing, "path", "left_semi"), context.related)
         asked = asked.unionByName(compared.select(asked.columns))
-    answered = ask(asked, client, workers, in_flight).persist()
+    answered = keep(ask(asked, client, workers, in_flight) if journal is None else ask_once(asked, client, journal, workers, in_flight, progress=progress), "answered")
     content = answered.withColumn("content", response_content(F.col("response")))
     failed = content.where("content is null").select("path", "focus", F.coalesce("error", F.lit("the response holds no message")).alias("error"))
     return merge(static, model_findings(content.where("content is not null")), noqa_rows(files) if suppress_model else None), failed

@@ -300,7 +300,29 @@ def model_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_SQL = """SELECT 'm' || s_suppkey || '.py' AS path, 'PY007' AS code, 'SUGGESTION' AS severity, 1::BIGINT AS line, 'Use ''is None''/''is not None'' instead of ''== None''/''!= None''.' AS message FROM supplier WHERE s_suppkey % 2 = 1
 UNION ALL SELECT 'm' || s_suppkey || '.py', 'LLM001', 'WARNING', 1, 'Name it better.' FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 12 >= 9"""
 
+def late_answer(messages: list[dict]) -> str:
+    import json
+
+    return json.dumps({"choices": [{"message": {"content": json.dumps({"suggestions": [{"line": 1, "message": "Asked later."}]})}}]})
+
+
+def journal_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model reviews of two runs with one journal: what the first run asked about a third of the files, the second, whose model says something else, does
+    not ask again."""
+    from verdigris.operators.model_review import Client, review_with_model
+    from verdigris.operators.scratch import folder
+
+    files = from_rows(table(spark, sf_dir, "supplier"), "concat('m', s_suppkey, '.py')", "concat('k = ', s_suppkey, '\\n', repeat('z = 1\\n', 8 + cast(s_suppkey % 4 as int)))")
+    journal, number = folder(spark, "answers"), F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    review_with_model(files.where(number % 3 == 0), Client(stub_answer), focuses=("logic",), journal=journal)
+    found, _ = review_with_model(files, Client(late_answer), focuses=("logic",), journal=journal)
+    return found.select("path", "code", F.col("line").cast("long").alias("line"), "message")
+
+
+JOURNAL_SQL = "SELECT 'm' || s_suppkey || '.py' AS path, 'LLM001' AS code, 1::BIGINT AS line, CASE s_suppkey % 3 WHEN 0 THEN 'Name it better.' ELSE 'Asked later.' END AS message FROM supplier WHERE s_suppkey % 4 >= 1"
+
 NAMED = {
+    "journal_review": (journal_review, JOURNAL_SQL),
     "flagship_review": (flagship, MIXED_SQL), "review_summary": (summary, SUMMARY_SQL), "review_clean_first": (clean_first, CLEAN_FIRST_SQL), "review_by_category": (by_category, BY_CATEGORY_SQL), "review_json": (json_report, JSON_SQL),
     "review_export": (export, EXPORT_SQL), "review_text": (text_report, TEXT_SQL), "review_diagnostics": (diagnostics, DIAGNOSTICS_SQL), "review_links": (links, LINKS_SQL), "parse_errors": (parse_errors, PARSE_ERRORS_SQL),
     "noqa_suppressions": (suppressions, SUPPRESSIONS_SQL), "symbol_chunks": (chunks, CHUNKS_SQL), "related_structural": (related, RELATED_SQL), "imported_files": (imported_files, IMPORTED_SQL), "sibling_files": (siblings, SIBLINGS_SQL),
