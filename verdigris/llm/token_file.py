@@ -27,13 +27,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.bpe_units import FastEncoder, read_spec
-from verdigris.llm.common import discard, materialize, pick, release, shared_path, shuffle_partitions, small_slices, texts
+from verdigris.llm.common import pick, release, shared_path, shuffle_partitions, small_slices, texts
 
 CHUNK_BITS, RANK_EVERY = 8, 512
 SEGMENT_TOKENS = 1 << 21
@@ -120,7 +119,7 @@ SEGMENTS = "part int, first long, tokens long, documents long, segment binary"
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, tie, ids binary) of docs (doc_id, text): ids of two bytes where all ids fit, else of four, with the end id."""
+    """(doc_id, ids binary) of docs (doc_id, text), in their order: ids of two bytes where all ids fit, else of four, with the end id."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches):
@@ -129,11 +128,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for batch in batches:
             for part in small_slices(batch, 8 << 20):
                 ids = [np.concatenate([encoder.ids(t).astype(width), end]).tobytes() for t in texts(part)]
-                tie = pa.array(np.fromiter((xxhash.xxh3_64_intdigest(x) >> 1 for x in ids), np.int64, len(ids)))
-                yield pa.record_batch([part.column("doc_id"), tie, pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
                 release()
 
-    return docs.mapInArrow(run, "doc_id long, tie long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, ids binary")
 
 
 def max_id(spec: str, end_id: int) -> int:
@@ -144,10 +142,11 @@ def max_id(spec: str, end_id: int) -> int:
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs' ids as a table of segments at path, or in the shared folder, and returns that table."""
     spark = docs.sparkSession
-    whole = materialize(encoded(pick(docs, id_col, text_col), tokenizer, end_id), "token-ids")
     width = "<u2" if max_id(read_spec(tokenizer), end_id) < 1 << 16 else "<u4"
-    # the tie is part of the range, so that rows of one id, or of none, are dealt over many tasks
-    ordered = whole.repartitionByRange(shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # texts are shuffled, compressed, and encoded where they are written, so that ids are on disk once. The tie is part of the range, so that
+    # rows of one id, or of none, are dealt over many tasks
+    own = pick(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    ordered = encoded(own.repartitionByRange(shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie"), tokenizer, end_id)
 
     def run(batches):
         part, first = TaskContext.get().partitionId(), 0
@@ -172,7 +171,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     where = path or shared_path(spark, "token-segments")
     # nothing compressed, and a row group for every few segments: one segment is read without its neighbours
     table.write.mode("overwrite").options(**{"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(4 * SEGMENT_TOKENS)}).parquet(where)
-    discard(whole)
     return spark.read.schema(table.schema).parquet(where)
 
 
