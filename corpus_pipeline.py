@@ -10,6 +10,10 @@ return the columns of documents, with n_chars brought up to date where texts cha
    similarity of at least 0.8 of those shingles, the one with the smallest doc_id stays.
 4. decontaminate: a document that holds a benchmark item goes.
 5. bpe: ids and decoded text of every document that is left.
+
+In every stage a null text counts as empty; without letters it goes in stage 1. Rows of one doc_id, or of none, are documents apart; of rows with
+equal id and text stage 3 keeps one, and of linked texts under one id the one with the smallest hash. Ties go to the smaller doc_id. Extra columns are
+passed on, whatever their names. Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import bpe_codec, decontaminate, language_id, line_dedup, simhash
-from verdigris.llm.common import materialize
+from verdigris.llm.common import discard, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{name}")
+            discard(before)
     return docs
