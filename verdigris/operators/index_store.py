@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators.scratch import delete, keep
+from verdigris.operators.scratch import delete, drop, keep
 from verdigris.schemas import FACTS
 from verdigris.streaming.replace_log import ReplaceLog
 
@@ -65,6 +65,7 @@ class Store:
             changed = self._since(files, found).join(found.where("change <> 'gone'").select(F.col("file").alias("path")), "path", "left_semi")
             self.replace(found.select("file"), changed)
             self.files.append(found.select("file"), self.manifest(changed))
+        drop(found)
         return count.get("new", 0) + count.get("changed", 0)
 
     def _since(self, files: DataFrame, found: DataFrame) -> DataFrame:
@@ -141,6 +142,7 @@ class IndexStore(Store):
         last = standing.groupBy("name").agg(F.max_by(F.struct("kind", "file", "ord"), F.struct("file", "ord")).alias("x")).select("name", "x.*")
         self.winners.append(names, last)
         self.pending.append(names, names.where("false"))
+        drop(fresh, names)
 
     @staticmethod
     def _named(rows: DataFrame) -> DataFrame:
@@ -165,11 +167,13 @@ class IndexStore(Store):
         known = ReplaceLog(self.spark, f"{self.vectors.path}-files", "file")
         missing = keep(changes(known.current(MANIFEST), stamps).select("file"), "missing")
         if missing.isEmpty():
+            drop(missing)
             return
         made = keep(embed(chunks.join(missing, "file", "left_semi"), self.encoder), "vectors")
         self.vectors.append(missing, made.select(F.col("seq.file").alias("file"), F.col("seq.ord").alias("ord"), "embedding", "error"))
         failed = made.where("error is not null").select(F.col("seq.file").alias("file")).distinct()
         known.append(missing, stamps.join(missing, "file", "left_semi").join(failed, "file", "left_anti"))
+        drop(missing, made)
 
     def _chunks(self) -> DataFrame:
         rows = self.rows.current(self.SYMBOLS)

@@ -154,7 +154,7 @@ def ask_once(prompted: DataFrame, client: Client, journal: str, workers: int = 4
     Prompts go out in waves of about wave, each one committed job, so that what a lost executor or a broken run asks twice is at most its part of a
     wave. Equal prompts are asked once. A failed call is kept as such, and tried again by the next run. progress(answered, all) is called
     on the driver after each wave."""
-    from verdigris.operators.scratch import keep
+    from verdigris.operators.scratch import drop, keep
     from verdigris.streaming.replace_log import ReplaceLog
 
     log = ReplaceLog(prompted.sparkSession, journal, "key")
@@ -169,8 +169,10 @@ def ask_once(prompted: DataFrame, client: Client, journal: str, workers: int = 4
         got = keep(ask(some.withColumnRenamed("key", "path"), client, workers, in_flight).withColumnRenamed("path", "key").select("key", "response", "error"), "answers")
         log.append(got.select("key"), got)
         done += got.count()
+        drop(got)
         if progress is not None:
             progress(done, total)
+    drop(missing)
     return own.join(log.current(ANSWERS), "key", "left").drop("key", "prompt")
 
 

@@ -241,8 +241,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, seen: DataFrame | No
                     if top is not None and (done := top.table()) is not None:
                         yield done
                     now = get("block").as_py()
-                    top = Best(get("queries").values, get("q_owners").as_py(), get("known").as_py(), np.frombuffer(get("q").as_py()).reshape(-1, get("dim").as_py()), k)
-                top.meet(get("ats").values, get("owners").as_py(), get("names").values, np.frombuffer(get("x").as_py()).reshape(-1, get("x_dim").as_py()))
+                    top = Best(get("queries").values, get("q_owners").as_py(), get("known").as_py(), np.frombuffer(get("q").as_py()).reshape(len(get("queries")), get("dim").as_py()), k)
+                top.meet(get("ats").values, get("owners").as_py(), get("names").values, np.frombuffer(get("x").as_py()).reshape(len(get("ats")), get("x_dim").as_py()))
         if top is not None and (done := top.table()) is not None:
             yield done
 
@@ -264,8 +264,10 @@ def _packed(rows: DataFrame, labels: list[str], vector: str, most: int, schema:
                 own = pa.Table.from_batches([batch]).take(pa.array(np.flatnonzero(sizes == dim)))
                 for a in range(0, own.num_rows, most):
                     part = own.slice(a, most).combine_chunks()
-                    lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part[c].combine_chunks() if part[c].num_chunks != 1 else part[c].chunk(0)) for c in labels]
-                    yield pa.record_batch([*lists, pa.array([_unit(part[vector].to_pylist()).tobytes()], pa.binary()), pa.array([dim], pa.int32())], names)
+                    one = lambda c, part=part: pa.concat_arrays(part[c].chunks)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), one(c)) for c in labels]
+                    x = one(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dim)
+                    yield pa.record_batch([*lists, pa.array([_unit(x).tobytes()], pa.binary()), pa.array([dim], pa.int32())], names)
 
     return rows.select(*labels, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
 
@@ -307,9 +309,8 @@ class Best:
         return pa.record_batch([self.queries.take(pa.array(who)), pa.array(sim, pa.float64()), pa.array(at), pa.array(name, pa.string())], ["query", "sim", "at", "name"])
 
 
-def _unit(rows: list) -> np.ndarray:
+def _unit(x: np.ndarray) -> np.ndarray:
     """Rows as unit vectors; zero stays zero, which makes its similarity zero."""
-    x = np.array(rows, float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.round(x / np.where(norm == 0, 1, norm), 14)
 

@@ -26,10 +26,19 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read back: computed once, and there after executors are lost."""
+    """df written as Parquet and read back: computed once, and there after executors are lost, until drop() or the end of the process."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._verdigris_scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what keep() wrote and no later plan reads."""
+    for t in tables:
+        if path := getattr(t, "_verdigris_scratch", None):
+            delete(t.sparkSession, path)
 
 
 def file_system(spark: SparkSession, path: str):
