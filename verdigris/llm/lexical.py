@@ -79,6 +79,16 @@ def impacts(tf: np.ndarray, length: np.ndarray, n_docs: int, n_terms: int) -> np
     return 10**9 * tf // (1000 * tf + 20 * m)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in two or four bytes each, after a byte that says which."""
+    width = 2 if x.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def segment(ids: list, counts: list[Counter], n_docs: int, n_terms: int) -> pa.RecordBatch:
     """A row of INDEX for documents in order of their ids, each with at least one term."""
     sizes = np.array([len(c) for c in counts], np.int64)
@@ -91,7 +101,7 @@ def segment(ids: list, counts: list[Counter], n_docs: int, n_terms: int) -> pa.R
     listed = np.argsort((code << 20) - impact, kind="stable")  # impacts are below 10^6; of equal ones the smaller document is first
     arrays = [pa.array(ids, pa.int64()), terms, pa.array(np.bincount(code, minlength=len(terms)).astype(np.int32))]
     one = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays]
-    blobs = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (np.cumsum(sizes), code[forward], impact[forward], doc[listed], impact[listed])]
+    blobs = [pa.array([pack(x)], pa.binary()) for x in (np.cumsum(sizes), code[forward], impact[forward], doc[listed], impact[listed])]
     return pa.record_batch([*one, *blobs], [c.split()[0] for c in INDEX.split(", ")])
 
 
@@ -100,7 +110,7 @@ class Segment:
 
     def __init__(self, batch: pa.RecordBatch, row: int):
         get = lambda c: batch.column(c)[row]
-        ends, self.code, self.impact, self.list_docs, self.list_impacts = (np.frombuffer(get(c).as_py(), np.int32).astype(np.int64) for c in ("ends", "fwd_terms", "fwd_impacts", "list_docs", "list_impacts"))
+        ends, self.code, self.impact, self.list_docs, self.list_impacts = (unpack(get(c).as_py()) for c in ("ends", "fwd_terms", "fwd_impacts", "list_docs", "list_impacts"))
         self.terms, self.start = get("terms").values, np.r_[0, np.cumsum(get("dfs").values.to_numpy())]
         ids = get("ids").values
         self.no_id = np.asarray(pc.is_null(ids).to_numpy(zero_copy_only=False))
