@@ -51,8 +51,8 @@ def test_the_log_shows_the_last_batch_of_every_key(spark, tmp_path):
         log.current()
     for i in range(14):
         keys, rows = batch(rng, i)
-        log.append(spark.createDataFrame([(k,) for k in [*keys, None]], "path string"), spark.createDataFrame([*rows, ("not asked", "X", 0), (None, "X", 0)], ROWS))
-        done.append((keys, rows))
+        log.append(spark.createDataFrame([(k,) for k in [*keys, None]], "path string"), spark.createDataFrame([*rows, (f"own{i % 2}", "X", i), (None, "X", 0)], ROWS))
+        done.append(([*keys, f"own{i % 2}"], [*rows, (f"own{i % 2}", "X", i)]))
         if i % 4 == 3:
             assert shown(log) == expected(done)
     assert shown(log) == expected(done) and len(log.runs()) <= 6 and log.next_seq() == 14

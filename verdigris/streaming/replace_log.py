@@ -5,7 +5,7 @@ lies within a larger one that counts is superseded. So every step is one committ
 and never half a result.
 
 Runs of similar size are merged once ``fan`` of them stand at the end, so their number grows with the logarithm of the batches, and a row is rewritten as
-often. A merge drops what later batches of it replaced; one that takes in the oldest run also drops the marks of keys without rows. Hence
+often. A merge drops what later batches of it replaced; one that takes in the oldest run also drops the marks of keys. Hence
 what a read scans is at most about twice what stood in the log when the oldest run was written, plus the newer runs.
 
 One writer at a time. Readers hold on to the runs that they listed: superseded runs are deleted one merge later.
@@ -76,18 +76,18 @@ class ReplaceLog:
         return runs[-1].last + 1 if runs else 0
 
     def append(self, keys: DataFrame, rows: DataFrame, seq: int | None = None) -> int:
-        """Replaces the rows of keys by rows (key columns and others); keys without rows have none from now on.
+        """Replaces the rows of keys, and of the keys in rows, by rows (key columns and others); keys without rows have none from now on.
 
-        seq is the batch's number, by default the next one. A batch that is run again overwrites its own run, or does nothing if that is merged
-        already. Rows of keys that are not among keys are not taken."""
+        Rows are written where they are computed, with one mark more for each key: nothing is joined or shuffled but the keys. seq is the batch's
+        number, by default the next one. A batch that is run again overwrites its own run, or does nothing if that is merged already."""
         runs = self.runs()
         seq = (runs[-1].last + 1 if runs else 0) if seq is None else seq
         if any(r.first <= seq <= r.last and r.first < r.last for r in runs):
             return seq
         whole = " and ".join(f"{k} is not null" for k in self.key)
-        own = keys.select(self.key).where(whole).distinct()
-        marked = own.join(rows.withColumn(GONE, F.lit(False)), self.key, "left").withColumns({GONE: F.coalesce(GONE, F.lit(True)), RUN: F.lit(seq).cast("long")})
-        self._write(marked.select(*rows.columns, RUN, GONE), seq, seq)
+        marks = keys.select(self.key).where(whole).distinct().withColumn(GONE, F.lit(True))
+        marked = rows.where(whole).withColumn(GONE, F.lit(False)).unionByName(marks, allowMissingColumns=True)
+        self._write(marked.withColumn(RUN, F.lit(seq).cast("long")).select(*rows.columns, RUN, GONE), seq, seq)
         self._merge()
         return seq
 
