@@ -425,3 +425,16 @@ def test_nearest_is_one_plan_for_any_number_of_queries(spark):
     assert plan.count("MapInArrow") == 3 and "Union" not in plan
     with pytest.raises(Exception, match="different lengths"):
         many.collect()
+
+
+def test_nearest_ranks_by_rounded_similarity(spark, tmp_path):
+    from verdigris.plans import table_queries
+
+    # cosines to vector 0 are 1 - 5e-9 and less: the same to six decimals, so that the larger id is the nearer one
+    rows = [(i, [1.0, i * 1e-4]) for i in range(8)] + [(i, [0.0, 1.0]) for i in (8, 9)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.rank, r.vec_id, r.sim) for r in table_queries.topk_cosine(spark, str(tmp_path)).collect()}
+    assert got == {(n + 1, 7 - n, 1.0) for n in range(5)}
+    vectors = spark.createDataFrame([(i, i, str(i), v) for i, v in rows], "at long, owner long, name string, embedding array<double>")
+    query = spark.createDataFrame([(0, 0, [1.0, 0.0])], "query long, owner long, q array<double>")
+    assert [r.at for r in retrieval.nearest(query, vectors, 3).orderBy("rank").collect()] == [1, 2, 3]
