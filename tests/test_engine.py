@@ -438,3 +438,21 @@ def test_nearest_ranks_by_rounded_similarity(spark, tmp_path):
     vectors = spark.createDataFrame([(i, i, str(i), v) for i, v in rows], "at long, owner long, name string, embedding array<double>")
     query = spark.createDataFrame([(0, 0, [1.0, 0.0])], "query long, owner long, q array<double>")
     assert [r.at for r in retrieval.nearest(query, vectors, 3).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_all_siblings_of_a_file_are_its_pairs(spark):
+    import random
+
+    rng, texts = random.Random(5), {}
+    for i in range(60):
+        names = [rng.choice([f"C{i}", f"D{i}", f"C{rng.randrange(60)}"]) for _ in range(rng.randrange(1, 4))]
+        texts[f"f{i}"] = "".join(f"class {n}({', '.join(rng.sample(['A', 'B', 'C', 'D', f'E{i % 5}'], rng.randrange(1, 4)))}):\n    pass\n" for n in names)
+    texts |= {"solo": "class S(Other):\n    pass\n", "none": "def f():\n    pass\n"}
+    ix = retrieval.CodeIndex.build(table(spark, **texts))
+    want = {}
+    for r in ix.siblings().pairs(ix.chunks).collect():
+        want[r.file] = want.get(r.file, 0) + 1
+    assert {r.file: r.siblings for r in ix.siblings().totals().collect()} == want and len(set(want.values())) > 5
+    # siblings through two bases count once
+    two = retrieval.CodeIndex.build(table(spark, a="class X(P, Q):\n    pass\n", b="class Y(P, Q):\n    pass\n", c="class Z(Q):\n    pass\n")).siblings()
+    assert {r.file: r.siblings for r in two.totals().collect()} == {"a.py": 2, "b.py": 2, "c.py": 2}
