@@ -456,3 +456,24 @@ def test_all_siblings_of_a_file_are_its_pairs(spark):
     # siblings through two bases count once
     two = retrieval.CodeIndex.build(table(spark, a="class X(P, Q):\n    pass\n", b="class Y(P, Q):\n    pass\n", c="class Z(Q):\n    pass\n")).siblings()
     assert {r.file: r.siblings for r in two.totals().collect()} == {"a.py": 2, "b.py": 2, "c.py": 2}
+
+
+def test_sharers_are_counted_without_pairs(spark):
+    import random
+
+    from verdigris.operators.sharers import sharers
+
+    rng = random.Random(6)
+    rows = [(side, owner, rng.choice([0, rng.randrange(200)]) if side else rng.randrange(4000)) for side in (0, 1) for owner in range(side * 1000, side * 1000 + 300) for _ in range(rng.randrange(1, 6))]
+    rows += [(2, 5000, 1), (2, 5000, 1), (None, 5001, 1), (2, None, 1), (2, 5002, None)]
+    df = spark.createDataFrame(rows, "side long, owner long, trait int")
+    have = {}
+    for side, owner, trait in rows:
+        if None not in (side, owner, trait):
+            have.setdefault((side, owner), set()).add(trait)
+    want = {k: sum(j[0] == k[0] and not v.isdisjoint(w) for j, w in have.items()) for k, v in have.items()}
+    for asking, counted in ((1 << 16, 1 << 18), (40, 100), (1, 1000)):
+        assert {(r.side, r.owner): r.n for r in sharers(df, asking, counted).collect()} == want
+    # one trait of all makes no row for a pair
+    one = sharers(spark.range(3000).selectExpr("0 as side", "id as owner", "7 as trait"))
+    assert {r.n for r in one.collect()} == {3000}
