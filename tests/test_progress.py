@@ -101,3 +101,22 @@ def test_the_driver_sees_how_far_a_job_has_come(spark):
     assert len(seen) > 2 and seen[-1][0] == seen[-1][1] >= 8 and all(a[0] <= b[0] for a, b in zip(seen, seen[1:], strict=False))
     with pytest.raises(KeyError):
         progress.watched(spark, lambda: {}["no"], lambda d, t: None)
+
+
+def test_waves_that_are_answered_at_once_are_joined(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).select(F.format_string("f%d", "id").alias("path"), F.lit("logic").alias("focus"), F.format_string("p%d", "id").alias("prompt"))
+    model, asked, real = model_review.Client(lambda m: "{}"), [], model_review.ask
+
+    def counted(*a, **b):
+        asked.append(1)
+        return real(*a, **b)
+
+    monkeypatch.setattr(model_review, "ask", counted)
+    seen = []
+    got = model_review.ask_once(rows, model, str(tmp_path / "quick"), wave=10, progress=lambda *x: seen.append(x))
+    assert got.where("response is not null").count() == 400 and len(asked) <= 6 and seen[-1] == (400, 400)
+    # a slow model has its waves by themselves
+    monkeypatch.setattr(model_review, "QUICK_S", 0)
+    asked.clear()
+    model_review.ask_once(rows.limit(40), model, str(tmp_path / "slow"), wave=10)
+    assert len(asked) == 4
