@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.text import noqa_rows
 from verdigris.operators.scratch import keep as keep_table
+from verdigris.sources.files import spread
 
 FIELDS = ["code", "category", "severity", "message", "line", "column", "end_line"]
 ORDER = ["det_ord", "emit_ord", "part_ord"]
@@ -35,7 +36,7 @@ def review(files: DataFrame, codes: list[str] | None = None, keep: tuple[str, ..
     """The findings of files (path, source): parsed once, all rules in one projection, first of equals, not suppressed."""
     from verdigris.sources.parse import syntax_facts
 
-    return review_facts(syntax_facts(files, keep), noqa_rows(files, keep), codes, keep)
+    return review_facts(syntax_facts(spread(files, *keep), keep), noqa_rows(files, keep), codes, keep)
 
 
 def review_facts(facts: DataFrame, suppressions: DataFrame | None = None, codes: list[str] | None = None, keep: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -57,7 +58,7 @@ def errors(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """(path, line, error) of files that cannot be parsed."""
     from verdigris.sources.parse import syntax_facts
 
-    return syntax_facts(files, keep).where("kind = '__error__'").select(*keep, "line", "error")
+    return syntax_facts(spread(files, *keep), keep).where("kind = '__error__'").select(*keep, "line", "error")
 
 
 def summary(files: DataFrame, findings: DataFrame) -> DataFrame:
