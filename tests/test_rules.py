@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import report, rules
+from verdigris.plans import registry
 from verdigris.plans.rule_cases import CASES
 from verdigris.sources import files, parse
 
@@ -110,3 +111,13 @@ def test_texts_are_dealt_out_before_they_are_parsed(spark, tmp_path):
     for found in (report.review(df), report.errors(df), model_review.source_views(df)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan[plan.index("MapInArrow") :]
+
+
+@pytest.mark.parametrize("code", ["PY005"])
+def test_a_rule_query_deals_out_a_table_of_one_split(spark, tmp_path, code):
+    spark.range(400).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    found = registry.QUERIES[f"rule_{code.lower()}"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.index("MapInArrow") :]
+    want = [(k, code, line, m.replace("{k}", str(k))) for k in range(400) for line, m in CASES[code][k % len(CASES[code])][1]]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
