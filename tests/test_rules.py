@@ -113,7 +113,7 @@ def test_texts_are_dealt_out_before_they_are_parsed(spark, tmp_path):
         assert "REPARTITION_BY_NUM" in plan[plan.index("MapInArrow") :]
 
 
-@pytest.mark.parametrize("code", ["PY005", "PY001", "PY014", "PY004", "PY012", "DES006"])
+@pytest.mark.parametrize("code", ["PY005", "PY001", "PY014", "PY004", "PY012", "DES006", "DES005"])
 def test_a_rule_query_deals_out_a_table_of_one_split(spark, tmp_path, code):
     spark.range(400).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     found = registry.QUERIES[f"rule_{code.lower()}"](spark, str(tmp_path))
