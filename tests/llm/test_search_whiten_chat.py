@@ -1,11 +1,13 @@
 """Lexical search, whitening and chat formatting against brute force."""
 
+import glob
 import hashlib
 import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,6 +64,19 @@ def test_search_takes_odd_rows(spark, docs, none, monkeypatch):
     assert lexical.LexicalIndex(none).search(items).collect() == [] and index.search(items.where("false")).collect() == []
 
 
+def test_a_row_group_holds_few_segments(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "GROUP", 200_000, raising=False)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").coalesce(1)
+    index = lexical.LexicalIndex(docs.unionAll(docs).coalesce(1), segment_bytes=20_000)
+    rows = index.segments.count()
+    (file,) = glob.glob(f"{index.segments._verdigris_path}/*.parquet".removeprefix("file://"))
+    held = pq.ParquetFile(file).metadata
+    groups = [held.row_group(i) for i in range(held.num_row_groups)]
+    # a group may pass its size by one row
+    assert rows > 20 and max(g.total_byte_size for g in groups) <= 2 * 200_000 and max(g.num_rows for g in groups) < rows / 3
+    index.close()
+
+
 def test_search_stops_before_it_has_scored_all():
     counts = [Counter({b"rare": 1 + (i % 50 == 0), b"filler": i}) for i in range(1, 2001)]
     part = lexical.Segment(lexical.segment(list(range(2000)), counts, 2000, sum(c.total() for c in counts)), 0)

@@ -42,14 +42,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage.
 
     Unlike a checkpoint the table is columnar and compressed; unlike a local one it outlives executors.
-    The files go when the session's process ends, or earlier through :func:`discard`."""
+    The files go when the session's process ends, or earlier through :func:`discard`.
+
+    Rows of megabytes need group_bytes, the size of a row group: a task that writes or reads a table holds a whole row group, or
+    4,096 rows of one, and by default the writer does not look at a group's size before its 100th row."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_bytes:
+        writer = writer.options(**{"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1})
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._verdigris_path = path
     return out

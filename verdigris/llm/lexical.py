@@ -7,7 +7,8 @@ item sums, over the item's distinct terms, w * impact: w = floor(1000 ln((2N + 2
 1. N and L come from one pass that only counts.
 2. One map turns every batch of documents into segments of about ``SEGMENT`` bytes of text. A segment holds, for its own documents, a
    list for each term sorted by impact, and the forward index: each document's terms with their impacts. Postings are never
-   shuffled, so a term that all documents hold is one list in each segment and no group anywhere.
+   shuffled, so a term that all documents hold is one list in each segment and no group anywhere. Segments lie in row groups of about
+   ``GROUP`` bytes, so that a task holds few of them at a time however large its split is.
 3. df is a sum over the segments' dictionaries, joined with the terms of a block of items.
 4. Items go out in blocks of at most ``BLOCK`` bytes of terms, whose broadcast is thereby bounded. In each segment an item's lists are read round-robin
    from the top. A document that is seen the first time is scored in full through the forward index. No unseen document can score above the
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import discard, map_batches, materialize, read, release, small_slices
 
-SEGMENT, BLOCK, DEALT, PIECE, CELLS = 2 << 20, 32 << 20, 64, 4 << 20, 8 << 20
+SEGMENT, BLOCK, DEALT, PIECE, CELLS, GROUP = 2 << 20, 32 << 20, 64, 4 << 20, 8 << 20, 16 << 20
 #: Products and sums up to this are exact in double precision.
 EXACT = 2.0**53
 PATTERN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -227,7 +228,7 @@ class LexicalIndex:
                         yield segment([i for i, _ in rows], [c for _, c in rows], n_docs, n_terms)
                 release()
 
-        self.segments = materialize(own.mapInArrow(build, INDEX), "segments")
+        self.segments = materialize(own.mapInArrow(build, INDEX), "segments", GROUP)
         self.terms = self.segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df"))
 
     def weight(self, df: int) -> int:
