@@ -9,8 +9,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from verdigris.llm import components, decontaminate, html_text, quality, shingle_links, simhash, topk
+from verdigris.llm import common, components, decontaminate, html_text, quality, shingle_links, simhash, topk
 from verdigris.llm.dom import Matching, Shape, fold, in_order, parse
 
 
@@ -139,6 +140,19 @@ def test_members_far_from_their_leader_are_compared_with_all(spark, monkeypatch,
     assert shingle_links.similar_links(members.where("false"), asked, 0.8).collect() == []
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replicas_are_not_broadcast(spark):
+    fps = common.materialize(spark.range(300).select(F.xxhash64("id").alias("fp")).unionAll(spark.sql("select xxhash64(5L) ^ 3")), "test-fps")
+    for kind in (simhash.near_links(fps, 2), simhash.near_links(fps.where("false"), 2)):
+        assert "SortMergeJoin" in plan_of(kind) and "BroadcastHashJoin" not in plan_of(kind)
+    links = simhash.near_links(fps, 2)
+    assert len(links.collect()) == 1 and "BroadcastHashJoin" not in plan_of(links)  # as it ran
+    common.discard(fps)
+
+
 def test_the_stage_finds_the_pairs_that_brute_force_finds(spark):
     """Recall and precision of the near-duplicates at a similarity of 0.8, on given documents."""
     data = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 5000").collect() if r.text]

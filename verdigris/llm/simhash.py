@@ -155,7 +155,8 @@ def near_links(fps: DataFrame, bits: int) -> DataFrame:
 
     left, right = map_batches(fps, homes, "anchor long, a long"), map_batches(fps, replicas, "anchor long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    return left.join(right, "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    # Spark takes the replicas for as many rows as the fingerprints they come from, and so would broadcast them
+    return left.join(right.hint("merge"), "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", near_ids: int = NEAR_IDS) -> DataFrame:
