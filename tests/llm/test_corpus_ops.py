@@ -153,6 +153,16 @@ def test_replicas_are_not_broadcast(spark):
     common.discard(fps)
 
 
+def test_cells_of_large_buckets_are_not_broadcast(spark):
+    """Members of a bucket of 20,000 are 40 rows each, which Spark's estimate does not show."""
+    members = common.materialize(spark.range(8).selectExpr("1L as key", "id as node", "20000L as size", "id as comp"), "test-members")
+    sets = common.materialize(spark.createDataFrame([(n, bytearray(np.arange(n // 2, 100, dtype=np.uint64).tobytes())) for n in range(8)], "node long, shingles binary"), "test-sets")
+    links = shingle_links.settled(members, sets, 0.8)
+    assert "SortMergeJoin" in plan_of(links) and "BroadcastHashJoin" not in plan_of(links)
+    assert len(set(dict(rows(components.connected_components(links))).values())) == 1
+    common.discard(members, sets)
+
+
 def test_the_stage_finds_the_pairs_that_brute_force_finds(spark):
     """Recall and precision of the near-duplicates at a similarity of 0.8, on given documents."""
     data = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 5000").collect() if r.text]

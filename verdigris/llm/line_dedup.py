@@ -161,7 +161,8 @@ class LineIndex:
         if filter_bytes <= broadcast_bytes:
             held = Filters(self.filters.collect(), self.shards)
             if near:
-                held.exact = _sorted_keys(np.array([tuple(r) for r in frequent.collect()], np.int64).reshape(-1, 2))
+                keys = frequent.toArrow()  # 16 bytes a key; a Row of Python takes ten times as much
+                held.exact = _sorted_keys(np.column_stack([keys["k1"].to_numpy(), keys["k2"].to_numpy()]))
             shared = spark.sparkContext.broadcast(held)
             if near:
                 return map_batches(docs, lambda b: (_kept(p, text_col, shared.value, min_chars) for p in small_slices(b, PIECE, text_col)), _out_schema(docs))

@@ -94,7 +94,8 @@ def settled(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     chunks = F.ceil(F.col("size") / CELL).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     cells = rows.select("key", "node", "comp", own.alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("x"))
-    cells = cells.select("key", "node", "comp", F.least("c", "x").alias("low"), F.greatest("c", "x").alias("high")).join(sets, "node")
+    cells = cells.select("key", "node", "comp", F.least("c", "x").alias("low"), F.greatest("c", "x").alias("high"))
+    cells = cells.hint("merge").join(sets, "node")  # Spark does not see that they are more rows than the members, and could broadcast them
 
     def settle(t: pa.Table) -> pa.Table:
         release()
